@@ -6,6 +6,8 @@ rule on purpose. FIXTURES.md section 5 states the same derivation as SQL over th
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,14 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_logs(raw_documents(read_events(spark, sf_dir)))
 
 
+def events_between(events: DataFrame, start: int, end: int) -> DataFrame:
+    """Events of the closed range in whole seconds; the comparison on ``ts`` reaches the parquet scan."""
+    def instant(epoch: int) -> Column:
+        return F.lit(dt.datetime.fromtimestamp(epoch, dt.timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
+
+    return events.filter((F.col("ts") >= instant(start)) & (F.col("ts") < instant(end + 1)))
+
+
 def pii_signals(events: DataFrame) -> DataFrame:
     """Per-user counts of personal data in responses, derived from the events."""
     k = F.get_json_object("props", "$.k").cast("int")
