@@ -14,7 +14,7 @@ SENSITIVE_URI = r"/(addresses|orders)/\d+"
 USER_URI = r"/api/users/(\d+)"
 
 _FLOAT_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
-_ZONE = r"(?i)(z|[+-]\d{2}(:?\d{2})?)$"
+_ZONE = r"(?i)\d(z|[+-]\d{2}(:?\d{2})?)$"
 _MAX, _MIN = 2**63 - 1, -(2**63)
 
 
@@ -30,8 +30,8 @@ def safe_float(c: Column) -> Column:
 
 def iso_to_epoch(c: Column) -> Column:
     """ISO text to epoch seconds; without a zone it is UTC; null when it is not a full date."""
-    clock = F.when(F.length(c) == 10, F.concat(c, F.lit("T00:00:00Z"))).when(
-        c.rlike(_ZONE), c).otherwise(F.concat(c, F.lit("Z")))
+    clock = (F.when(F.endswith(c, F.lit("Z")) | c.rlike(_ZONE), c)
+             .when(F.length(c) == 10, F.concat(c, F.lit("T00:00:00Z"))).otherwise(F.concat(c, F.lit("Z"))))
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_seconds(clock.try_cast("timestamp")))
 
 
@@ -130,7 +130,9 @@ def severity_band(score: Column) -> Column:
 
 
 def argmax_name(pairs: list[tuple[str, Column]]) -> Column:
-    """Name of the largest value; the first of equals wins."""
-    entries = [F.struct(value.cast("double").alias("v"), F.lit(-i).alias("o"), F.lit(name).alias("n"))
-               for i, (name, value) in enumerate(pairs)]
-    return F.array_max(F.array(*entries))["n"]
+    """Name of the largest value; the first of equals wins. The first value no later one exceeds is the maximum."""
+    out = F.lit(pairs[-1][0])
+    for i in range(len(pairs) - 2, -1, -1):
+        holds = reduce(lambda a, b: a & b, [pairs[i][1] >= later for _, later in pairs[i + 1:]])
+        out = F.when(holds, pairs[i][0]).otherwise(out)
+    return out

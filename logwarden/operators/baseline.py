@@ -15,7 +15,7 @@ BUCKET_BITS = 12
 def metric_values(users: DataFrame, ips: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """(metric, value) over eligible windows; ``excluded`` lists target_id that must not shape the baseline."""
     def eligible(df: DataFrame) -> DataFrame:
-        kept = df.filter(F.coalesce("is_baseline_eligible", F.lit(True)))
+        kept = df.filter(~F.col("is_baseline_eligible").eqNullSafe(False))  # pushed to the scan
         return kept if excluded is None else kept.join(excluded.select("target_id").distinct(), "target_id",
                                                        "left_anti")
 
@@ -44,8 +44,9 @@ def percentiles(values: DataFrame) -> DataFrame:
     A histogram of exact values is counted in parallel. Its buckets (a bounded number whatever the data) give
     the running rank; only the buckets that hold a wanted rank are then opened value by value.
     """
-    histogram = values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("c")).withColumn(
-        "bucket", _bucket(F.col("value")))
+    histogram = (values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("c"))
+                 .withColumn("bucket", _bucket(F.col("value")))
+                 .filter("metric IS NOT NULL AND bucket IS NOT NULL"))  # same plan in both uses: shuffled once
     whole, upto = Window.partitionBy("metric"), Window.partitionBy("metric").orderBy("bucket")
     coarse = (histogram.groupBy("metric", "bucket").agg(F.sum("c").alias("c"))
               .withColumn("n", F.sum("c").over(whole))

@@ -21,7 +21,9 @@ def token_fields(iat: Column, exp: Column, now: Column) -> dict[str, Column]:
 def normalize_logs(raw: DataFrame, provenance: str = "provenance") -> DataFrame:
     text, jwt = F.col, lambda name: F.col(f"jwt.{name}")
     empty = F.array().cast("array<string>")
-    stamped = raw.withColumn("receive_epoch", X.iso_to_epoch(text("@timestamp")))
+    # A one-element explode: Spark copies a projected expression into every filter pushed below it, and would
+    # parse the timestamp many times per row. It never copies through a generator.
+    stamped = raw.withColumn("receive_epoch", F.explode(F.array(X.iso_to_epoch(text("@timestamp")))))
     now = F.coalesce("receive_epoch", F.lit(0).cast("bigint"))
     derived = token_fields(jwt("iat"), jwt("exp"), now)
     return stamped.select(

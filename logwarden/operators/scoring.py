@@ -19,6 +19,17 @@ def baseline_map(baseline: DataFrame) -> Column:
     return baseline.agg(F.map_from_entries(F.collect_list(F.struct("metric", dist)))).scalar()
 
 
+# The column each distribution is compared with.
+MEASURES = {"requests": "request_count", "bytes": "response_bytes_total", "subs": "unique_subs_count"}
+
+
+def _with_dist(df: DataFrame, baseline: DataFrame, **metrics: Column) -> DataFrame:
+    """Adds d_x (distribution of the metric) and z_x (z-score) for each measure; a null metric has neither."""
+    rows = df.withColumn("dist", baseline_map(baseline))
+    rows = rows.withColumns({f"d_{x}": F.col("dist")[metric] for x, metric in metrics.items()}).drop("dist")
+    return rows.withColumns({f"z_{x}": zscore(F.col(MEASURES[x]), F.col(f"d_{x}")) for x in metrics})
+
+
 def zscore(value: Column, dist: Column) -> Column:
     """Null without a distribution, on a cold start, or when the deviation is 0."""
     usable = dist.isNotNull() & ~F.coalesce(dist["cold_start"], F.lit(False)) & (dist["std"] != 0.0)
@@ -114,7 +125,7 @@ def _total(df: DataFrame) -> DataFrame:
 def user_factors(users: DataFrame, baseline: DataFrame, pii: DataFrame | None = None) -> DataFrame:
     """Factor columns of user windows. ``pii`` = (user_id, email, phone, doorlock_with_address), one row a user."""
     none = F.lit(0)
-    rows = users.withColumn("dist", baseline_map(baseline))
+    rows = _with_dist(users, baseline, requests=F.lit("request_burst"), bytes=F.lit("response_size_burst"))
     if pii is None:
         sensitivity = none
     else:
@@ -123,41 +134,39 @@ def user_factors(users: DataFrame, baseline: DataFrame, pii: DataFrame | None =
         sensitivity = response_sensitivity(F.col("email"), F.col("phone"), F.col("doorlock_with_address"))
     return (rows
             .withColumn("token_violation", F.col("violation_score"))
-            .withColumn("request_burst", request_burst(zscore(F.col("request_count"), F.col("dist")["request_burst"])))
+            .withColumn("request_burst", request_burst(F.col("z_requests")))
             .withColumn("token_replay", token_replay(F.col("class_crossings"), F.col("country_crossings")))
-            .withColumn("response_size_burst", response_size_burst(
-                zscore(F.col("response_bytes_total"), F.col("dist")["response_size_burst"])))
+            .withColumn("response_size_burst", response_size_burst(F.col("z_bytes")))
             .withColumn("ip_user_diversity", none)
             .withColumn("response_sensitivity", sensitivity)
-            .withColumn("cumulative_exfil", none).drop("dist"))
+            .withColumn("cumulative_exfil", none).drop("d_requests", "z_requests", "d_bytes", "z_bytes"))
 
 
 def ip_factors(ips: DataFrame, baseline: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Factor columns of IP windows and the record behind ip_user_diversity."""
     none = F.lit(0)
-    rows = (ips.withColumn("dist", baseline_map(baseline))
-            .withColumn("own", F.col("dist")[F.concat(F.lit("ip_user_diversity_"), "window_size")])
-            .withColumn("z", zscore(F.col("unique_subs_count"), F.col("own")))
-            .withColumn("raw", diversity_raw(F.col("unique_subs_count"), F.col("z")))
+    day = F.col("window_size") == "24h"
+    rows = (_with_dist(ips, baseline, subs=F.concat(F.lit("ip_user_diversity_"), "window_size"),
+                       bytes=F.when(day, "cumulative_exfil"))
+            .withColumn("raw", diversity_raw(F.col("unique_subs_count"), F.col("z_subs")))
             .withColumn("capped", F.coalesce(F.col("ip_class").isin(*cfg.soft_capped_classes), F.lit(False))
                         & (F.col("raw") > cfg.soft_cap)))
     meta = F.struct(
         F.col("raw").alias("raw_score"), "capped",
         F.when(F.col("capped"), F.concat(F.lit("ip_class="), "ip_class", F.lit(" whitelist soft cap"))).alias("cap_reason"),
         F.col("unique_subs_count").alias("unique_subs_raw"),
-        round_half_even(F.col("z"), 3).alias("zscore"),
-        F.col("own")["mean"].alias("baseline_mean"), F.col("own")["std"].alias("baseline_std"),
-        F.coalesce(F.col("own")["sample_count"], F.lit(0).cast("bigint")).alias("baseline_sample_count"),
-        F.col("z").isNull().alias("cold_start_fallback_applied"))
-    day = F.col("window_size") == "24h"
+        round_half_even(F.col("z_subs"), 3).alias("zscore"),
+        F.col("d_subs.mean").alias("baseline_mean"), F.col("d_subs.std").alias("baseline_std"),
+        F.coalesce(F.col("d_subs.sample_count"), F.lit(0).cast("bigint")).alias("baseline_sample_count"),
+        F.col("z_subs").isNull().alias("cold_start_fallback_applied"))
     return (rows
             .withColumn("token_violation", none).withColumn("request_burst", none)
             .withColumn("token_replay", none).withColumn("response_size_burst", none)
             .withColumn("ip_user_diversity", F.when(F.col("capped"), F.lit(cfg.soft_cap)).otherwise(F.col("raw")))
             .withColumn("response_sensitivity", none)
-            .withColumn("cumulative_exfil", F.when(day, cumulative_exfil(zscore(
-                F.col("response_bytes_total"), F.col("dist")["cumulative_exfil"]))).otherwise(0))
-            .withColumn("ip_user_diversity_meta", meta).drop("dist", "own", "z", "raw", "capped"))
+            .withColumn("cumulative_exfil", cumulative_exfil(F.col("z_bytes")))
+            .withColumn("ip_user_diversity_meta", meta)
+            .drop("d_subs", "z_subs", "d_bytes", "z_bytes", "raw", "capped"))
 
 
 def score_users(users: DataFrame, baseline: DataFrame, pii: DataFrame | None = None) -> DataFrame:

@@ -91,24 +91,32 @@ def user_windows(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def user_members(logs: DataFrame) -> DataFrame:
     """Whole sets as rows: (user_id, win, kind, member)."""
+    return _members(logs).filter(F.col("kind") != "uris")
+
+
+def _members(logs: DataFrame) -> DataFrame:
+    uri = F.concat(F.lit("u"), F.coalesce("uri", F.lit("")))  # the empty URI counts as one
     return member_rows(keyed(logs), KEYS, {
-        "ip_set": F.col("client_ip"), "jti_set": F.col("jwt_id"),
-        "alg_set": F.col("alg"), "kid_set": F.col("kid")})
+        "ip_set": F.col("client_ip"), "jti_set": F.col("jwt_id"), "alg_set": F.col("alg"), "kid_set": F.col("kid"),
+        "uris": uri})
 
 
 def replay_samples(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """One row per (window, jti) seen across a class or country border, with where it was seen."""
-    rows = keyed(logs)
-    kinds = ["ip_set", "ip_class_set", "ip_country_set"]
-    tokens = (token_grain(rows, cfg).filter(F.col("crossed_class") | F.col("crossed_country"))
-              .select(*KEYS, "jti", F.when(F.col("crossed_class"), "ip_class").otherwise("ip_country")
-                      .alias("crossing_type")))
-    seen = member_rows(rows.withColumn("jti", X.filled(F.col("jwt_id"))).filter("jti IS NOT NULL"),
-                       [*KEYS, "jti"], {
-        "ip_set": F.col("client_ip"), "ip_class_set": F.col("ip_class"), "ip_country_set": F.col("ip_country")})
-    crossed = seen.join(tokens.select(*KEYS, "jti"), [*KEYS, "jti"], "left_semi")
-    sets = inline_sets(crossed, [*KEYS, "jti"], kinds, cfg.inline_members)
-    return attach_sets(tokens, sets, [*KEYS, "jti"], kinds)
+    """One row per (window, jti) seen across a class or country border, with where it was seen.
+
+    Both the test and the sets read the same de-duplicated rows, so Spark shuffles the logs once.
+    """
+    token, kinds = [*KEYS, "jti"], ["ip_set", "ip_class_set", "ip_country_set"]
+    seen = member_rows(
+        keyed(logs).withColumn("jti", X.filled(F.col("jwt_id"))).filter("jti IS NOT NULL"), token,
+        dict(zip(kinds, (F.col("client_ip"), F.col("ip_class"), F.col("ip_country")))))
+    ips, classes, countries = (F.count_if(F.col("kind") == k) for k in kinds)
+    crossed = (seen.groupBy(*token).agg(ips.alias("ips"), classes.alias("classes"), countries.alias("countries"))
+               .filter((F.col("ips") > 0) & ((F.col("classes") > 1) | (F.col("countries") > 1)))
+               .select(*token, F.when(F.col("classes") > 1, "ip_class").otherwise("ip_country")
+                       .alias("crossing_type")))
+    sets = inline_sets(seen.join(crossed.select(*token), token, "left_semi"), token, kinds, cfg.inline_members)
+    return attach_sets(crossed, sets, token, kinds)
 
 
 def violation_samples(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -124,11 +132,10 @@ def violation_samples(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
 def user_events(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """The whole user-window document."""
     base = user_windows(logs, cfg).withColumnRenamed("target_id", "user_id")
-    distinct = keyed(logs).groupBy(*KEYS).agg(
-        F.count_distinct(F.coalesce("uri", F.lit(""))).alias("unique_uris_count"),
-        F.count_distinct(X.filled(F.col("client_ip"))).alias("ip_count"))
-    doc = attach_sets(base.join(distinct, KEYS), inline_sets(user_members(logs), KEYS, SETS, cfg.inline_members),
-                      KEYS, SETS)
+    members = _members(logs)  # read twice below, shuffled once
+    counts = members.groupBy(*KEYS).agg(F.count_if(F.col("kind") == "uris").alias("unique_uris_count"),
+                                        F.count_if(F.col("kind") == "ip_set").alias("ip_count"))
+    doc = attach_sets(base.join(counts, KEYS), inline_sets(members, KEYS, SETS, cfg.inline_members), KEYS, SETS)
 
     # Crossing tokens of one window: inline while few, else null (replay_samples keeps them all as rows).
     limit = cfg.inline_members

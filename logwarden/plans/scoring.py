@@ -49,6 +49,7 @@ def run_scoring(logs: DataFrame, root: str, run: str, cfg: Config = Config(), pi
     if not write:
         return {"risk": score_logs(logs, cfg, pii, as_of=as_of)}
     spark = logs.sparkSession
+    logs = stage(logs, "logs")  # every step below reads some columns of the normalised logs
     out = {
         "user_events": write_daily(user_events(logs, cfg), f"{root}/user_events", run, day),
         "ip_events": write_daily(ip_events(logs, cfg), f"{root}/ip_events", run, day),

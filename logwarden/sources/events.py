@@ -26,10 +26,11 @@ def _text(*parts) -> Column:
 
 
 def raw_documents(events: DataFrame) -> DataFrame:
-    k, uid, ep, kind, eid = (F.col(c) for c in ("k", "uid", "ep", "event_type", "event_id"))
-    base = events.select(
-        "event_id", F.col("user_id").alias("uid"), "event_type", "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"), epoch_of_ntz(F.col("ts")).alias("ep"))
+    k, uid, ep, kind, eid, issued = (F.col(c) for c in ("k", "uid", "ep", "event_type", "event_id", "issued"))
+    parsed = F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), epoch_of_ntz(F.col("ts")).alias("ep"))
+    base = (events.select("event_id", F.col("user_id").alias("uid"), "event_type", "value",
+                          F.inline(F.array(parsed)))  # parsed once, see normalize_logs
+            .withColumn("issued", ep - (k % 9) * 60))
     uri = (F.when(kind == "click", _text("/api/products?p=", k % 20))
            .when(kind == "view", _text("/api/users/", F.when(k < 25, uid).otherwise((uid + k) % 150)))
            .when(kind == "purchase", _text("/api/orders/", k + 140000000))
@@ -39,25 +40,23 @@ def raw_documents(events: DataFrame) -> DataFrame:
               .when((kind == "signup") & (k < 10), "302").otherwise("200"))
     ip = (F.when(k < 10, F.lit("203.0.113.50")).when(k < 70, _text("118.235.82.", k % 6))
           .otherwise(_text("13.124.0.", k % 10)))
-    ip_class = F.when(k < 10, "unknown").when(k < 70, "cgnat_kr").otherwise("cloud")
-    signed = eid % 97 != 0
-    issued = ep - (k % 9) * 60
     iat = F.when(eid % 211 == 0, ep + 4000).otherwise(issued)
     exp = (F.when(eid % 211 == 0, ep + 4600).when(eid % 107 == 0, ep - 1).when(eid % 103 == 0, ep + 7200)
            .when(eid % 101 == 0, issued + 2400).otherwise(issued + 600))
     auth = F.when(eid % 109 == 0, ep - 90000).when(eid % 113 == 0, ep - 2700000).otherwise(issued)
     audience = F.when(eid % 127 == 0, F.lit("https://other.example")).otherwise(EXPECTED_AUDIENCE)
-    day = F.floor(ep / 86400)
-    jwt = F.struct(
-        F.lit("ES256").alias("alg"), F.when(k < 95, "key-1").otherwise("key-2").alias("kid"),
-        F.lit("JWT").alias("typ"), uid.cast("string").alias("sub"),
-        F.when(eid % 53 != 0, _text("jti-", uid, "-", day)).alias("jti"),
-        iat.alias("iat"), exp.alias("exp"), auth.alias("auth_time"), iat.alias("nbf"),
-        F.lit("https://auth.example/").alias("iss"), F.array(audience).alias("aud"),
-        F.when(kind == "click", "web").otherwise("app").alias("client_id"),
-        F.array(F.lit("openid"), F.lit("core")).alias("scp"), F.lit("aal1").alias("acr"),
-        F.array(F.lit("pwd")).alias("amr"),
-        F.struct(_text("lsid-", uid).alias("LSID"), iat.alias("fiat"), F.lit(2).alias("v")).alias("ext"))
+
+    def claims(**fields: Column) -> Column:
+        """A struct whose fields are null on unsigned requests. Spark drops the fields a query does not read."""
+        return F.struct(*[F.when(eid % 97 != 0, c).alias(n) for n, c in fields.items()])
+
+    jwt = claims(
+        alg=F.lit("ES256"), kid=F.when(k < 95, "key-1").otherwise("key-2"), typ=F.lit("JWT"),
+        sub=uid.cast("string"), jti=F.when(eid % 53 != 0, _text("jti-", uid, "-", F.floor(ep / 86400))),
+        iat=iat, exp=exp, auth_time=auth, nbf=iat, iss=F.lit("https://auth.example/"), aud=F.array(audience),
+        client_id=F.when(kind == "click", "web").otherwise("app"), scp=F.array(F.lit("openid"), F.lit("core")),
+        acr=F.lit("aal1"), amr=F.array(F.lit("pwd")),
+        ext=F.struct(_text("lsid-", uid).alias("LSID"), iat.alias("fiat"), F.lit(2).alias("v")))
     return base.select(
         eid.alias("log_id"), epoch_to_iso(ep).alias("@timestamp"),
         F.when(kind == "purchase", "POST").when(kind == "signup", "PUT").otherwise("GET").alias("method"),
@@ -65,12 +64,11 @@ def raw_documents(events: DataFrame) -> DataFrame:
         F.when(eid % 131 == 0, "n/a").otherwise((F.col("value") / 100).cast("string")).alias("response_time"),
         F.floor(F.col("value") * 100).cast("string").alias("bytes_sent"),
         _text("ua-", k % 4).alias("user_agent"), ip.alias("client_ip"), _text("10.0.1.", k % 3).alias("ip"),
-        ip_class.alias("ip_class"),
+        F.when(k < 10, "unknown").when(k < 70, "cgnat_kr").otherwise("cloud").alias("ip_class"),
         F.when(k < 10, "AS64500").when(k < 70, "AS4766").otherwise("AS16509").alias("ip_asn"),
         F.when(k >= 70, "cloud host").when(k >= 10, "carrier").alias("ip_org"),
         F.when((k >= 10) & (k < 70), "KR").otherwise("US").alias("ip_country"),
-        ((k >= 10) & (k < 70)).alias("is_nat_whitelisted"),
-        F.when(signed, jwt).alias("jwt"),
+        ((k >= 10) & (k < 70)).alias("is_nat_whitelisted"), jwt.alias("jwt"),
         F.struct(F.lit("events").alias("source"), F.when(eid % 89 == 0, "replayed").alias("scenario"),
                  F.when(eid % 89 == 0, F.lit(False)).alias("baseline_eligible")).alias("provenance"))
 
