@@ -30,8 +30,8 @@ def safe_float(c: Column) -> Column:
 
 def iso_to_epoch(c: Column) -> Column:
     """ISO text to epoch seconds; without a zone it is UTC; null when it is not a full date."""
-    clock = (F.when(F.endswith(c, F.lit("Z")) | c.rlike(_ZONE), c)
-             .when(F.length(c) == 10, F.concat(c, F.lit("T00:00:00Z"))).otherwise(F.concat(c, F.lit("Z"))))
+    clock = (F.when(F.endswith(c, F.lit("Z")), c).when(F.length(c) == 10, F.concat(c, F.lit("T00:00:00Z")))
+             .when(c.rlike(_ZONE), c).otherwise(F.concat(c, F.lit("Z"))))
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_seconds(clock.try_cast("timestamp")))
 
 
