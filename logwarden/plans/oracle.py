@@ -405,7 +405,7 @@ BARE_RISK = (LOGS, VIOL, USERW, IPW, _base(), _risk(pii=False))
 REVIEW = (LOGS, HITS, RESIDUAL, CANDIDATES)
 BASE_COLUMNS = "metric, sample_count, mean, std, p50, p95, p99, cold_start"
 SPREAD = """
- CASE WHEN r < 1e-9 THEN 0.0 ELSE CASE WHEN a < 0 THEN a + 24 ELSE a END END AS hour,
+ CASE WHEN r < 1e-9 THEN 0.0 ELSE CASE WHEN a < 0 THEN (a + 24) % 24 ELSE a END END AS hour,
  CASE WHEN r >= 1 THEN 0.0 WHEN r < 1e-9 THEN 12.0 ELSE sqrt(-2 * ln(r)) * 24 / (2 * pi()) END AS spread"""
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logwarden.config import Config
 from logwarden.operators.scoring import score_users
 from logwarden.plans.scoring import update_profiles
-from logwarden.sources.sinks import committed, write_daily
+from logwarden.sources.sinks import committed, stage, write_daily
 from logwarden.streaming.windows import LATENESS, dedup, stream_user_windows
 
 
@@ -34,6 +34,8 @@ def profile_stream(logs: DataFrame, path: str, checkpoint: str, once: bool = Tru
         spark, run = batch.sparkSession, f"stream-{number}"
         log = committed(spark, path)
         if log is None or log.filter(F.col("run") == run).isEmpty():
-            update_profiles(spark, batch, path, run, whole_windows=False)
+            update_profiles(spark, stage(batch, "profile-batch"), path, run, whole_windows=False)
+        else:  # read it all the same: the de-duplication state of a micro-batch must be committed
+            batch.write.format("noop").mode("overwrite").save()
 
     return _start(dedup(logs, lateness), each, checkpoint, once, every)

@@ -1,0 +1,152 @@
+import random
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import rows
+from logwarden.config import BASELINE_METRICS, FACTORS, Config
+from logwarden.operators import baseline as B
+from logwarden.operators import scoring as S
+
+CFG = Config()
+USERS = ("target_id string, win bigint, window_start string, window_size string, request_count bigint, "
+         "response_bytes_total bigint, is_baseline_eligible boolean, class_crossings bigint, "
+         "country_crossings bigint, violation_score int, triggered_rules array<string>")
+IPS = ("target_id string, win bigint, window_start string, window_size string, unique_subs_count bigint, "
+       "response_bytes_total bigint, ip_class string, ip_asn string, ip_org string, ip_country string, "
+       "is_nat_whitelisted boolean, is_baseline_eligible boolean")
+BASE = "metric string, sample_count bigint, mean double, std double, cold_start boolean"
+
+
+def users(spark, *data):
+    return spark.createDataFrame([(t, 0, "t", "5min", n, b, ok, cc, co, v, r) for t, n, b, ok, cc, co, v, r in data],
+                                 USERS)
+
+
+def ips(spark, *data):
+    return spark.createDataFrame([(t, 0, "t", w, n, b, c, "AS1", "o", "US", False, ok) for t, w, n, b, c, ok in data],
+                                 IPS)
+
+
+def hand_baseline(spark):
+    return spark.createDataFrame([
+        ("request_burst", 979, 8.8, 6.3, False), ("response_size_burst", 979, 9000.0, 2500.0, False),
+        ("cumulative_exfil", 150, 40000.0, 12000.0, False), ("ip_user_diversity_5min", 32, None, None, True),
+        ("ip_user_diversity_24h", 32, None, None, True)], BASE)
+
+
+def expected(values):
+    n, s = len(values), sorted(values)
+    if not n:
+        return (0, 0.0, 0.0, 0.0, 0.0, 0.0, True)
+    return (n, round(statistics.fmean(values), 3), round(statistics.pstdev(values), 3),
+            *[round(float(s[min(n - 1, int(q * n))]), 3) for q in (0.5, 0.95, 0.99)], n < 100)
+
+
+def test_baseline_excludes_targets_and_marks_cold_metrics(spark):
+    rng = random.Random(42)
+    u = [(f"u{i}", max(1, int(rng.gauss(12, 3))), max(0, int(rng.gauss(8000, 2000))), True, 0, 0, 0, [])
+         for i in range(200)]
+    i24 = [(f"ip{i}", "24h", rng.randint(1, 4), max(0, int(rng.gauss(40000, 12000))), "cloud", True)
+           for i in range(150)]
+    noise = [("seeded", 5000, 1, False, 0, 0, 0, []), ("attacker", 900, 5000000, True, 0, 0, 0, [])]
+    hot = spark.createDataFrame([("attacker",)], "target_id string")
+    got = {r["metric"]: tuple(r[c] for c in ("sample_count", "mean", "std", "p50", "p95", "p99", "cold_start"))
+           for r in rows(B.compute_baseline(users(spark, *u, *noise), ips(spark, *i24), CFG, hot))}
+    assert set(got) == set(BASELINE_METRICS)
+    assert got["request_burst"] == expected([x[1] for x in u]) and got["request_burst"][1] < 20
+    assert got["response_size_burst"] == expected([x[2] for x in u])
+    assert got["ip_user_diversity_24h"] == expected([x[2] for x in i24])
+    assert got["cumulative_exfil"] == expected([x[3] for x in i24])
+    assert got["ip_user_diversity_5min"] == expected([])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_percentiles_are_exact_for_any_spread(spark, seed):
+    """Skewed, tiny, huge and negative values; a third of all values equal."""
+    rng = random.Random(seed)
+    groups = {f"m{k}": [rng.choice([7, rng.randint(-10**4, 10**4), rng.randint(0, 10**rng.randint(1, 15))])
+                        for _ in range(rng.choice([1, 2, 99, 700]))] for k in range(4)}
+    df = spark.createDataFrame([(m, v) for m, vs in groups.items() for v in vs], "metric string, value bigint")
+    got = {r["metric"]: (r["p50"], r["p95"], r["p99"]) for r in rows(B.percentiles(df))}
+    assert got == {m: expected(v)[3:6] for m, v in groups.items()}
+
+
+def test_golden_scores(spark):
+    risk = rows(S.risk_scores(
+        users(spark, ("140000511", 12, 9500, True, 0, 0, 0, []), ("140000007", 8, 4000, True, 1, 1, 0, [])),
+        ips(spark, ("118.235.82.230", "5min", 1, 9000, "cgnat_kr", True),
+            ("13.124.0.9", "5min", 100, 250000, "cloud", True), ("203.0.113.7", "24h", 40, 900000, "unknown", True),
+            ("175.197.50.12", "5min", 50, 80000, "cgnat_kr", True), ("1.1.1.1", "1h", 6, 0, None, True)),
+        hand_baseline(spark), CFG))
+    got = {r["target_id"]: (r["total_score"], r["dominant_factor"], r["attacker_level"]) for r in risk}
+    assert got == {
+        "140000511": (0, None, "L0"), "140000007": (80, "token_replay", "L2"), "118.235.82.230": (0, None, "L0"),
+        "13.124.0.9": (70, "ip_user_diversity", "L4"), "203.0.113.7": (70, "ip_user_diversity", "L4(Slow & Low)"),
+        "175.197.50.12": (30, "ip_user_diversity", "L4"), "1.1.1.1": (30, "ip_user_diversity", "L4")}
+    meta = {r["target_id"]: r["ip_user_diversity_meta"] for r in risk if r["target_type"] == "ip"}
+    assert meta["175.197.50.12"]["capped"] and meta["175.197.50.12"]["raw_score"] == 70
+    assert meta["175.197.50.12"]["cap_reason"] == "ip_class=cgnat_kr whitelist soft cap"
+    assert meta["1.1.1.1"]["baseline_sample_count"] == 0 and meta["1.1.1.1"]["cold_start_fallback_applied"]
+    slow = next(r for r in risk if r["target_id"] == "203.0.113.7")
+    assert slow["factor_breakdown"]["cumulative_exfil"] == 50
+
+
+def reference_combine(f):
+    override = max(f["ip_user_diversity"], f["response_sensitivity"])
+    add = f["token_violation"] + f["token_replay"] + 0.3 * (
+        f["request_burst"] + f["response_size_burst"] + f["cumulative_exfil"])
+    total = min(100, round(max(override, add)))
+    if total == 0:
+        return 0, None
+    if override >= add:
+        return total, ("ip_user_diversity" if f["ip_user_diversity"] >= f["response_sensitivity"]
+                       else "response_sensitivity")
+    weighted = {"token_violation": f["token_violation"], "token_replay": f["token_replay"],
+                **{k: 0.3 * f[k] for k in ("request_burst", "response_size_burst", "cumulative_exfil")}}
+    return total, max(weighted, key=weighted.get)
+
+
+def test_combination_against_brute_force(spark):
+    rng = random.Random(1)
+    pool = {"token_violation": [0, 20, 30, 80], "request_burst": range(26), "token_replay": [0, 80],
+            "response_size_burst": range(31), "ip_user_diversity": [0, 30, 70, 100],
+            "response_sensitivity": [0, 50, 70], "cumulative_exfil": range(51)}
+    cases = [{k: rng.choice(list(v)) if rng.random() < .5 else 0 for k, v in pool.items()} for _ in range(2000)]
+    df = spark.createDataFrame([(i, *[c[k] for k in FACTORS]) for i, c in enumerate(cases)],
+                               "i int, " + ", ".join(f"{k} int" for k in FACTORS))
+    total, dominant = S.combine({k: F.col(k) for k in FACTORS})
+    got = df.select("i", total.alias("t"), dominant.alias("d")).orderBy("i").collect()
+    assert [(r.t, r.d) for r in got] == [reference_combine(c) for c in cases]
+
+
+def test_levels_and_exfiltration(spark):
+    cases = [({}, None, "5min", "L0"), ({"token_replay": 80}, "token_replay", "5min", "L2"),
+             ({"ip_user_diversity": 70}, "ip_user_diversity", "5min", "L4"),
+             ({"ip_user_diversity": 100}, "ip_user_diversity", "24h", "L4(Slow & Low)"),
+             ({"cumulative_exfil": 50}, "cumulative_exfil", "24h", "L4(Slow & Low)"),
+             ({"response_sensitivity": 70, "token_replay": 80}, "response_sensitivity", "5min", "L2"),
+             ({"response_sensitivity": 50}, "response_sensitivity", "5min", "L4"),
+             ({"request_burst": 25}, "request_burst", "5min", "L2")]
+    df = spark.createDataFrame(
+        [(i, *[f.get(k, 0) for k in FACTORS], dom, win) for i, (f, dom, win, _) in enumerate(cases)],
+        "i int, " + ", ".join(f"{k} int" for k in FACTORS) + ", dominant_factor string, window_size string")
+    got = rows(S.classify(df).orderBy("i"))
+    assert [g["attacker_level"] for g in got] == [c[3] for c in cases]
+    assert (got[5]["data_exfiltration_detected"], got[5]["suspected_exfiltration"]) == (True, False)
+    assert (got[6]["data_exfiltration_detected"], got[6]["suspected_exfiltration"]) == (False, True)
+
+
+def test_pii_and_summary(spark):
+    u = users(spark, *[(x, 1, 1, True, 0, 0, 0, []) for x in "abcd"])
+    pii = spark.createDataFrame([("a", 12, 0, False), ("b", 0, 5, False), ("c", 0, 0, True)],
+                                "user_id string, email int, phone int, doorlock_with_address boolean")
+    risk = S.risk_scores(u, ips(spark), hand_baseline(spark), CFG, pii)
+    got = {r["target_id"]: r["factor_breakdown"]["response_sensitivity"] for r in rows(risk)}
+    assert got == {"a": 70, "b": 50, "c": 70, "d": 0}
+    assert rows(S.risk_summary(risk, CFG)) == [{"total_docs": 4, "alert_count": 3, "max_score": 70,
+                                                "exfil_flagged": 2}]
+    assert rows(S.dominant_histogram(risk, CFG)) == [{"dominant_factor": "response_sensitivity", "alerts": 3}]
+    assert rows(S.risk_summary(risk.limit(0), CFG))[0]["max_score"] == 0
+    assert {r["target_id"] for r in rows(S.alerting(risk, CFG, S.score_p99(risk)))} == {"a", "c"}
