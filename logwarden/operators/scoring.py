@@ -112,14 +112,14 @@ def classify(scored: DataFrame) -> DataFrame:
     """Adds level and exfiltration flags to rows that have the factor columns and ``dominant_factor``."""
     f = {k: F.col(k) for k in FACTORS}
     rs = f["response_sensitivity"]
-    return (scored.withColumn("attacker_level", attacker_level(f, F.col("dominant_factor"), F.col("window_size")))
-            .withColumn("data_exfiltration_detected", rs >= 70)
-            .withColumn("suspected_exfiltration", (rs >= 50) & (rs < 70)))
+    return scored.withColumns({
+        "attacker_level": attacker_level(f, F.col("dominant_factor"), F.col("window_size")),
+        "data_exfiltration_detected": rs >= 70, "suspected_exfiltration": (rs >= 50) & (rs < 70)})
 
 
 def _total(df: DataFrame) -> DataFrame:
     total, dominant = combine({k: F.col(k) for k in FACTORS})
-    return df.withColumn("total_score", total).withColumn("dominant_factor", dominant)
+    return df.withColumns({"total_score": total, "dominant_factor": dominant})
 
 
 def user_factors(users: DataFrame, baseline: DataFrame, pii: DataFrame | None = None) -> DataFrame:
@@ -132,14 +132,13 @@ def user_factors(users: DataFrame, baseline: DataFrame, pii: DataFrame | None =
         signals = pii.select(F.col("user_id").alias("target_id"), "email", "phone", "doorlock_with_address")
         rows = rows.join(signals, "target_id", "left")
         sensitivity = response_sensitivity(F.col("email"), F.col("phone"), F.col("doorlock_with_address"))
-    return (rows
-            .withColumn("token_violation", F.col("violation_score"))
-            .withColumn("request_burst", request_burst(F.col("z_requests")))
-            .withColumn("token_replay", token_replay(F.col("class_crossings"), F.col("country_crossings")))
-            .withColumn("response_size_burst", response_size_burst(F.col("z_bytes")))
-            .withColumn("ip_user_diversity", none)
-            .withColumn("response_sensitivity", sensitivity)
-            .withColumn("cumulative_exfil", none).drop("d_requests", "z_requests", "d_bytes", "z_bytes"))
+    return rows.withColumns({
+        "token_violation": F.col("violation_score"),
+        "request_burst": request_burst(F.col("z_requests")),
+        "token_replay": token_replay(F.col("class_crossings"), F.col("country_crossings")),
+        "response_size_burst": response_size_burst(F.col("z_bytes")),
+        "ip_user_diversity": none, "response_sensitivity": sensitivity, "cumulative_exfil": none,
+    }).drop("d_requests", "z_requests", "d_bytes", "z_bytes")
 
 
 def ip_factors(ips: DataFrame, baseline: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -159,14 +158,12 @@ def ip_factors(ips: DataFrame, baseline: DataFrame, cfg: Config = Config()) -> D
         F.col("d_subs.mean").alias("baseline_mean"), F.col("d_subs.std").alias("baseline_std"),
         F.coalesce(F.col("d_subs.sample_count"), F.lit(0).cast("bigint")).alias("baseline_sample_count"),
         F.col("z_subs").isNull().alias("cold_start_fallback_applied"))
-    return (rows
-            .withColumn("token_violation", none).withColumn("request_burst", none)
-            .withColumn("token_replay", none).withColumn("response_size_burst", none)
-            .withColumn("ip_user_diversity", F.when(F.col("capped"), F.lit(cfg.soft_cap)).otherwise(F.col("raw")))
-            .withColumn("response_sensitivity", none)
-            .withColumn("cumulative_exfil", cumulative_exfil(F.col("z_bytes")))
-            .withColumn("ip_user_diversity_meta", meta)
-            .drop("d_subs", "z_subs", "d_bytes", "z_bytes", "raw", "capped"))
+    return rows.withColumns({
+        "token_violation": none, "request_burst": none, "token_replay": none, "response_size_burst": none,
+        "ip_user_diversity": F.when(F.col("capped"), F.lit(cfg.soft_cap)).otherwise(F.col("raw")),
+        "response_sensitivity": none, "cumulative_exfil": cumulative_exfil(F.col("z_bytes")),
+        "ip_user_diversity_meta": meta,
+    }).drop("d_subs", "z_subs", "d_bytes", "z_bytes", "raw", "capped")
 
 
 def score_users(users: DataFrame, baseline: DataFrame, pii: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,12 @@ EXPECTED_AUDIENCE = "https://api.example"
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The events, spread over the cores when the file gives fewer scan tasks than that (a small test table).
+
+    A table with enough splits is never shuffled here.
+    """
+    events, cores = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.sparkContext.defaultParallelism
+    return events if events.rdd.getNumPartitions() >= cores else events.repartition(cores)
 
 
 def _text(*parts) -> Column:
