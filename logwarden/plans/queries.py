@@ -23,9 +23,10 @@ from logwarden.operators import user_windows as U
 from logwarden.operators.normalize import normalize_logs as normalized
 from logwarden.operators.normalize import token_fields
 from logwarden.plans.rule_batch import review_batch, rule_documents
-from logwarden.plans.scoring import score_logs, score_with_feedback
+from logwarden.plans.scoring import score_logs, score_with_feedback, staged_windows
 from logwarden.sources import events as E
 from logwarden.sources import logs as scans
+from logwarden.sources.sinks import stage
 from logwarden.streaming import windows as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,15 +232,16 @@ def ip_event_members(spark, d):
 
 @query
 def baseline_distributions(spark, d):
-    logs = logs_of(spark, d)
-    return B.compute_baseline(U.user_windows(logs, CFG), I.ip_windows(logs), CFG).drop("computed_at")
+    users, ips = staged_windows(logs_of(spark, d), CFG)
+    return B.compute_baseline(users, ips, CFG).drop("computed_at")
 
 
 @query
 def baseline_excluding_high_risk(spark, d):
-    logs = logs_of(spark, d)
-    return B.compute_baseline(U.user_windows(logs, CFG), I.ip_windows(logs), CFG,
-                              B.high_risk_targets(score_logs(logs, CFG), CFG)).drop("computed_at")
+    users, ips = staged_windows(logs_of(spark, d), CFG)
+    risk = S.risk_scores(users, ips, B.compute_baseline(users, ips, CFG), CFG)
+    hot = stage(B.high_risk_targets(risk, CFG), "high-risk")
+    return B.compute_baseline(users, ips, CFG, hot).drop("computed_at")
 
 
 @query
@@ -290,7 +292,7 @@ def dominant_histogram(spark, d):
 
 @query
 def alerts_above_p99(spark, d):
-    risk = score_logs(logs_of(spark, d), CFG)
+    risk = stage(score_logs(logs_of(spark, d), CFG), "risk")
     return S.alerting(risk, CFG, S.score_p99(risk)).select("target_type", "target_id", "window_start", "window_size",
                                                            "total_score")
 

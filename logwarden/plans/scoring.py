@@ -15,15 +15,19 @@ from logwarden.operators.user_windows import user_events, user_windows, windows_
 from logwarden.sources.sinks import read_state, stage, write_daily, write_state
 
 
+def staged_windows(logs: DataFrame, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """User and IP windows, written once because the baseline and the scores both read them."""
+    return stage(user_windows(logs, cfg), "user-windows"), stage(ip_windows(logs), "ip-windows")
+
+
 def score_logs(logs: DataFrame, cfg: Config = Config(), pii: DataFrame | None = None,
                excluded: DataFrame | None = None, baseline: DataFrame | None = None,
                as_of: str | None = None) -> DataFrame:
     """Risk documents of all windows in ``logs``.
 
-    Both window tables feed the baseline and then the scores, so they are staged once instead of scanning the
-    logs twice. ``baseline`` may come from an earlier run; otherwise the same logs define it.
+    ``baseline`` may come from an earlier run; otherwise the same logs define it.
     """
-    users, ips = stage(user_windows(logs, cfg), "user-windows"), stage(ip_windows(logs), "ip-windows")
+    users, ips = staged_windows(logs, cfg)
     if baseline is None:
         baseline = compute_baseline(users, ips, cfg, excluded, as_of)
     return risk_scores(users, ips, baseline, cfg, pii, as_of)
@@ -35,10 +39,10 @@ def score_with_feedback(logs: DataFrame, previous_risk: DataFrame | None = None,
 
     ``previous_risk`` replaces the first round by the stored scores of an earlier run.
     """
-    users, ips = stage(user_windows(logs, cfg), "user-windows"), stage(ip_windows(logs), "ip-windows")
+    users, ips = staged_windows(logs, cfg)
     if previous_risk is None:
         previous_risk = risk_scores(users, ips, compute_baseline(users, ips, cfg), cfg, pii)
-    excluded = high_risk_targets(previous_risk, cfg)
+    excluded = stage(high_risk_targets(previous_risk, cfg), "high-risk")  # read by every metric of the baseline
     return risk_scores(users, ips, compute_baseline(users, ips, cfg, excluded), cfg, pii)
 
 
