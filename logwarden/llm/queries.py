@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.llm import bpe
-from logwarden.llm.common import table
+from logwarden.llm.common import staged, table
 from logwarden.llm.decontaminate import find_benchmark
+from logwarden.llm.learning import remainder
 from logwarden.llm.line_dedup import dedupe_lines
+from logwarden.llm.quality_model import pool_documents, score_quality, train_quality, word_vectors
+from logwarden.llm.quality_rules import judge
 from logwarden.llm.sharding import shard_rows
+from logwarden.llm.simhash import near_duplicates
+from logwarden.llm.toxicity import score_toxicity, train_toxicity
 
 
 @lru_cache(maxsize=4)
@@ -42,13 +47,41 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "deduped.n_lines", "deduped.n_dropped", F.sha2("deduped.text", 256).alias("kept_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
+        "doc_id", F.lower(F.lpad(F.hex("group.fingerprint"), 16, "0")).alias("fingerprint"), "group.component_id")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model, keep=["doc_id"]).select(
+        "doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_line_dedup, op6_sharding)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pooled = staged(pool_documents(docs, word_vectors(docs), keep=["doc_id"]), "pooled")
+    model = train_quality(pooled, table(spark, sf_dir, "labels"))
+    return score_quality(pooled, model, keep=["doc_id"]).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("doc_id", *(f"quality.counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+                         "quality.base_failed", "quality.kept")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_byte_bpe, op3_line_dedup, op4_simhash, op5_toxicity, op6_sharding, op9_quality_classifier,
+    op10_quality_rules)}
 
 ORACLE = {
     "op1_decontamination": r"""
