@@ -12,7 +12,9 @@ from logwarden.llm import bpe
 from logwarden.llm.common import staged, table
 from logwarden.llm.decontaminate import find_benchmark
 from logwarden.llm.learning import remainder
+from logwarden.llm.licenses import scan_licences
 from logwarden.llm.line_dedup import dedupe_lines
+from logwarden.llm.pii import scan_personal
 from logwarden.llm.quality_model import pool_documents, score_quality, train_quality, word_vectors
 from logwarden.llm.quality_rules import judge
 from logwarden.llm.sharding import shard_rows
@@ -65,6 +67,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_personal(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pooled = staged(pool_documents(docs, word_vectors(docs), keep=["doc_id"]), "pooled")
@@ -80,7 +91,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_byte_bpe, op3_line_dedup, op4_simhash, op5_toxicity, op6_sharding, op9_quality_classifier,
+    op1_decontamination, op2_byte_bpe, op3_line_dedup, op4_simhash, op5_toxicity, op6_sharding, op7_licenses, op8_personal_data, op9_quality_classifier,
     op10_quality_rules)}
 
 ORACLE = {
