@@ -106,7 +106,7 @@ def _concentrated(points: DataFrame, estimates: DataFrame, share: float) -> Data
     return total.mapInPandas(_inverted, f"lang string, source string, {ESTIMATE}")
 
 
-def robust_estimates(points: DataFrame, share: float = 0.7, steps: int = 5) -> DataFrame:
+def robust_estimates(points: DataFrame, share: float = 0.55, steps: int = 5) -> DataFrame:
     """Minimum-covariance-determinant estimates (center, precision, scale) of VALUES for each language and source.
 
     From medians and quartile ranges, ``steps`` concentration steps each take the ``share`` of a group nearest to the last
