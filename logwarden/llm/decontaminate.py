@@ -60,7 +60,7 @@ def automaton(pieces: list[tuple[str, list[bytes]]], window: int) -> tuple[dict[
         for i in range(max(1, len(ids) - window + 1)):
             items.setdefault(tuple(ids[i:i + window]), set()).add(item)
     built = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, who in items.items():
+    for key, who in (items or {(1,): set()}).items():  # without items, a word that no text has
         built.add_word(key, (len(key), frozenset(who)))
     built.make_automaton()
     return numbers, built
