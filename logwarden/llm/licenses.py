@@ -160,6 +160,11 @@ def spaces(text):
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def normalised(docs: DataFrame) -> DataFrame:
+    """doc_id, mark and words. The one-element explode keeps Spark from copying the expression into what reads it."""
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), F.explode(F.array(words_between_spaces(F.col("text")))).alias("words"))
+
+
 def licence_detections(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """A row for each place where a signature matches, with ``kept``.
 
@@ -174,7 +179,7 @@ def licence_detections(docs: DataFrame, rules: list[Rule] | None = None) -> Data
     doc_id, mark (hash of the text), name, label, priority, weight, base, start, end, kept.
     """
     table = F.from_json(F.lit(json.dumps([asdict(r) for r in rules or signatures()])), RULES)
-    text = docs.select("doc_id", F.xxhash64("text").alias("mark"), words_between_spaces(F.col("text")).alias("words"))
+    text = normalised(docs)
     gate = F.lit(False)
     for g in GATES:
         gate = gate | F.contains("words", F.lit(g))
@@ -200,8 +205,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     ``score`` is the largest weight among kept detections, 0 without any. Rows that repeat an id and text are all
     there; other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), words_between_spaces(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "mark", F.when(F.length("words") <= 2, 0).otherwise(spaces(F.col("words")) - 1).cast("long").alias("n_words"))
+    rows = normalised(docs).select("doc_id", "mark", F.when(F.length("words") <= 2, 0).otherwise(spaces(F.col("words")) - 1).cast("long").alias("n_words"))
     labels = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     found = (licence_detections(docs).groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"))
              .agg(F.count_if("base").alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
