@@ -63,10 +63,6 @@ class Config:
     cluster_min_ips: int = 5
     cluster_samples: int = 10
 
-    # window documents: a set is written inline when it has at most this many members; the member
-    # tables always hold the whole set. Below 1000 so that Spark can trim each group before its shuffle.
-    inline_members: int = 500
-
     # baseline and scoring
     min_samples: int = 100
     exclude_score: int = 70

@@ -46,6 +46,17 @@ def epoch_of_ntz(c: Column) -> Column:
     return F.floor(since.cast("interval second").cast("decimal(20,6)")).cast("bigint")
 
 
+def day_of(epoch: Column) -> Column:
+    """The UTC date of an instant."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(epoch / 86400).cast("int"))
+
+
+def log_position() -> Column:
+    """Order of logs by time, then by id, as one number."""
+    return F.expr("CAST(CAST(receive_epoch AS DECIMAL(13,0)) * CAST('10000000000000000000' AS DECIMAL(20,0)) "
+                  "+ log_id AS DECIMAL(38,0))")
+
+
 def window_start(epoch: Column, seconds: int) -> Column:
     return epoch - F.pmod(epoch, F.lit(seconds))
 
@@ -101,6 +112,10 @@ def round_half_even(x: Column, digits: int) -> Column:
     """
     if digits == 0:
         return F.rint(x)
+    return F.transform(F.array(x), lambda v: _half_even(v, digits))[0]  # binds the value, which is used many times
+
+
+def _half_even(x: Column, digits: int) -> Column:
     m = float(10**digits)
     split = 134217729.0  # 2**27 + 1
     p = x * F.lit(m)

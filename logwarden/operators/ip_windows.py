@@ -1,7 +1,8 @@
 """Per-IP windows of three lengths.
 
-``ip_windows`` holds the measures that baselines and scoring read; ``ip_events`` adds the sets. The exact
-count of subjects is a two-step distinct, so the rows of a hot address spread over its subjects.
+``ip_windows`` holds the measures that baselines and scoring read; whole sets are rows of ``ip_members``. All lengths
+roll up from one table of (address, 5 minutes, subject), so logs are shuffled once and a hot address spreads over its
+subjects.
 """
 
 from __future__ import annotations
@@ -9,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.config import IP_WINDOWS, Config
+from logwarden.config import IP_WINDOWS
 from logwarden.functions import scalar as X
-from logwarden.operators.members import attach_sets, inline_sets, member_rows
+from logwarden.operators.members import member_rows
 
 KEYS = ["client_ip", "window_size", "win"]
 META = ["ip_class", "ip_asn", "ip_org", "ip_country", "is_nat_whitelisted"]
-SETS = ["sub_set", "request_methods", "ua_set"]
 
 
 def _lenses(epoch: Column) -> Column:
@@ -33,19 +33,26 @@ def _smallest(df: DataFrame) -> DataFrame:
     return df.withColumn("win", X.window_start(F.col("receive_epoch"), IP_WINDOWS[0][1]))
 
 
-def ip_measures(logs: DataFrame) -> DataFrame:
-    rows = keyed(logs).select(
-        "client_ip", _lenses(F.col("receive_epoch")).alias("w"), "status", "uri", "bytes_sent",
-        X.filled(F.col("user_id")).alias("subject"),
-        F.coalesce("baseline_eligible", F.lit(True)).alias("eligible"),
-    ).select("client_ip", "w.*", "status", "uri", "bytes_sent", "subject", "eligible")
-    return rows.groupBy(*KEYS).agg(
+def subject_grain(logs: DataFrame, keys: list[str]) -> DataFrame:
+    """Measures per subject within ``keys``; additive but for the subject, which becomes a count."""
+    return (logs.withColumn("subject", X.filled(F.col("user_id"))).groupBy(*keys, "subject").agg(
         F.count(F.lit(1)).alias("request_count"),
         F.count_if(F.col("status") >= 400).alias("error_count"),
         F.count_if(X.is_sensitive(F.col("uri"))).alias("suspicious_uri_count"),
-        F.count_distinct("subject").alias("unique_subs_count"),
         F.sum("bytes_sent").alias("response_bytes_total"),
-        F.bool_and("eligible").alias("is_baseline_eligible"))
+        F.bool_and(F.coalesce("baseline_eligible", F.lit(True))).alias("is_baseline_eligible")))
+
+
+def _sums() -> list[Column]:
+    return [*[F.sum(c).alias(c) for c in ("request_count", "error_count", "suspicious_uri_count", "response_bytes_total")],
+            F.bool_and("is_baseline_eligible").alias("is_baseline_eligible")]
+
+
+def ip_measures(logs: DataFrame) -> DataFrame:
+    small = subject_grain(_smallest(keyed(logs)), ["client_ip", "win"])
+    rows = small.withColumn("w", _lenses(F.col("win"))).drop("win").select("*", "w.*").drop("w")
+    return (rows.groupBy(*KEYS, "subject").agg(*_sums()).groupBy(*KEYS)
+            .agg(*_sums(), F.count("subject").alias("unique_subs_count")))
 
 
 def ip_heads(logs: DataFrame) -> DataFrame:
@@ -54,9 +61,7 @@ def ip_heads(logs: DataFrame) -> DataFrame:
     An address rarely has two sets of metadata, so grouping by the metadata itself leaves about one row per
     (address, 5 min); only those few rows go through ``min_by``, whose struct buffer needs a sort.
     """
-    position = F.expr("CAST(CAST(receive_epoch AS DECIMAL(13,0)) * CAST('10000000000000000000' AS DECIMAL(20,0)) "
-                      "+ log_id AS DECIMAL(38,0))")
-    small = _smallest(keyed(logs)).groupBy("client_ip", "win", *META).agg(F.min(position).alias("position"))
+    small = _smallest(keyed(logs)).groupBy("client_ip", "win", *META).agg(F.min(X.log_position()).alias("position"))
     rows = small.select("client_ip", _lenses(F.col("win")).alias("w"), "position", F.struct(*META).alias("meta"))
     return (rows.groupBy("client_ip", F.col("w.window_size"), F.col("w.win"))
             .agg(F.min_by("meta", "position").alias("meta")).select(*KEYS, "meta.*"))
@@ -78,12 +83,6 @@ def ip_members(logs: DataFrame) -> DataFrame:
             .select("client_ip", "w.*", "kind", "member").distinct())
 
 
-def ip_events(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """The whole IP-window document."""
-    base = ip_windows(logs).withColumnRenamed("target_id", "client_ip")
-    doc = attach_sets(base, inline_sets(ip_members(logs), KEYS, SETS, cfg.inline_members), KEYS, SETS)
-    return doc.select(
-        F.col("window_start").alias("@timestamp"), F.lit("ip").alias("target_type"),
-        F.col("client_ip").alias("target_id"), "win", "window_start", "window_size", "request_count",
-        "error_count", "suspicious_uri_count", "unique_subs_count", "sub_set", "response_bytes_total",
-        "request_methods", "ua_set", *META, "is_baseline_eligible")
+def ip_events(logs: DataFrame) -> DataFrame:
+    """The IP-window document."""
+    return ip_windows(logs).select(F.col("window_start").alias("@timestamp"), F.lit("ip").alias("target_type"), "*")

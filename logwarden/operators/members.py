@@ -1,16 +1,14 @@
-"""Distinct members of a group, as rows first and as bounded arrays second.
+"""Distinct members of a group, as rows.
 
-A group may hold a large share of all rows, so its distinct values never meet in one task: they are
-de-duplicated by (group, kind, member), which spreads a hot group over the cluster, and stay rows. An array
-is built only from the first ``limit + 1`` members, which Spark picks before the shuffle (WindowGroupLimit);
-a group with more members gets null instead of a partial array.
+A group may hold a large share of all rows, so its distinct values never meet in one task or one row: they are
+de-duplicated by (group, kind, member), which spreads a hot group over the cluster, and stay rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,20 +18,3 @@ def member_rows(df: DataFrame, keys: list[str], kinds: Mapping[str, Column]) ->
                       for k, c in kinds.items()])
     return (df.select(*keys, F.explode(F.filter(pairs, lambda p: p["member"] != "")).alias("m"))
             .select(*keys, "m.kind", "m.member").distinct())
-
-
-def inline_sets(members: DataFrame, keys: list[str], kinds: list[str], limit: int) -> DataFrame:
-    """One row per group with a sorted array per kind; null where the kind has more than ``limit`` members."""
-    order = Window.partitionBy(*keys, "kind").orderBy("member")
-    head = members.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit + 1)
-    sets = head.groupBy(*keys).agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("member")))).alias(k) for k in kinds])
-    return sets.select(*keys, *[F.when(F.size(k) <= limit, F.col(k)).alias(k) for k in kinds])
-
-
-def attach_sets(df: DataFrame, sets: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
-    """Left join; a group without any member gets empty arrays, an oversized one keeps null."""
-    empty = F.array().cast("array<string>")
-    joined = df.join(sets.withColumn("has_sets", F.lit(True)), keys, "left")
-    return joined.select(*df.columns, *[
-        F.when(F.col("has_sets"), F.col(k)).otherwise(empty).alias(k) for k in kinds])

@@ -1,8 +1,8 @@
 """Accumulated user profiles.
 
-A profile is not folded document by document. Its state is a handful of tables whose rows merge by key with
-associative aggregates, so a delta of any size merges into the stored state in one aggregation per table, in
-any order. Trimming (top endpoints, recent tokens) happens when a profile is read, on exact counts.
+A profile is not folded document by document. Logs become partial rows by user and event day (``partials``), whose
+measures are associative, so partials of any batches, in any order, add up to the same state (``merged``). Trimming (top
+endpoints, recent tokens) happens when a profile is read, on exact counts.
 """
 
 from __future__ import annotations
@@ -23,19 +23,14 @@ STATUS = ["s2xx", "s3xx", "s4xx", "s5xx"]
 State = Mapping[str, DataFrame]
 
 
-def _position() -> Column:
-    return F.expr("CAST(CAST(receive_epoch AS DECIMAL(13,0)) * CAST('10000000000000000000' AS DECIMAL(20,0)) "
-                  "+ log_id AS DECIMAL(38,0))")
-
-
 def keyed(logs: DataFrame) -> DataFrame:
     return UW.keyed(logs.filter(F.col("user_id") != ""))
 
 
-# -- deltas ---------------------------------------------------------------------------------------------------
+# -- partials -------------------------------------------------------------------------------------------------
 
 def window_rows(logs: DataFrame) -> DataFrame:
-    """One row per (user, window): its additive facts. The key is what makes repeated batches harmless."""
+    """One row per (user, window): its additive facts."""
     auth = F.when(F.col("auth_time") != 0, F.col("auth_time"))
     return keyed(logs).groupBy(*UW.KEYS).agg(
         F.count(F.lit(1)).alias("requests"),
@@ -74,8 +69,8 @@ def _present(name: str, c: Column) -> Column:
     return c != 0 if name == "token_lifetime" else c != ""
 
 
-def claims_of(logs: DataFrame) -> DataFrame:
-    """Latest non-empty claims per user, taken from the first log of each window.
+def head_rows(logs: DataFrame) -> DataFrame:
+    """The claims of the first log of each (user, window).
 
     Claims rarely change inside a window, so grouping by their values leaves about one row per window before
     anything has to be sorted.
@@ -83,9 +78,16 @@ def claims_of(logs: DataFrame) -> DataFrame:
     both = (F.col("jwt_expires_at") != 0) & (F.col("jwt_issued_at") != 0)
     rows = keyed(logs).withColumn("token_lifetime", F.when(
         both, X.difference(F.col("jwt_expires_at"), F.col("jwt_issued_at"))))
-    variants = rows.groupBy(*UW.KEYS, *CLAIMS).agg(F.min(_position()).alias("position"))
-    heads = variants.groupBy(*UW.KEYS).agg(F.min_by(F.struct(*CLAIMS), "position").alias("head"),
-                                           F.min("position").alias("position"))
+    variants = rows.groupBy(*UW.KEYS, *CLAIMS).agg(F.min(X.log_position()).alias("position"))
+    return _merge_heads(variants.select(*UW.KEYS, "position", F.struct(*CLAIMS).alias("head")))
+
+
+def _merge_heads(df: DataFrame) -> DataFrame:
+    return df.groupBy(*UW.KEYS).agg(F.min_by("head", "position").alias("head"), F.min("position").alias("position"))
+
+
+def claims_of(heads: DataFrame) -> DataFrame:
+    """Latest non-empty claims per user."""
     latest = F.struct("win", (-F.col("position")).alias("order"))  # latest window, then its first log
     return _merge_claims(heads.select("user_id", *[
         c for name in CLAIMS for c in (F.col(f"head.{name}").alias(name), F.when(
@@ -98,77 +100,129 @@ def _merge_claims(df: DataFrame) -> DataFrame:
         for a in (F.max_by(name, f"{name}_at").alias(name), F.max(f"{name}_at").alias(f"{name}_at"))])
 
 
-def tokens_of(logs: DataFrame) -> DataFrame:
-    """Last window of every token id, key id and session id of a user."""
+def token_rows(logs: DataFrame) -> DataFrame:
+    """Last window of every token id, key id and session id of a user and day."""
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in TOKEN_KINDS.items()])
     return (keyed(logs).select("user_id", "win", F.explode(F.filter(pairs, lambda p: p["value"] != "")).alias("p"))
-            .groupBy("user_id", F.col("p.kind").alias("kind"), F.col("p.value").alias("value"))
+            .groupBy(X.day_of(F.col("win")).alias("day"), "user_id", F.col("p.kind").alias("kind"), F.col("p.value").alias("value"))
             .agg(F.max("win").alias("last_win")))
 
 
-def _merge_tokens(df: DataFrame) -> DataFrame:
-    return df.groupBy("user_id", "kind", "value").agg(F.max("last_win").alias("last_win"))
+def _merge_tokens(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by, "user_id", "kind", "value").agg(F.max("last_win").alias("last_win"))
 
 
-def endpoints_of(logs: DataFrame) -> DataFrame:
+def endpoint_rows(logs: DataFrame) -> DataFrame:
     return (keyed(logs).filter(F.col("uri") != "").withColumn("path", X.path_of(F.col("uri")))
-            .groupBy("user_id", "path")
+            .groupBy(X.day_of(F.col("win")).alias("day"), "user_id", "path")
             .agg(F.count(F.lit(1)).alias("count"), F.max("receive_epoch").alias("last_seen")))
 
 
-def _merge_endpoints(df: DataFrame) -> DataFrame:
-    return df.groupBy("user_id", "path").agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"))
+def _merge_endpoints(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by, "user_id", "path").agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"))
 
 
 IP_META = ["ip_class", "ip_asn", "ip_country"]
 
 
-def ips_of(logs: DataFrame) -> DataFrame:
-    """Addresses of a user; each metadata field keeps its first non-empty value."""
-    variants = keyed(logs).filter(F.col("client_ip") != "").groupBy("user_id", "client_ip", *IP_META).agg(
+def ip_rows(logs: DataFrame) -> DataFrame:
+    """Addresses of a user and day; each metadata field keeps its first non-empty value."""
+    variants = keyed(logs).filter(F.col("client_ip") != "").groupBy(
+        X.day_of(F.col("win")).alias("day"), "user_id", "client_ip", *IP_META).agg(
         F.count(F.lit(1)).alias("count"), F.min("receive_epoch").alias("first_seen"),
-        F.max("receive_epoch").alias("last_seen"), F.min(_position()).alias("position"))
+        F.max("receive_epoch").alias("last_seen"), F.min(X.log_position()).alias("position"))
     return _merge_ips(variants.select(
-        "user_id", "client_ip", "count", "first_seen", "last_seen", *[
+        "day", "user_id", "client_ip", "count", "first_seen", "last_seen", *[
             c for m in IP_META for c in (X.filled(F.col(m)).alias(m),
-                                         F.when(F.col(m) != "", F.col("position")).alias(f"{m}_at"))]))
+                                         F.when(F.col(m) != "", F.col("position")).alias(f"{m}_at"))]), "day")
 
 
-def _merge_ips(df: DataFrame) -> DataFrame:
-    return df.groupBy("user_id", "client_ip").agg(
+def _merge_ips(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by, "user_id", "client_ip").agg(
         F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         *[a for m in IP_META for a in (F.min_by(m, f"{m}_at").alias(m), F.min(f"{m}_at").alias(f"{m}_at"))])
 
 
-MERGE = {"windows": _merge_windows, "claims": _merge_claims, "tokens": _merge_tokens,
-         "endpoints": _merge_endpoints, "ips": _merge_ips}
+ALERT = "user_id string, win bigint, total_score int, dominant_factor string, attacker_level string, " \
+        "data_exfiltration_detected boolean, triggered_rules array<string>, day date"
 
 
-def profile_state(logs: DataFrame) -> dict[str, DataFrame]:
-    """The mergeable state of a set of logs."""
-    return {"windows": window_rows(logs), "claims": claims_of(logs), "tokens": tokens_of(logs),
-            "endpoints": endpoints_of(logs), "ips": ips_of(logs)}
+def alert_rows(risk: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """The user rows of a risk table that enter the history."""
+    kept = risk.filter((F.col("target_type") == "user") & (F.col("target_id") != "")
+                       & (F.col("total_score") >= cfg.alert_score))
+    return kept.select(F.col("target_id").alias("user_id"), "win", "total_score", "dominant_factor", "attacker_level",
+                       "data_exfiltration_detected", "triggered_rules", X.day_of(F.col("win")).alias("day"))
+
+
+def partials(logs: DataFrame) -> dict[str, DataFrame]:
+    """The partial rows of a set of logs, each with its event day."""
+    def dated(df: DataFrame) -> DataFrame:
+        return df.withColumn("day", X.day_of(F.col("win")))
+
+    return {"windows": dated(window_rows(logs)), "heads": dated(head_rows(logs)), "tokens": token_rows(logs),
+            "endpoints": endpoint_rows(logs), "ips": ip_rows(logs),
+            "seen": keyed(logs).select("log_id", X.day_of(F.col("win")).alias("day")).distinct()}
 
 
-def unseen(logs: DataFrame, state: State | None) -> DataFrame:
-    """Logs of (user, window) pairs the state does not hold yet: what makes a repeated run change nothing."""
-    if state is None:
-        return logs
-    return keyed(logs).join(state["windows"].select(*UW.KEYS), UW.KEYS, "left_anti").drop("win")
+def _latest_alerts(df: DataFrame) -> DataFrame:
+    """One row per (user, window): that of the newest commit, whatever runs overlap."""
+    fields = [c for c in df.columns if c not in ("user_id", "win", "version")]
+    return (df.groupBy("user_id", "win").agg(F.max_by(F.struct(*fields), "version").alias("a"))
+            .select("user_id", "win", "a.*"))
 
 
-def merge_state(old: State | None, delta: State) -> dict[str, DataFrame]:
-    if old is None:
-        return dict(delta)
-    return {name: merge(old[name].unionByName(delta[name])) for name, merge in MERGE.items()}
+def compacted(parts: State) -> dict[str, DataFrame]:
+    """Partials of many commits as those of one, day by day."""
+    day = X.day_of(F.col("win")).alias("day")
+    return {"windows": _merge_windows(parts["windows"]).withColumn("day", day),
+            "heads": _merge_heads(parts["heads"]).withColumn("day", day),
+            "tokens": _merge_tokens(parts["tokens"], "day"), "endpoints": _merge_endpoints(parts["endpoints"], "day"),
+            "ips": _merge_ips(parts["ips"], "day"), "seen": parts["seen"].select("log_id", "day").distinct(),
+            "alerts": _latest_alerts(parts["alerts"])}
 
 
-def upsert_counts(old: State | None, delta: State) -> DataFrame:
-    """One row: users created and users updated by a delta."""
-    users = delta["windows"].select("user_id").distinct()
-    known = users.limit(0) if old is None else old["windows"].select("user_id").distinct()
-    return users.join(known.withColumn("known", F.lit(True)), "user_id", "left").agg(
-        F.count_if(F.col("known").isNull()).alias("created"), F.count(F.lit(1)).alias("updated"))
+def merged(parts: State) -> dict[str, DataFrame]:
+    """The state of all users that partials add up to."""
+    state = {"windows": _merge_windows(parts["windows"]), "claims": claims_of(_merge_heads(parts["heads"])),
+             "tokens": _merge_tokens(parts["tokens"]), "endpoints": _merge_endpoints(parts["endpoints"]),
+             "ips": _merge_ips(parts["ips"])}
+    if "alerts" in parts:
+        state["alerts"] = _latest_alerts(parts["alerts"])
+    return state
+
+
+def together(*several: State) -> dict[str, DataFrame]:
+    """Partials of several batches."""
+    first, *rest = several
+    out = dict(first)
+    for more in rest:
+        out = {name: rows.unionByName(more[name], allowMissingColumns=True) for name, rows in out.items()}
+    return out
+
+
+def profile_state(logs: DataFrame) -> dict[str, DataFrame]:
+    return merged(partials(logs))
+
+
+def unseen(logs: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """Logs of users that are not in ``seen`` (log_id, day), each once: what makes repeats and overlaps change nothing."""
+    rows = keyed(logs).dropDuplicates(["log_id"]).withColumn("day", X.day_of(F.col("win")))
+    if seen is not None:
+        rows = rows.join(seen.select("log_id", "day"), ["log_id", "day"], "left_anti")
+    return rows.drop("win", "day")
+
+
+def upsert_counts(logs: DataFrame, fresh: State, old: State | None) -> DataFrame:
+    """One row: users created, user windows that entered a profile, and windows without a user id."""
+    windows = fresh["windows"].select("user_id", "win").distinct()
+    users = windows.select("user_id").distinct()
+    created = users if old is None else users.join(old["windows"].select("user_id").distinct(), "user_id", "left_anti")
+    nameless = UW.keyed(logs.filter(F.col("user_id") == "")).select("win").distinct()
+    one = [created.select(F.lit("created").alias("kind")), windows.select(F.lit("updated").alias("kind")),
+           nameless.select(F.lit("failed").alias("kind"))]
+    rows = one[0].unionByName(one[1]).unionByName(one[2])
+    return rows.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("created", "updated", "failed")])
 
 
 # -- reading --------------------------------------------------------------------------------------------------
@@ -217,7 +271,7 @@ def behavior(totals: DataFrame) -> DataFrame:
 
 
 def recent_tokens(tokens: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """The last distinct values of each kind, oldest first."""
+    """The last distinct values of each kind, oldest first, and the exact number of sessions (of which the newest are listed)."""
     keep = (F.when(F.col("kind") == "jti", cfg.keep_jtis).when(F.col("kind") == "kid", cfg.keep_kids)
             .otherwise(cfg.keep_sessions))
     newest = Window.partitionBy("user_id", "kind").orderBy(F.desc("last_win"), F.desc("value"))
@@ -229,8 +283,10 @@ def recent_tokens(tokens: DataFrame, cfg: Config = Config()) -> DataFrame:
         pairs = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("last_win", "value"))))
         return F.transform(pairs, lambda p: p["value"])
 
-    return kept.groupBy("user_id").agg(
+    lists = kept.groupBy("user_id").agg(
         values("jti").alias("known_jtis"), values("session").alias("known_lsids"), values("kid").alias("known_kids"))
+    sessions = tokens.groupBy("user_id").agg(F.count_if(F.col("kind") == "session").alias("known_lsid_count"))
+    return lists.join(sessions, "user_id")
 
 
 def top_endpoints(endpoints: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -246,15 +302,15 @@ def top_ips(ips: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def location(ips: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Most used addresses, and the countries, networks and classes of all addresses."""
     entry = F.struct("rank", F.col("client_ip").alias("ip"), *IP_META, "first_seen", "last_seen", "count")
-
-    def known(name: str) -> Column:
-        return F.array_sort(F.array_distinct(F.array_compact(F.transform("entries", lambda e: e[name]))))
-
-    return (top_ips(ips, cfg).groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    listed = top_ips(ips, cfg).groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    known = ips.groupBy("user_id").agg(*[  # a user's countries, networks and classes: few values, whatever its addresses
+        F.array_sort(F.collect_set(m)).alias(name)
+        for m, name in (("ip_country", "known_countries"), ("ip_asn", "known_asns"), ("ip_class", "known_ip_classes"))])
+    return (listed.join(known, "user_id")
             .select("user_id", F.transform("entries", lambda e: e.dropFields("rank")).alias("known_ips"),
-                    F.size("entries").alias("known_ip_count"), known("ip_country").alias("known_countries"),
-                    known("ip_asn").alias("known_asns"), known("ip_class").alias("known_ip_classes"),
+                    F.size("entries").alias("known_ip_count"), "known_countries", "known_asns", "known_ip_classes",
                     F.col("entries")[0]["ip"].alias("primary_ip")))
 
 
@@ -264,9 +320,12 @@ LEVEL_RANK = {"L0": 1, "L2": 2, "L4(Slow & Low)": 3, "L4": 4}
 
 def alert_history(risk: DataFrame, cfg: Config = Config(), as_of: int | None = None) -> DataFrame:
     """Risk history per user from user rows at or above the alert score; "last" means the latest window."""
+    return history_of(alert_rows(risk, cfg), as_of)
+
+
+def history_of(rows: DataFrame, as_of: int | None = None) -> DataFrame:
+    """Risk history per user from alert rows, one per window."""
     level = F.coalesce(*[F.when(F.col("attacker_level") == k, F.lit(v)) for k, v in LEVEL_RANK.items()], F.lit(0))
-    rows = risk.filter((F.col("target_type") == "user") & (F.col("target_id") != "")
-                       & (F.col("total_score") >= cfg.alert_score))
 
     def within(days: int) -> Column:
         if as_of is None:
@@ -274,7 +333,7 @@ def alert_history(risk: DataFrame, cfg: Config = Config(), as_of: int | None = N
         return F.count_if(F.col("win").between(as_of - days * 86400, as_of))
 
     rule = F.try_element_at("triggered_rules", F.lit(1))
-    out = rows.groupBy(F.col("target_id").alias("user_id")).agg(
+    out = rows.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_alerts"), F.max("win").alias("last_alert_epoch"),
         F.max_by("dominant_factor", "win").alias("last_alert_dominant_factor"),
         F.max_by(rule, F.when(rule.isNotNull(), F.col("win"))).alias("last_alert_rule"),
@@ -304,7 +363,12 @@ def trust_level(first_seen: Column, alerts: Column, as_of: int) -> Column:
 
 
 def user_profiles(state: State, as_of: int, history: DataFrame | None = None, cfg: Config = Config()) -> DataFrame:
-    """The nested profile document of every user, including users known only from alerts."""
+    """The nested profile document of every user, including users known only from alerts.
+
+    Without a ``history`` it is made from the state's alerts, if there are any.
+    """
+    if history is None and "alerts" in state:
+        history = history_of(state["alerts"], as_of)
     endpoint = F.struct("rank", "path", "count", "last_seen")
     paths = (top_endpoints(state["endpoints"], cfg).groupBy("user_id")
              .agg(F.array_sort(F.collect_list(endpoint)).alias("e"))
@@ -328,7 +392,7 @@ def user_profiles(state: State, as_of: int, history: DataFrame | None = None, cf
     return doc.select(
         "user_id", "first_seen", "last_seen", "total_active_days",
         F.struct("known_jtis", F.size("known_jtis").alias("known_jti_count"), "known_lsids",
-                 F.size("known_lsids").alias("known_lsid_count"), "known_kids",
+                 "known_lsid_count", "known_kids",
                  *[F.col(c).alias(f"typical_{c}") for c in CLAIMS],
                  "first_auth", "last_auth").alias("jwt_pattern"),
         F.struct("requests_total", "success_total", "error_total", "error_ratio", "response_bytes_total",

@@ -1,7 +1,7 @@
 """Seven factors, their combination, attacker levels: column arithmetic on window tables.
 
-The baseline (one row per metric) reaches the rows as a scalar subquery holding a six-entry map, so scoring
-adds no join and no shuffle.
+The baseline is six numbers' worth of distributions. They are read first and stand in the plan as constants, so scoring
+adds no join and no shuffle, and filters on scores copy numbers only.
 """
 
 from __future__ import annotations
@@ -9,25 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.config import FACTORS, Config
+from logwarden.config import BASELINE_METRICS, FACTORS, IP_WINDOWS, Config
 from logwarden.functions.scalar import argmax_name, round_half_even
 
 
-def baseline_map(baseline: DataFrame) -> Column:
-    """metric -> distribution, as one value. ``baseline`` has at most one row per metric."""
-    dist = F.struct("sample_count", "mean", "std", "cold_start")
-    return baseline.agg(F.map_from_entries(F.collect_list(F.struct("metric", dist)))).scalar()
+DIST = "struct<sample_count: bigint, mean: double, std: double, cold_start: boolean>"
+
+
+def distributions(baseline: DataFrame) -> dict[str, Column]:
+    """metric -> distribution, as constants. Of several runs the newest counts; six rows at most are fetched."""
+    order = [F.col(c) for c in ("ingest_date", "run", "computed_at") if c in baseline.columns] or [F.lit(0)]
+    newest = (baseline.filter(F.col("metric").isin(*BASELINE_METRICS)).groupBy("metric")
+              .agg(F.max_by(F.struct("sample_count", "mean", "std", "cold_start"), F.struct(*order)).alias("d")))
+    return {r["metric"]: F.struct(*(F.lit(r["d"][c]).alias(c) for c in ("sample_count", "mean", "std", "cold_start"))).cast(DIST)
+            for r in newest.collect()}
 
 
 # The column each distribution is compared with.
 MEASURES = {"requests": "request_count", "bytes": "response_bytes_total", "subs": "unique_subs_count"}
 
 
-def _with_dist(df: DataFrame, baseline: DataFrame, **metrics: Column) -> DataFrame:
-    """Adds d_x (distribution of the metric) and z_x (z-score) for each measure; a null metric has neither."""
-    rows = df.withColumn("dist", baseline_map(baseline))
-    rows = rows.withColumns({f"d_{x}": F.col("dist")[metric] for x, metric in metrics.items()}).drop("dist")
-    return rows.withColumns({f"z_{x}": zscore(F.col(MEASURES[x]), F.col(f"d_{x}")) for x in metrics})
+def _with_dist(df: DataFrame, **dists: Column) -> DataFrame:
+    """Adds d_x (distribution) and z_x (z-score) for each measure; both null where there is no distribution."""
+    rows = df.withColumns({f"d_{x}": d for x, d in dists.items()})
+    return rows.withColumns({f"z_{x}": zscore(F.col(MEASURES[x]), F.col(f"d_{x}")) for x in dists})
 
 
 def zscore(value: Column, dist: Column) -> Column:
@@ -125,7 +130,8 @@ def _total(df: DataFrame) -> DataFrame:
 def user_factors(users: DataFrame, baseline: DataFrame, pii: DataFrame | None = None) -> DataFrame:
     """Factor columns of user windows. ``pii`` = (user_id, email, phone, doorlock_with_address), one row a user."""
     none = F.lit(0)
-    rows = _with_dist(users, baseline, requests=F.lit("request_burst"), bytes=F.lit("response_size_burst"))
+    known, absent = distributions(baseline), F.lit(None).cast(DIST)
+    rows = _with_dist(users, requests=known.get("request_burst", absent), bytes=known.get("response_size_burst", absent))
     if pii is None:
         sensitivity = none
     else:
@@ -145,8 +151,9 @@ def ip_factors(ips: DataFrame, baseline: DataFrame, cfg: Config = Config()) -> D
     """Factor columns of IP windows and the record behind ip_user_diversity."""
     none = F.lit(0)
     day = F.col("window_size") == "24h"
-    rows = (_with_dist(ips, baseline, subs=F.concat(F.lit("ip_user_diversity_"), "window_size"),
-                       bytes=F.when(day, "cumulative_exfil"))
+    known, absent = distributions(baseline), F.lit(None).cast(DIST)
+    subs = F.coalesce(*(F.when(F.col("window_size") == label, known.get(f"ip_user_diversity_{label}", absent)) for label, _ in IP_WINDOWS))
+    rows = (_with_dist(ips, subs=subs, bytes=F.when(day, known.get("cumulative_exfil", absent)))
             .withColumn("raw", diversity_raw(F.col("unique_subs_count"), F.col("z_subs")))
             .withColumn("capped", F.coalesce(F.col("ip_class").isin(*cfg.soft_capped_classes), F.lit(False))
                         & (F.col("raw") > cfg.soft_cap)))
@@ -170,8 +177,6 @@ def score_users(users: DataFrame, baseline: DataFrame, pii: DataFrame | None = N
     rows = classify(_total(user_factors(users, baseline, pii)))
     replay = [F.col("class_crossings").alias("jti_count_with_class_crossing"),
               F.col("country_crossings").alias("jti_count_with_country_crossing")]
-    if "replay_samples" in users.columns:
-        replay.append(F.col("replay_samples").alias("violating_samples"))
     return _document(rows, "user", ["triggered_rules",
                                     F.struct(F.struct(*replay).alias("token_replay")).alias("evidence")])
 

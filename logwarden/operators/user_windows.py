@@ -1,7 +1,8 @@
 """Per-user 5-minute windows.
 
 ``user_windows`` is the table that baselines, scoring and profiles read: plain measures, two hash aggregations
-over one scan. ``user_events`` is the full document with its sets and samples.
+over one scan. ``user_events`` is the document: exact counts and the first violations. Sets of any size are rows of
+``user_members`` and ``replay_samples``, keyed by the window.
 """
 
 from __future__ import annotations
@@ -11,11 +12,10 @@ from pyspark.sql import functions as F
 
 from logwarden.config import USER_WINDOW, Config
 from logwarden.functions import scalar as X
-from logwarden.operators.members import attach_sets, inline_sets, member_rows
+from logwarden.operators.members import member_rows
 from logwarden.operators.rules import TOKEN_RULES, hit, token_violations
 
 KEYS = ["user_id", "win"]
-SETS = ["ip_set", "jti_set", "alg_set", "kid_set"]
 
 
 def keyed(logs: DataFrame) -> DataFrame:
@@ -91,32 +91,25 @@ def user_windows(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def user_members(logs: DataFrame) -> DataFrame:
     """Whole sets as rows: (user_id, win, kind, member)."""
-    return _members(logs).filter(F.col("kind") != "uris")
-
-
-def _members(logs: DataFrame) -> DataFrame:
-    uri = F.concat(F.lit("u"), F.coalesce("uri", F.lit("")))  # the empty URI counts as one
     return member_rows(keyed(logs), KEYS, {
-        "ip_set": F.col("client_ip"), "jti_set": F.col("jwt_id"), "alg_set": F.col("alg"), "kid_set": F.col("kid"),
-        "uris": uri})
+        "ip_set": F.col("client_ip"), "jti_set": F.col("jwt_id"), "alg_set": F.col("alg"), "kid_set": F.col("kid")})
 
 
-def replay_samples(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """One row per (window, jti) seen across a class or country border, with where it was seen.
+def replay_samples(logs: DataFrame) -> DataFrame:
+    """Where tokens seen across a class or country border were seen: (user_id, win, jti, crossing_type, kind, member).
 
-    Both the test and the sets read the same de-duplicated rows, so Spark shuffles the logs once.
+    Tokens that cross are found on hashes, as in ``token_grain``; only their logs are then opened.
     """
-    token, kinds = [*KEYS, "jti"], ["ip_set", "ip_class_set", "ip_country_set"]
-    seen = member_rows(
-        keyed(logs).withColumn("jti", X.filled(F.col("jwt_id"))).filter("jti IS NOT NULL"), token,
-        dict(zip(kinds, (F.col("client_ip"), F.col("ip_class"), F.col("ip_country")))))
-    ips, classes, countries = (F.count_if(F.col("kind") == k) for k in kinds)
-    crossed = (seen.groupBy(*token).agg(ips.alias("ips"), classes.alias("classes"), countries.alias("countries"))
-               .filter((F.col("ips") > 0) & ((F.col("classes") > 1) | (F.col("countries") > 1)))
-               .select(*token, F.when(F.col("classes") > 1, "ip_class").otherwise("ip_country")
-                       .alias("crossing_type")))
-    sets = inline_sets(seen.join(crossed.select(*token), token, "left_semi"), token, kinds, cfg.inline_members)
-    return attach_sets(crossed, sets, token, kinds)
+    token = [*KEYS, "jti"]
+    rows = keyed(logs).withColumn("jti", X.filled(F.col("jwt_id"))).filter("jti IS NOT NULL")
+    code = lambda name: F.when(F.col(name) != "", F.xxhash64(name))
+    crossed = (rows.groupBy(*token).agg(
+        F.bool_or(F.coalesce(F.col("client_ip") != "", F.lit(False))).alias("has_ip"),
+        *(f(code(name)).alias(f"{name}_{end}") for name in ("ip_class", "ip_country") for end, f in (("lo", F.min), ("hi", F.max))))
+        .filter("has_ip AND (ip_class_lo <> ip_class_hi OR ip_country_lo <> ip_country_hi)")
+        .select(*token, F.when(F.col("ip_class_lo") != F.col("ip_class_hi"), "ip_class").otherwise("ip_country").alias("crossing_type")))
+    return member_rows(rows.join(crossed, token), [*token, "crossing_type"], {
+        "ip_set": F.col("client_ip"), "ip_class_set": F.col("ip_class"), "ip_country_set": F.col("ip_country")})
 
 
 def violation_samples(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -130,24 +123,13 @@ def violation_samples(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def user_events(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """The whole user-window document."""
-    base = user_windows(logs, cfg).withColumnRenamed("target_id", "user_id")
-    members = _members(logs)  # read twice below, shuffled once
-    counts = members.groupBy(*KEYS).agg(F.count_if(F.col("kind") == "uris").alias("unique_uris_count"),
-                                        F.count_if(F.col("kind") == "ip_set").alias("ip_count"))
-    doc = attach_sets(base.join(counts, KEYS), inline_sets(members, KEYS, SETS, cfg.inline_members), KEYS, SETS)
-
-    # Crossing tokens of one window: inline while few, else null (replay_samples keeps them all as rows).
-    limit = cfg.inline_members
-    first = Window.partitionBy(*KEYS).orderBy("jti")
-    replays = (replay_samples(logs, cfg).withColumn("rn", F.row_number().over(first))
-               .filter(F.col("rn") <= limit + 1).groupBy(*KEYS)
-               .agg(F.array_sort(F.collect_list(F.struct("jti", "ip_set", "ip_class_set", "ip_country_set",
-                                                         "crossing_type"))).alias("replays")))
-    kind = replays.schema["replays"].dataType
+    """The user-window document."""
+    uri = F.concat(F.lit("u"), F.coalesce("uri", F.lit("")))  # the empty URI counts as one
+    counts = (member_rows(keyed(logs), KEYS, {"ip": F.col("client_ip"), "uri": uri}).groupBy(*KEYS)
+              .agg(F.count_if(F.col("kind") == "uri").alias("unique_uris_count"), F.count_if(F.col("kind") == "ip").alias("ip_count")))
     samples = violation_samples(logs, cfg)
-    doc = doc.join(replays, KEYS, "left").join(samples, KEYS, "left")
-    replay_list = F.coalesce("replays", F.array().cast(kind))
+    doc = (user_windows(logs, cfg).withColumnRenamed("target_id", "user_id").join(counts, KEYS)
+           .join(samples, KEYS, "left"))
     violation_list = F.coalesce("violation_samples", F.array().cast(samples.schema["violation_samples"].dataType))
     requests = F.col("request_count")
     return doc.select(
@@ -155,14 +137,11 @@ def user_events(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
         F.lit("user").alias("target_type"), F.col("user_id").alias("target_id"), "win", "window_start",
         "window_size", "request_count", "success_count", "error_count",
         X.round_half_even(F.col("error_count") / requests, 4).alias("error_rate"),
-        "unique_uris_count", "suspicious_uri_count", "ip_set", "ip_count", "jti_set", "jti_count",
-        "alg_set", "kid_set", "response_bytes_total",
+        "unique_uris_count", "suspicious_uri_count", "ip_count", "jti_count", "response_bytes_total",
         X.round_half_even(F.col("response_bytes_total") / requests, 1).alias("response_bytes_avg"),
         "response_bytes_max",
         F.struct(F.col("class_crossings").alias("jti_count_with_class_crossing"),
-                 F.col("country_crossings").alias("jti_count_with_country_crossing"),
-                 F.when(F.size(replay_list) <= limit, replay_list).alias("violating_samples"),
-                 ).alias("token_replay_meta"),
+                 F.col("country_crossings").alias("jti_count_with_country_crossing")).alias("token_replay_meta"),
         F.struct(F.col("violation_score").alias("score"), F.col("triggered_rules"),
                  violation_list.alias("violating_samples")).alias("token_violation"),
         "is_baseline_eligible",
@@ -176,6 +155,5 @@ def windows_of(events: DataFrame) -> DataFrame:
         "suspicious_uri_count", "response_bytes_total", "response_bytes_max", "is_baseline_eligible", "jti_count",
         F.col("token_replay_meta.jti_count_with_class_crossing").alias("class_crossings"),
         F.col("token_replay_meta.jti_count_with_country_crossing").alias("country_crossings"),
-        F.col("token_replay_meta.violating_samples").alias("replay_samples"),
         F.col("token_violation.score").alias("violation_score"),
         F.col("token_violation.triggered_rules").alias("triggered_rules"))

@@ -368,6 +368,7 @@ ptok AS (
  SELECT user_id,
   coalesce(string_agg(v, ',' ORDER BY last_win, v) FILTER (kind = 'jti' AND rn <= 50), '') AS known_jtis,
   coalesce(string_agg(v, ',' ORDER BY last_win, v) FILTER (kind = 'session' AND rn <= 20), '') AS known_lsids,
+  count(*) FILTER (kind = 'session') AS known_lsid_count,
   coalesce(string_agg(v, ',' ORDER BY last_win, v) FILTER (kind = 'kid' AND rn <= 5), '') AS known_kids
  FROM pk GROUP BY user_id),
 pheads AS (
@@ -454,18 +455,25 @@ def oracle_statements() -> dict[str, str]:
         "user_events_5min": _with(LOGS, VIOL, USERW) + f"""
             SELECT window_start AS "@timestamp", 'user' AS target_type, target_id, win, window_start, window_size,
              request_count, success_count, error_count, {_r('error_count / request_count', 4)} AS error_rate,
-             unique_uris_count, suspicious_uri_count, ip_set, ip_count, jti_set, jti_count, alg_set, kid_set,
-             response_bytes_total, {_r('response_bytes_total / request_count', 1)} AS response_bytes_avg,
-             response_bytes_max, class_crossings, country_crossings, replay_jtis, violation_score, triggered_rules,
+             unique_uris_count, suspicious_uri_count, ip_count, jti_count, response_bytes_total, {_r('response_bytes_total / request_count', 1)} AS response_bytes_avg,
+             response_bytes_max, class_crossings, country_crossings, violation_score, triggered_rules,
              violation_samples, is_baseline_eligible FROM uw""",
         "user_windows": _with(LOGS, VIOL, USERW) + """
             SELECT target_id, win, window_start, window_size, request_count, success_count, error_count,
              suspicious_uri_count, response_bytes_total, response_bytes_max, is_baseline_eligible, jti_count,
              class_crossings, country_crossings, violation_score, triggered_rules FROM uw""",
         "token_replay": _with(LOGS, VIOL, USERW) + """
-            SELECT user_id, win, jti, CASE WHEN cc THEN 'ip_class' ELSE 'ip_country' END AS crossing_type, ip_set,
-             ip_class_set, ip_country_set FROM tok WHERE cc OR co""",
-        "ip_events_multi": _with(LOGS, IPW) + "SELECT window_start AS \"@timestamp\", 'ip' AS target_type, * FROM ipw",
+            SELECT DISTINCT user_id, win, jti, CASE WHEN cc THEN 'ip_class' ELSE 'ip_country' END AS crossing_type, kind, member
+            FROM tok JOIN (
+             SELECT user_id, win, jwt_id AS jti, 'ip_set' AS kind, client_ip AS member FROM ul UNION ALL
+             SELECT user_id, win, jwt_id, 'ip_class_set', ip_class FROM ul UNION ALL
+             SELECT user_id, win, jwt_id, 'ip_country_set', ip_country FROM ul) USING (user_id, win, jti)
+            WHERE (cc OR co) AND member IS NOT NULL""",
+        "ip_events_multi": _with(LOGS, IPW) + """
+            SELECT window_start AS "@timestamp", 'ip' AS target_type, * EXCLUDE (sub_set, request_methods, ua_set) FROM ipw""",
+        "user_windows_without_log_id": _with(LOGS, VIOL, USERW) + """
+            SELECT target_id, win, request_count, success_count, error_count, suspicious_uri_count, response_bytes_total,
+             jti_count, class_crossings, country_crossings, violation_score, triggered_rules FROM uw""",
         "ip_windows": _with(LOGS, IPW) + "SELECT * EXCLUDE (sub_set, request_methods, ua_set) FROM ipw",
         "user_event_members": _with(LOGS) + """, l AS (
             SELECT *, receive_epoch - receive_epoch % 300 AS win FROM logs WHERE user_id IS NOT NULL)
@@ -517,8 +525,7 @@ def oracle_statements() -> dict[str, str]:
         "review_candidates": _with(*REVIEW) + "SELECT * FROM cand",
         "review_requests": _with(*REVIEW, REQUESTS) + f"""
             SELECT user_id, review_win, request_count, reason, log_lines, log_id AS first_log,
-             'You are a security analyst. Examine this user''s activity.' || chr(10) || chr(10) || 'User: ' || user_id
-             || chr(10) || 'Requests: ' || request_count || chr(10) || chr(10) || 'Log:' || chr(10) || log_lines
+             'Access log of user ' || user_id || ', ' || request_count || ' requests:' || chr(10) || chr(10) || log_lines
              || chr(10) || chr(10) || '{instructions}' AS prompt FROM req""",
         "review_verdicts": _with(*REVIEW, REQUESTS, VERDICTS) + "SELECT user_id, review_win, log_id, uri, rule, severity, "
             "reason, rfc, mitre, cve, evidence FROM verdicts",
@@ -537,9 +544,9 @@ def oracle_statements() -> dict[str, str]:
         "profile_endpoints": _with(LOGS, PROFILE) + "SELECT * FROM pe WHERE rank <= 30",
         "profile_ips": _with(LOGS, PROFILE) + "SELECT * FROM pi WHERE rank <= 20",
         "profile_location": _with(LOGS, PROFILE) + f"""
-            SELECT user_id, count(*) AS known_ip_count, {_set('ip_country')} AS known_countries,
+            SELECT user_id, least(count(*), 20) AS known_ip_count, {_set('ip_country')} AS known_countries,
              {_set('ip_asn')} AS known_asns, {_set('ip_class')} AS known_ip_classes,
-             arg_min(client_ip, rank) AS primary_ip FROM pi WHERE rank <= 20 GROUP BY user_id""",
+             arg_min(client_ip, rank) AS primary_ip FROM pi GROUP BY user_id""",
         "profile_tokens": _with(LOGS, PROFILE) + "SELECT * FROM ptok",
         "profile_claims": _with(LOGS, PROFILE) + "SELECT * FROM pclaims",
         "profile_alerts": _with(*ALL_RISK, HISTORY) + """
@@ -567,9 +574,11 @@ def oracle_statements() -> dict[str, str]:
               WHEN {DAY_END} - prof.first_seen < 14 * 86400 THEN 'learning' ELSE 'established' END AS trust_level,
              data_points_count FROM prof JOIN ptok USING (user_id) JOIN pclaims USING (user_id)""",
         "profile_upsert_counts": _with(LOGS) + f""", a AS (
-            SELECT DISTINCT user_id FROM logs WHERE user_id IS NOT NULL AND receive_epoch < {SPLIT}),
-            b AS (SELECT DISTINCT user_id FROM logs WHERE user_id IS NOT NULL AND receive_epoch >= {SPLIT})
-            SELECT count(*) FILTER (user_id NOT IN (SELECT user_id FROM a)) AS created, count(*) AS updated FROM b""",
+            SELECT DISTINCT user_id FROM logs WHERE user_id <> '' AND receive_epoch < {SPLIT}),
+            b AS (SELECT DISTINCT user_id, receive_epoch // 300 AS w FROM logs WHERE user_id <> '' AND receive_epoch >= {SPLIT})
+            SELECT count(DISTINCT user_id) FILTER (user_id NOT IN (SELECT user_id FROM a)) AS created, count(*) AS updated,
+             (SELECT count(DISTINCT receive_epoch // 300) FROM logs WHERE user_id = '' AND receive_epoch >= {SPLIT}) AS failed
+            FROM b""",
         "streaming_user_events": _with(LOGS, VIOL, USERW) + f"""
             SELECT target_id, win, window_start, window_size, request_count, success_count, error_count,
              suspicious_uri_count, response_bytes_total, response_bytes_max, is_baseline_eligible, jti_count,
@@ -577,8 +586,11 @@ def oracle_statements() -> dict[str, str]:
             WHERE win + 300 <= {CLOSED}""",
         "streaming_ip_events": _with(LOGS, IPW) + f"""
             SELECT target_id, win, window_start, window_size, request_count, error_count, suspicious_uri_count,
-             unique_subs_count, response_bytes_total, is_baseline_eligible FROM ipw
-            WHERE window_size = '1h' AND win + 3600 <= {CLOSED}""",
+             unique_subs_count, response_bytes_total, ip_class, ip_asn, ip_org, ip_country, is_nat_whitelisted,
+             is_baseline_eligible FROM ipw WHERE window_size = '1h' AND win + 3600 <= {CLOSED}""",
+        "streaming_risk_scores": _with(*BARE_RISK) + f"""
+            SELECT target_type, target_id, win, window_size, total_score, dominant_factor, attacker_level FROM risk
+            WHERE win + CASE window_size WHEN '5min' THEN 300 WHEN '1h' THEN 3600 ELSE 86400 END <= {CLOSED}""",
         "streaming_dedup": _with(LOGS) + "SELECT log_id, user_id, uri, receive_epoch FROM logs",
         "streaming_rule_alerts": _with(LOGS, HITS) + "SELECT log_id, rule, severity, reason FROM hits",
         "streaming_subnet_clusters": _with(LOGS) + f""", s AS (

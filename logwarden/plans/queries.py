@@ -3,14 +3,13 @@ engine can be compared column by column."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.config import FACTORS, Config
+from logwarden.config import FACTORS, IP_WINDOWS, Config
 from logwarden.functions import scalar as X
 from logwarden.functions.labels import factor_label
 from logwarden.operators import alerts as A
@@ -37,7 +36,7 @@ CFG = Config(expected_audience=E.EXPECTED_AUDIENCE, review_window=86400)
 RANGE = (1704844800, 1705103999)  # 2024-01-10 to 2024-01-12
 DAY_END = 1706659200  # 2024-01-31
 TRUST_AS_OF = 1705363200  # 2024-01-16
-SPLIT = 1705276800  # 2024-01-15
+SPLIT = 1705276937  # 2024-01-15, inside a window
 SOME_USER = "8"
 
 REGISTRY: dict[str, Query] = {}
@@ -56,12 +55,18 @@ def logs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.event_logs(spark, sf_dir)
 
 
+def work_of(spark: SparkSession) -> str:
+    """Shared storage for tables that several steps read: the session's checkpoint folder, else its warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/work"
+
+
 def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pii_signals(E.read_events(spark, sf_dir))
 
 
 def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_logs(logs_of(spark, sf_dir), CFG, _pii(spark, sf_dir))
+    return score_logs(logs_of(spark, sf_dir), work_of(spark), CFG, _pii(spark, sf_dir))
 
 
 # -- sources, normalisation, expressions ----------------------------------------------------------------------
@@ -188,10 +193,8 @@ def recent_alerts(spark, d):
 @query
 def user_events_5min(spark, d):
     doc = U.user_events(logs_of(spark, d), CFG)
-    return (doc.withColumns({c: joined(c) for c in U.SETS})
-            .withColumn("class_crossings", F.col("token_replay_meta.jti_count_with_class_crossing"))
+    return (doc.withColumn("class_crossings", F.col("token_replay_meta.jti_count_with_class_crossing"))
             .withColumn("country_crossings", F.col("token_replay_meta.jti_count_with_country_crossing"))
-            .withColumn("replay_jtis", joined(F.transform("token_replay_meta.violating_samples", lambda s: s["jti"])))
             .withColumn("violation_score", F.col("token_violation.score"))
             .withColumn("triggered_rules", joined("token_violation.triggered_rules"))
             .withColumn("violation_samples", F.size("token_violation.violating_samples"))
@@ -205,13 +208,22 @@ def user_windows(spark, d):
 
 @query
 def token_replay(spark, d):
-    return U.replay_samples(logs_of(spark, d), CFG).withColumns(
-        {c: joined(c) for c in ("ip_set", "ip_class_set", "ip_country_set")})
+    return U.replay_samples(logs_of(spark, d))
+
+
+@query
+def user_windows_without_log_id(spark, d):
+    """Documents without an id, delivered twice: the derived id tells deliveries from documents."""
+    twice = E.raw_documents(E.read_events(spark, d)).drop("log_id").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    windows = U.user_windows(normalized(twice).dropDuplicates(["log_id"]), CFG)
+    return windows.select("target_id", "win", "request_count", "success_count", "error_count", "suspicious_uri_count",
+                          "response_bytes_total", "jti_count", "class_crossings", "country_crossings", "violation_score",
+                          joined("triggered_rules").alias("triggered_rules"))
 
 
 @query
 def ip_events_multi(spark, d):
-    return I.ip_events(logs_of(spark, d), CFG).withColumns({c: joined(c) for c in I.SETS})
+    return I.ip_events(logs_of(spark, d))
 
 
 @query
@@ -233,15 +245,15 @@ def ip_event_members(spark, d):
 
 @query
 def baseline_distributions(spark, d):
-    users, ips = staged_windows(logs_of(spark, d), CFG)
+    users, ips = staged_windows(logs_of(spark, d), work_of(spark), CFG)
     return B.compute_baseline(users, ips, CFG).drop("computed_at")
 
 
 @query
 def baseline_excluding_high_risk(spark, d):
-    users, ips = staged_windows(logs_of(spark, d), CFG)
+    users, ips = staged_windows(logs_of(spark, d), work_of(spark), CFG)
     risk = S.risk_scores(users, ips, B.compute_baseline(users, ips, CFG), CFG)
-    hot = stage(B.high_risk_targets(risk, CFG), "high-risk")
+    hot = stage(B.high_risk_targets(risk, CFG), work_of(spark), "high-risk")
     return B.compute_baseline(users, ips, CFG, hot).drop("computed_at")
 
 
@@ -253,7 +265,7 @@ def factor_scores(spark, d):
 @query
 def ip_diversity_meta(spark, d):
     logs = logs_of(spark, d)
-    return score_logs(logs, CFG).filter(F.col("target_type") == "ip").select(
+    return score_logs(logs, work_of(spark), CFG).filter(F.col("target_type") == "ip").select(
         "target_id", "window_start", "window_size", "ip_user_diversity_meta.*")
 
 
@@ -269,7 +281,7 @@ def risk_scores(spark, d):
 
 @query
 def risk_scores_with_feedback(spark, d):
-    return score_with_feedback(logs_of(spark, d), cfg=CFG).select(
+    return score_with_feedback(logs_of(spark, d), work_of(spark), cfg=CFG).select(
         "target_type", "target_id", "window_start", "window_size", "total_score", "dominant_factor",
         "attacker_level")
 
@@ -293,7 +305,7 @@ def dominant_histogram(spark, d):
 
 @query
 def alerts_above_p99(spark, d):
-    risk = stage(score_logs(logs_of(spark, d), CFG), "risk")
+    risk = stage(score_logs(logs_of(spark, d), work_of(spark), CFG), work_of(spark), "risk")
     return S.alerting(risk, CFG, S.score_p99(risk)).select("target_type", "target_id", "window_start", "window_size",
                                                            "total_score")
 
@@ -353,29 +365,29 @@ def profile_hours(spark, d):
 
 @query
 def profile_endpoints(spark, d):
-    return P.top_endpoints(P.endpoints_of(logs_of(spark, d)), CFG)
+    return P.top_endpoints(P.profile_state(logs_of(spark, d))["endpoints"], CFG)
 
 
 @query
 def profile_ips(spark, d):
-    return P.top_ips(P.ips_of(logs_of(spark, d)), CFG)
+    return P.top_ips(P.profile_state(logs_of(spark, d))["ips"], CFG)
 
 
 @query
 def profile_location(spark, d):
-    return (P.location(P.ips_of(logs_of(spark, d)), CFG).drop("known_ips")
+    return (P.location(P.profile_state(logs_of(spark, d))["ips"], CFG).drop("known_ips")
             .withColumns({c: joined(c) for c in ("known_countries", "known_asns", "known_ip_classes")}))
 
 
 @query
 def profile_tokens(spark, d):
-    return P.recent_tokens(P.tokens_of(logs_of(spark, d)), CFG).withColumns(
+    return P.recent_tokens(P.profile_state(logs_of(spark, d))["tokens"], CFG).withColumns(
         {c: joined(c) for c in ("known_jtis", "known_lsids", "known_kids")})
 
 
 @query
 def profile_claims(spark, d):
-    return P.claims_of(logs_of(spark, d)).select(
+    return P.profile_state(logs_of(spark, d))["claims"].select(
         "user_id", *[joined(c).alias(c) if c in ("audiences", "amr", "scopes") else c for c in P.CLAIMS])
 
 
@@ -393,7 +405,7 @@ def alert_recording(spark, d):
 def trust_levels(spark, d):
     logs = logs_of(spark, d)
     seen = P.totals_of(P.window_rows(logs)).select("user_id", "first_seen")
-    history = P.alert_history(score_logs(logs, CFG), CFG).select("user_id", "total_alerts")
+    history = P.alert_history(score_logs(logs, work_of(spark), CFG), CFG).select("user_id", "total_alerts")
     level = P.trust_level(F.col("first_seen"), F.col("total_alerts"), TRUST_AS_OF)
     return seen.join(history, "user_id", "full_outer").select(
         "user_id", "first_seen", F.coalesce("total_alerts", F.lit(0).cast("bigint")).alias("total_alerts"),
@@ -401,17 +413,18 @@ def trust_levels(spark, d):
 
 
 def _halves(spark, d):
+    """Partials of a first range that ends inside a window, the logs of a second that overlaps it, and what is new there."""
     events = E.read_events(spark, d)
-    begin = normalized(E.raw_documents(E.events_between(events, 0, SPLIT - 1)))
-    overlap = normalized(E.raw_documents(E.events_between(events, SPLIT - 3 * 86400, DAY_END)))
-    return P.profile_state(begin), overlap
+    old = P.partials(normalized(E.raw_documents(events.filter(E.before(SPLIT)))))
+    later = normalized(E.raw_documents(events.filter(~E.before(SPLIT - 3 * 86400))))
+    return old, later, stage(P.unseen(later, old["seen"]), work_of(spark), "profile-delta")
 
 
 @query
 def profile_merge(spark, d):
-    """A second, overlapping range merges into the first one's state and gives the profile of the whole."""
-    old, later = _halves(spark, d)
-    state = P.merge_state(old, P.profile_state(P.unseen(later, old)))
+    """A second, overlapping range merges into the first one's partials and gives the profile of the whole."""
+    old, _, fresh = _halves(spark, d)
+    state = P.merged(P.together(old, P.partials(fresh)))
     doc = P.user_profiles(state, DAY_END, cfg=CFG)
     return doc.select(
         "user_id", "first_seen", "last_seen", "total_active_days", "behavior.requests_total",
@@ -425,8 +438,8 @@ def profile_merge(spark, d):
 
 @query
 def profile_upsert_counts(spark, d):
-    old, later = _halves(spark, d)
-    return P.upsert_counts(old, P.profile_state(P.unseen(later, old)))
+    old, later, fresh = _halves(spark, d)
+    return P.upsert_counts(later, P.partials(fresh), old)
 
 
 # -- streaming ------------------------------------------------------------------------------------------------
@@ -438,14 +451,9 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drained(df: DataFrame) -> DataFrame:
-    """Runs a stream over what is there into a table in the session's checkpoint folder and reads it."""
+    """Runs a stream over what is there into a table on shared storage and reads it."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to shared storage: streams keep their state and output there")
-        root = tempfile.mkdtemp(prefix="run-checkpoint-")  # one machine only
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{work_of(spark)}/stream-{uuid.uuid4().hex}"
     ST.write_stream(df, f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
@@ -461,6 +469,19 @@ def streaming_ip_events(spark, d):
     return drained(ST.stream_ip_windows(_event_stream(spark, d), "1h"))
 
 
+@query
+def streaming_risk_scores(spark, d):
+    """Windows of users and of all address lengths as streams close them, scored against the baseline of the batch."""
+    baseline = B.compute_baseline(*staged_windows(logs_of(spark, d), work_of(spark), CFG), CFG)
+    users = S.score_users(drained(ST.stream_user_windows(_event_stream(spark, d), CFG)), baseline)
+    ips = [S.score_ips(drained(ST.stream_ip_windows(_event_stream(spark, d), label)), baseline, CFG) for label, _ in IP_WINDOWS]
+    columns = ["target_type", "target_id", "win", "window_size", "total_score", "dominant_factor", "attacker_level"]
+    out = users.select(*columns)
+    for df in ips:
+        out = out.unionByName(df.select(*columns))
+    return out
+
+
 @query
 def streaming_dedup(spark, d):
     """Every log is delivered twice, as overlapping polls do, and kept once."""

@@ -18,12 +18,7 @@ EXPECTED_AUDIENCE = "https://api.example"
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events, spread over the cores when the file gives fewer scan tasks than that (a small test table).
-
-    A table with enough splits is never shuffled here.
-    """
-    events, cores = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.sparkContext.defaultParallelism
-    return events if events.rdd.getNumPartitions() >= cores else events.repartition(cores)
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
 def _text(*parts) -> Column:
@@ -91,6 +86,11 @@ def events_between(events: DataFrame, start: int, end: int) -> DataFrame:
     return events.filter((F.col("ts") >= instant(start)) & (F.col("ts") < instant(end + 1)))
 
 
+def before(epoch: int) -> Column:
+    """Events before an instant."""
+    return F.col("ts") < F.lit(dt.datetime.fromtimestamp(epoch, dt.timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
+
+
 def pii_signals(events: DataFrame) -> DataFrame:
     """Per-user counts of personal data in responses, derived from the events."""
     k = F.get_json_object("props", "$.k").cast("int")

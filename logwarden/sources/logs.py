@@ -17,21 +17,23 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", provenance: s
              start: int | None = None, end: int | None = None) -> DataFrame:
     """Raw documents with a fixed schema (never inferred). ``fmt``: parquet or json.
 
-    With a range, whole days outside it are skipped when the store is partitioned by ``dt``. One day of slack
-    on each side covers documents filed under a local date.
+    With a range, whole days outside it are skipped where the store is partitioned by ``dt``, and the date in the text
+    of ``@timestamp`` is compared, which reaches the row groups of the files. A day of slack on each side covers local
+    dates and offsets.
     """
     schema = raw_schema(provenance)
-    stored = spark.read.format(fmt).schema(schema.add(DAY, "date")).load(path)
-    if start is None and end is None:
-        return stored.drop(DAY)
+    by_day = DAY in spark.read.format("text").load(path).columns  # from the names of folders, nothing is read
+    stored = spark.read.format(fmt).schema(schema.add(DAY, "date") if by_day else schema).load(path)
 
     def day(epoch: int, slack: int) -> dt.date:
         return dt.datetime.fromtimestamp(epoch, dt.timezone.utc).date() + dt.timedelta(days=slack)
 
     if start is not None:
-        stored = stored.filter(F.col(DAY).isNull() | (F.col(DAY) >= F.lit(day(start, -1))))
+        stored = stored.filter(F.col("`@timestamp`") >= F.lit(day(start, -1).isoformat()))
+        stored = stored.filter(F.col(DAY) >= F.lit(day(start, -1))) if by_day else stored
     if end is not None:
-        stored = stored.filter(F.col(DAY).isNull() | (F.col(DAY) <= F.lit(day(end, 1))))
+        stored = stored.filter(F.col("`@timestamp`") < F.lit(day(end, 2).isoformat()))
+        stored = stored.filter(F.col(DAY) <= F.lit(day(end, 1))) if by_day else stored
     return stored.drop(DAY)
 
 

@@ -1,71 +1,92 @@
-"""Writers: daily append sinks and versioned profile state, all on shared storage."""
+"""Writers: runs of daily tables, staged tables and the append-only profile store, all on shared storage."""
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
 from collections.abc import Mapping
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-STATE_PARTS = ("windows", "claims", "tokens", "endpoints", "ips")
+DAY = "ingest_date"
+COMMITS = "version bigint, commit string, run string, through date"
+
+
+def run_folder(path: str, run: str) -> str:
+    return f"{path}/run={quote(run, safe='')}"
 
 
 def write_daily(df: DataFrame, path: str, run: str, day: dt.date | None = None) -> dict:
-    """Files ``df`` under the write day. Event time stays in the rows.
+    """Files ``df`` under its run and the write day. Event time stays in the rows.
 
-    ``run`` names the batch: writing the same run again replaces exactly its own files, so a retried batch
-    leaves no duplicates. Returns the rows written, counted while writing.
+    ``run`` names the batch: writing a run again, on whatever day, replaces all its files, so a retried batch leaves no
+    duplicates. Returns the rows written, counted while writing.
     """
     day = day or dt.datetime.now(dt.timezone.utc).date()
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    (counted.withColumn("ingest_date", F.lit(day)).withColumn("run", F.lit(run))
-     .write.partitionBy("ingest_date", "run").mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").parquet(path))
-    return {"saved": seen.get["rows"], "path": path, "ingest_date": day.isoformat()}
+    counted.withColumn(DAY, F.lit(day)).write.partitionBy(DAY).mode("overwrite").parquet(run_folder(path, run))
+    return {"saved": seen.get["rows"], "path": path, "run": run, DAY: day.isoformat()}
+
 
+def read_run(spark: SparkSession, path: str, run: str, schema: T.StructType) -> DataFrame:
+    """Exactly what the last write of ``run`` left, without the write day."""
+    return spark.read.schema(T.StructType([*schema, T.StructField(DAY, T.DateType())])).parquet(run_folder(path, run)).drop(DAY)
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table that several later steps read to the session's checkpoint folder and reads it back.
 
-    That folder is shared storage on a cluster, so the table outlives executors, and readers get column
-    pruning and filters. Without such a folder the plan stays lazy.
+def stage(df: DataFrame, work: str, name: str) -> DataFrame:
+    """Writes a table that several later steps read to the folder ``work`` and reads it back.
+
+    ``work`` is shared storage, so the table outlives executors, and readers get column pruning and filters. Staged
+    tables are not deleted here.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        return df
-    target = f"{root.rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
+    target = f"{work.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
+
 
+# -- profile store --------------------------------------------------------------------------------------------
+# Every commit adds files of its own under <part>/commit=<id>/day=<event day> and never touches others. A commit counts
+# once its row is in the commit log, so a failed write leaves nothing behind that is read.
 
-def committed(spark: SparkSession, path: str) -> DataFrame | None:
-    """Commit log of a profile store: (version, run)."""
-    from pyspark.errors import AnalysisException
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """The commit log, empty for a new store."""
     try:
-        return spark.read.schema("version bigint, run string").parquet(f"{path}/commits")
+        return spark.read.schema(COMMITS).parquet(f"{path}/commits")
     except AnalysisException:
-        return None
+        return spark.createDataFrame([], COMMITS)
 
 
-def read_state(spark: SparkSession, path: str) -> tuple[int, dict[str, DataFrame] | None]:
-    """Latest committed version and its tables; (0, None) for an empty store."""
+def read_part(spark: SparkSession, path: str, part: str, schema: T.StructType) -> DataFrame:
+    """The rows of a part that count, with their event ``day`` and the ``version`` of their commit.
+
+    After a compaction its own rows stand for the days it covers in place of those of earlier commits.
+    """
     log = committed(spark, path)
-    version = 0 if log is None else (log.agg(F.max("version")).first()[0] or 0)
-    if version == 0:
-        return 0, None
-    return version, {p: spark.read.parquet(f"{path}/v={version}/{p}") for p in STATE_PARTS}
-
-
-def write_state(state: Mapping[str, DataFrame], path: str, version: int, run: str) -> int:
-    """Writes the next version beside the old one; it counts only once its commit row is there."""
-    following = version + 1
-    for part in STATE_PARTS:
-        state[part].write.mode("overwrite").parquet(f"{path}/v={following}/{part}")
-    spark = state["windows"].sparkSession
-    (spark.range(1).select(F.lit(following).cast("bigint").alias("version"), F.lit(run).alias("run"))
-     .write.mode("append").parquet(f"{path}/commits"))
-    return following
+    stored = T.StructType([*(f for f in schema if f.name != "day"), T.StructField("commit", T.StringType()), T.StructField("day", T.DateType())])
+    try:
+        rows = spark.read.schema(stored).parquet(f"{path}/{part}")
+    except AnalysisException:
+        return spark.createDataFrame([], stored).withColumn("version", F.lit(0).cast("bigint")).drop("commit")
+    rows = rows.join(log.select("commit", "version"), "commit")
+    last = log.filter("through IS NOT NULL").orderBy(F.desc("version")).select("version", "through").first()
+    if last is not None:
+        rows = rows.filter((F.col("version") >= last["version"]) | (F.col("day") > F.lit(last["through"])))
+    return rows.drop("commit")
+
+
+def write_commit(spark: SparkSession, path: str, parts: Mapping[str, DataFrame], run: str, through: dt.date | None = None) -> int:
+    """Adds rows (each with its event ``day``) to parts of the store. Rows of a user lie together within a file."""
+    commit = uuid.uuid4().hex
+    for part, rows in parts.items():
+        keys = [c for c in ("day", "user_id", "target_id") if c in rows.columns]
+        rows.sortWithinPartitions(*keys).write.partitionBy("day").parquet(f"{path}/{part}/commit={commit}")
+    version = (committed(spark, path).agg(F.max("version")).first()[0] or 0) + 1
+    row = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(commit).alias("commit"),
+                                F.lit(run).alias("run"), F.lit(through).cast("date").alias("through"))
+    row.write.mode("append").parquet(f"{path}/commits")
+    return version

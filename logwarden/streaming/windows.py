@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logwarden.config import IP_WINDOWS, USER_WINDOW, Config
 from logwarden.functions import scalar as X
+from logwarden.operators.ip_windows import META
 from logwarden.operators.normalize import normalize_logs
 from logwarden.operators.rules import rule_alerts
 from logwarden.operators.user_windows import finish, token_grain, window_measures
@@ -47,30 +48,33 @@ def stream_user_windows(logs: DataFrame, cfg: Config = Config(), lateness: str =
 
 
 def stream_ip_windows(logs: DataFrame, window_size: str = "5min", lateness: str = LATENESS) -> DataFrame:
-    """IP measures for one window length; start one query per length."""
+    """IP measures and first-log metadata for one window length; start one query per length."""
     seconds = dict(IP_WINDOWS)[window_size]
     rows = dedup(logs, lateness).filter(F.col("client_ip") != "")
+    position = X.log_position()
     subjects = (rows.withColumn("w", _window(seconds)).withColumn("subject", X.filled(F.col("user_id")))
                 .groupBy("client_ip", "w", "subject").agg(
         F.count(F.lit(1)).alias("request_count"), F.count_if(F.col("status") >= 400).alias("error_count"),
         F.count_if(X.is_sensitive(F.col("uri"))).alias("suspicious_uri_count"),
         F.sum("bytes_sent").alias("response_bytes_total"),
-        F.bool_and(F.coalesce("baseline_eligible", F.lit(True))).alias("is_baseline_eligible")))
+        F.bool_and(F.coalesce(F.col("baseline_eligible"), F.lit(True))).alias("is_baseline_eligible"),
+        F.min_by(F.struct(*META), position).alias("meta"), F.min(position).alias("position")))
     windows = subjects.groupBy("client_ip", "w").agg(
         *[F.sum(c).alias(c) for c in ("request_count", "error_count", "suspicious_uri_count")],
         F.count("subject").alias("unique_subs_count"),
         F.sum("response_bytes_total").alias("response_bytes_total"),
-        F.bool_and("is_baseline_eligible").alias("is_baseline_eligible"))
+        F.bool_and("is_baseline_eligible").alias("is_baseline_eligible"),
+        F.min_by("meta", "position").alias("meta"))
     win = F.unix_seconds("w.start")
     return windows.select(
         F.col("client_ip").alias("target_id"), win.alias("win"), X.epoch_to_iso(win).alias("window_start"),
         F.lit(window_size).alias("window_size"), "request_count", "error_count", "suspicious_uri_count",
-        "unique_subs_count", "response_bytes_total", "is_baseline_eligible")
+        "unique_subs_count", "response_bytes_total", "meta.*", "is_baseline_eligible")
 
 
-def stream_rule_alerts(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Per-log alerts: no state beyond the de-duplication the caller may put in front."""
-    return rule_alerts(logs, cfg)
+def stream_rule_alerts(logs: DataFrame, cfg: Config = Config(), lateness: str = LATENESS) -> DataFrame:
+    """Per-log alerts, once for each log however often it is delivered."""
+    return rule_alerts(dedup(logs, lateness), cfg)
 
 
 def stream_subnet_clusters(logs: DataFrame, cfg: Config = Config(), seconds: int = 300,

@@ -46,10 +46,10 @@ def test_recent_tokens_and_endpoints(spark):
     logs = make_logs(spark, [{"user_id": "u", "receive_epoch": T0 + i * 300, "jwt_id": f"jti-{i:02}",
                               "kid": f"k{i % 7}", "uri": f"/p{i % 40}?q={i}"} for i in range(80)]
                      + [{"user_id": "u", "receive_epoch": T0 + 90 * 300, "jwt_id": "jti-05", "uri": "/p0"}])
-    got = rows(P.recent_tokens(P.tokens_of(logs), CFG))[0]
+    got = rows(P.recent_tokens(P.profile_state(logs)["tokens"], CFG))[0]
     assert got["known_jtis"] == [f"jti-{i:02}" for i in range(31, 80)] + ["jti-05"]
     assert got["known_kids"] == [f"k{i % 7}" for i in range(75, 80)] and got["known_lsids"] == []
-    top = rows(P.top_endpoints(P.endpoints_of(logs), CFG).orderBy("rank"))
+    top = rows(P.top_endpoints(P.profile_state(logs)["endpoints"], CFG).orderBy("rank"))
     assert len(top) == 30 and (top[0]["path"], top[0]["count"]) == ("/p0", 3) and top[1]["count"] == 2
 
 
@@ -73,22 +73,33 @@ def document(state):
     return sorted((repr(r) for r in rows(P.user_profiles(state, T0 + 30 * DAY, cfg=CFG))))
 
 
-def test_state_merges_in_any_order_and_repeats_change_nothing(spark):
-    logs = random_logs(random.Random(3), 500)
-    cut = T0 + 3 * DAY - (T0 % 300)
+def test_partials_add_up_in_any_order_and_repeats_change_nothing(spark):
+    logs = list({g["log_id"]: g for g in random_logs(random.Random(3), 500)}.values())
+    cut = T0 + 3 * DAY + 77  # inside a window
     early = make_logs(spark, [g for g in logs if g["receive_epoch"] < cut])
     late = make_logs(spark, [g for g in logs if g["receive_epoch"] >= cut])
     everything = make_logs(spark, logs)
     whole = document(P.profile_state(everything))
-    assert document(P.merge_state(P.profile_state(early), P.profile_state(late))) == whole
-    assert document(P.merge_state(P.profile_state(late), P.profile_state(early))) == whole
-    old = P.profile_state(early)
-    again = P.merge_state(old, P.profile_state(P.unseen(everything, old)))  # overlaps ``early`` completely
-    assert document(again) == whole
-    # single logs added to open windows, as a stream does
+    a, b = P.partials(early), P.partials(late)
+    assert document(P.merged(P.together(a, b))) == whole == document(P.merged(P.together(b, a)))
+    again = P.partials(P.unseen(everything.unionByName(late), a["seen"]))  # repeats, and overlaps ``early`` completely
+    assert document(P.merged(P.together(a, again))) == whole
     odd = make_logs(spark, [g for i, g in enumerate(logs) if i % 2])
     even = make_logs(spark, [g for i, g in enumerate(logs) if not i % 2])
-    assert document(P.merge_state(P.profile_state(odd), P.profile_state(even))) == whole
+    assert document(P.merged(P.together(P.partials(odd), P.partials(even)))) == whole
+
+
+def test_known_sets_come_from_all_addresses(spark):
+    busy = [{"user_id": "u", "receive_epoch": T0 + i, "client_ip": f"192.0.2.{i % 25}", "ip_country": "KR", "ip_class": "home"} for i in range(75)]
+    once = [{"user_id": "u", "receive_epoch": T0, "client_ip": "203.0.113.1", "ip_country": "RU", "ip_class": "cloud"}]
+    loc = rows(P.user_profiles(P.profile_state(make_logs(spark, busy + once)), T0))[0]["location"]
+    assert loc["known_countries"] == ["KR", "RU"] and loc["known_ip_classes"] == ["cloud", "home"] and loc["known_ip_count"] == 20
+
+
+def test_sessions_are_counted_beyond_the_list(spark):
+    logs = make_logs(spark, [{"user_id": "u", "receive_epoch": T0 + 300 * i, "session_id": f"s{i:02}"} for i in range(33)])
+    jwt = rows(P.user_profiles(P.profile_state(logs), T0))[0]["jwt_pattern"]
+    assert jwt["known_lsid_count"] == 33 and jwt["known_lsids"] == [f"s{i:02}" for i in range(13, 33)]
 
 
 def test_profile_facts(spark):

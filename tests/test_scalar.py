@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from helpers import raw_doc, raw_frame, rows
+from helpers import access, raw_frame, rows
 from logwarden.functions import scalar as X
 from logwarden.functions.labels import factor_label
 from logwarden.operators.normalize import normalize_logs, token_fields
@@ -90,12 +90,12 @@ def test_token_derivation(spark):
 
 
 def test_normalize_defaults(spark):
-    doc = raw_doc(1, 1778663593, "u", "j", "1.2.3.4", "cloud", "US", "/x")
+    doc = {"log_id": 1, **access(1778663593, "u", "j")}
     bare = {"log_id": 2, "@timestamp": "broken", "status": "-", "bytes_sent": "", "jwt": {"exp": 100}}
     full, empty = rows(normalize_logs(raw_frame(spark, [doc, bare])).orderBy("log_id"))
     assert (full["status"], full["bytes_sent"], full["response_time"], full["receive_epoch"]) == (
-        200, 2000, 0.05, 1778663593)
-    assert full["session_id"] == "lsid-u" and full["audiences"] == ["https://api.example"]
+        200, 512, 0.2, 1778663593)
+    assert full["session_id"] == "session of u" and full["audiences"] == ["https://api.example"]
     assert (empty["receive_epoch"], empty["method"], empty["uri"], empty["status"]) == (None, "", "", 0)
     assert empty["baseline_eligible"] is True and empty["audiences"] == [] and empty["user_id"] is None
     assert empty["token_ttl_seconds"] == 100 and empty["token_status"] == "valid"  # no arrival time counts as 0
