@@ -40,6 +40,9 @@ def dedupe_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, out: s
     frequent = (keys.groupBy("hash", "doc").agg(F.lit(1).alias("one"))
                 .groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("keeper"))
                 .filter(F.col("docs") >= min_docs).select("hash", "keeper"))
+    # A written side is a plain exchange or, where its files are small, a broadcast; an aggregate there would keep adaptive
+    # execution from splitting the partition of a line that very many documents hold.
+    frequent = staged(frequent, "frequent-lines")
     drops = (keys.join(frequent, "hash").filter(~same(F.col("doc"), F.col("keeper")))
              .groupBy(F.col("doc").alias(doc), F.col("mark").alias(drop_mark))
              .agg(F.collect_list("pos").alias(drop)))
