@@ -142,13 +142,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, out: str
     replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
-    fp, row = fresh(docs, "fp"), fresh(docs, "row")
+    fp, row, of_fp, best = (fresh(docs, x) for x in ("fp", "row", "of_fp", "best"))
     cols = list(dict.fromkeys([*keep, "doc_id"]))
     rows = staged(fingerprints(docs, shingle, fp, cols).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
     groups = components_of(rows.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row")), radius)
-    fields = F.struct(F.col(fp).alias("fingerprint"), F.col("found.doc_id").alias("component_id"), (F.col(row) == F.col("found.row")).alias("first"))
-    return (rows.alias("own").join(groups.select(F.col("fp").alias("group_fp"), F.col("best").alias("found")).alias("g"), F.col(f"own.{fp}") == F.col("g.group_fp"))
-            .select(*(F.col(f"own.`{c}`") for c in keep), fields.alias(out)))
+    found = groups.select(F.col("fp").alias(of_fp), F.col("best").alias(best))
+    fields = F.struct(F.col(fp).alias("fingerprint"), F.col(best)["doc_id"].alias("component_id"), (F.col(row) == F.col(best)["row"]).alias("first"))
+    return rows.join(found, F.col(fp) == F.col(of_fp)).select(*(f"`{c}`" for c in keep), fields.alias(out))
 
 
 def components_of(rows: DataFrame, radius: int) -> DataFrame:
@@ -159,7 +159,8 @@ def components_of(rows: DataFrame, radius: int) -> DataFrame:
     members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     best = members.join(prints, "fp").groupBy("root").agg(F.min("best").alias("joint"))
     joint = members.join(best, "root").select("fp", "joint")
-    return prints.join(joint, "fp", "left").select("fp", F.coalesce("joint", "best").alias("best"))
+    # Written, so that the join back to the documents splits the partition of a fingerprint that very many have.
+    return staged(prints.join(joint, "fp", "left").select("fp", F.coalesce("joint", "best").alias("best")), "groups")
 
 
 def first_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
