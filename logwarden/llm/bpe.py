@@ -11,6 +11,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -22,8 +23,8 @@ CUT = re.compile(r"(?<=\S)(?= \S)")
 #: White space beside a space, where cutting at every space would be wrong.
 RUNS = re.compile(r"\s | \s|^ | $")
 
-#: Code points encoded at once, and pieces remembered, by one worker.
-GROUP_CHARS, REMEMBERED = 2_000_000, 200_000
+#: Bytes or ids handled at once, and pieces remembered, by one worker.
+GROUP, REMEMBERED = 1_000_000, 100_000
 
 #: What this worker has built, by kind and definition. Tasks of both kinds share workers, so the last few stay.
 BUILT: dict[str, object] = {}
@@ -112,16 +113,16 @@ def offsets_of(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return point[ends - lengths] - 1, point[ends - 1]
 
 
-def grouped(texts: list[str]) -> Iterator[slice]:
-    """Slices of rows with about GROUP_CHARS code points each."""
+def grouped(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with rows of about GROUP in all, so that only so much is unpacked at a time."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= GROUP_CHARS:
-            yield slice(first, i + 1)
+    for i, n in enumerate(sizes.to_pylist()):
+        size += n or 0
+        if size >= GROUP:
+            yield batch.slice(first, i + 1 - first)
             first, size = i + 1, 0
-    if first < len(texts):
-        yield slice(first, len(texts))
+    if first < batch.num_rows:
+        yield batch.slice(first)
 
 
 def listed(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -145,14 +146,13 @@ def encode_batches(batches: Iterator[pa.RecordBatch], definition: Broadcast, dig
     encoder = built("encoder", digest, lambda: Encoder(definition.value))
     lengths = built("lengths", digest, lambda: np.array([len(b) for _, b in sorted(token_bytes(definition.value).items())])) if offsets else None
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
-        for rows in grouped(texts):
-            ids = encoder.encode(texts[rows])
+        for part in grouped(batch, pc.binary_length(batch.column(column))):
+            texts = [t or "" for t in part.column(column).to_pylist()]
+            ids = encoder.encode(texts)
             made = [listed(ids, pa.int32())]
             if offsets:
-                both = [offsets_of(t, lengths[x]) if len(x) else (x, x) for t, x in zip(texts[rows], ids)]
+                both = [offsets_of(t, lengths[x]) if len(x) else (x, x) for t, x in zip(texts, ids)]
                 made += [listed([b[i] for b in both], pa.int32()) for i in (0, 1)]
-            part = batch.slice(rows.start, rows.stop - rows.start)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], [*keep, "ids", "starts", "ends"][:len(keep) + len(made)])
 
 
@@ -163,7 +163,7 @@ def encode(docs: DataFrame, definition: str, column: str = "text", offsets: bool
     ``definition`` is the JSON of a byte-level tokenizer of the tokenizers library (see ``tokenizer_from_ranks``); it is
     broadcast, and its size is that of a vocabulary whatever the data. Whole texts are encoded, without special
     tokens: a worker cuts them at spaces that no match of the pattern crosses and encodes each distinct piece once,
-    remembering 200,000 of them. Offsets are code points of the text; byte lengths of tokens are mapped to characters,
+    remembering 100,000 of them. Offsets are code points of the text; byte lengths of tokens are mapped to characters,
     and a token that begins or ends inside a character covers it.
 
     ``keep`` names the columns to carry on (all by default); columns named as the added ones are replaced. A null text
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, definition: str, column: str = "text", offsets: bool
 def decode_batches(batches: Iterator[pa.RecordBatch], definition: Broadcast, digest: str, column: str, keep: list[str],
                    as_text: bool) -> Iterator[pa.RecordBatch]:
     table = built("bytes", digest, lambda: token_bytes(definition.value))
-    for batch in batches:
+    for batch in (part for whole in batches for part in grouped(whole, whole.column(column).value_lengths())):
         lists = batch.column(column)
         values, at, made = lists.flatten().to_numpy(zero_copy_only=False), 0, []
         for n in lists.value_lengths().to_pylist():
