@@ -146,10 +146,10 @@ def sanitise(docs: DataFrame, out: str = "sanitised") -> DataFrame:
     brackets. Where spans overlap, the first one and, at one start, the longest is replaced, and those that begin
     inside it go with it. Only documents with spans are joined by their text; an input column named ``out`` is replaced.
     """
-    mark = fresh(docs, "mark")
+    mark, of_id, of_mark, of_spans = (fresh(docs, x) for x in ("mark", "of_id", "of_mark", "of_spans"))
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind"))
-    spans = (personal_spans(docs).groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"))
-             .agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("last"), rank.alias("rank"), "kind"))).alias("of_spans")))
+    spans = (personal_spans(docs).groupBy(F.col("doc_id").alias(of_id), F.col("mark").alias(of_mark))
+             .agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("last"), rank.alias("rank"), "kind"))).alias(of_spans)))
     text = F.col("text")
     none = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
@@ -162,7 +162,7 @@ def sanitise(docs: DataFrame, out: str = "sanitised") -> DataFrame:
         return (F.when(s["start"] < so_far["at"], F.struct(so_far["done"].alias("done"), F.greatest(so_far["at"], end).alias("at")))
                 .otherwise(F.struct(F.concat(so_far["done"], kept, shown).alias("done"), end.alias("at"))))
 
-    made = F.aggregate("of_spans", none, replaced, lambda r: F.concat(r["done"], F.substring(text, r["at"].cast("int") + 1, F.length(text))))
-    joined = docs.withColumn(mark, F.xxhash64("text")).join(spans, same(F.col("doc_id"), F.col("of_id")) & same(F.col(mark), F.col("of_mark")), "left")
+    made = F.aggregate(of_spans, none, replaced, lambda r: F.concat(r["done"], F.substring(text, r["at"].cast("int") + 1, F.length(text))))
+    joined = docs.withColumn(mark, F.xxhash64("text")).join(spans, same(F.col("doc_id"), F.col(of_id)) & same(F.col(mark), F.col(of_mark)), "left")
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()]
-    return joined.select(*kept, F.when(F.col("of_spans").isNull(), text).otherwise(made).alias(out))
+    return joined.select(*kept, F.when(F.col(of_spans).isNull(), text).otherwise(made).alias(out))

@@ -142,23 +142,23 @@ def judge(docs: DataFrame, rate: float = 1e-7, out: str = "quality", keep: list[
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
     counts = fresh(docs, "counts")
     rows = staged(count_texts(docs, counts, list(dict.fromkeys([*keep, "lang", "source"]))), "counted")
-    return _judged(rows, counts, rate).select(*(f"`{c}`" for c in keep), F.col("judged").alias(out))
+    return _judged(rows, counts, rate, out, keep)
 
 
-def _judged(rows: DataFrame, counts: str, rate: float) -> DataFrame:
+def _judged(rows: DataFrame, counts: str, rate: float, out: str, keep: list[str]) -> DataFrame:
     c = F.col(counts)
     values = [made(c).alias(x) for x, (made, _) in zip(VALUES, STATISTICS.values())]
     points = rows.filter(~base_failed(c)).select("lang", "source", *values)
-    estimates = robust_estimates(points)
-    estimates = estimates.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), F.struct("center", "precision", "scale").alias("of_group"))
-    joined = rows.alias("r").join(estimates, same(F.col("r.lang"), F.col("of_lang")) & same(F.col("r.source"), F.col("of_source")), "left")
-    x = [made(c) - F.col("of_group.center")[i] for i, (made, _) in enumerate(STATISTICS.values())]
-    terms = [(1 if i == j else 2) * x[i] * x[j] * F.col("of_group.precision")[i * P + j] for i, j in PAIRS]
-    distance = F.when(~base_failed(c), sum(terms[1:], terms[0]) / F.col("of_group.scale"))
+    lang, source, group = (fresh(rows, x) for x in ("of_lang", "of_source", "of_group"))
+    estimates = robust_estimates(points).select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct("center", "precision", "scale").alias(group))
+    joined = rows.join(estimates, same(F.col("lang"), F.col(lang)) & same(F.col("source"), F.col(source)), "left")
+    x = [made(c) - F.col(group)["center"][i] for i, (made, _) in enumerate(STATISTICS.values())]
+    terms = [(1 if i == j else 2) * x[i] * x[j] * F.col(group)["precision"][i * P + j] for i, j in PAIRS]
+    distance = F.when(~base_failed(c), sum(terms[1:], terms[0]) / F.col(group)["scale"])
     limit = chi_square_quantile(1 - rate, P)
     judged = F.struct(c.alias("counts"), base_failed(c).alias("base_failed"), distance.alias("distance"),
                       (~base_failed(c) & (distance <= limit)).alias("kept"))
-    return joined.select("r.*", judged.alias("judged"))
+    return joined.select(*(f"`{c}`" for c in keep), judged.alias(out))
 
 
 def good_documents(docs: DataFrame) -> DataFrame:

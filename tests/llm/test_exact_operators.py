@@ -195,7 +195,7 @@ def test_simhash_equals_plain_version(spark, documents, write_tables):
 
 def test_one_document_of_each_group_stays(spark, documents):
     docs = similar_docs()
-    df = documents(docs).withColumn("fp", F.lit("mine")).withColumn("row", F.lit(1))
+    df = documents(docs).withColumns({c: F.lit("mine") for c in ("fp", "row", "best", "of_fp", "found", "group_fp")})
     kept = first_of_each(df).collect()
     groups = near_duplicates(df).filter("group.first").count()
     root = joined({print_of(t) for _, t in docs})

@@ -108,7 +108,7 @@ def test_rules_reject_junk_and_keep_prose(spark, documents, write_tables):
 
 
 def test_rules_extremes(spark, documents):
-    df = documents(corpus(n=30)).withColumn("counts", F.lit(1)).withColumn("x0", F.lit(2))
+    df = documents(corpus(n=30)).withColumns({c: F.lit(1) for c in ("counts", "x0", "quality", "of_lang", "of_group", "judged", "center")})
     kept = Q.good_documents(df)
     assert kept.columns == df.columns and 0 < kept.count() < 30
     assert Q.good_documents(documents([])).count() == 0

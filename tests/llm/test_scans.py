@@ -145,6 +145,6 @@ def test_terms_that_disclose_equal_plain_version(spark, documents):
 def test_sanitised_text(spark, documents):
     shared = "Quagga at a.b@c.de says"
     rows = documents([(1, f"é {shared} one"), (2, f"{shared} two"), (3, "plain words here"), (4, None), (5, "one two says here at"), *[(i, "says here at") for i in range(6, 60)]])
-    out = {r.doc_id: r.sanitised for r in sanitise(rows.withColumn("mark", F.lit(0))).collect()}
+    out = {r.doc_id: r.sanitised for r in sanitise(rows.withColumns({c: F.lit(0) for c in ("mark", "of_id", "of_spans", "kind", "all")})).collect()}
     assert out[1].startswith("é [] at [email] ") and out[2].startswith("[] at [email] ") and out[3] == "plain words here" and out[4] is None
     assert sanitise(documents([])).count() == 0
