@@ -50,7 +50,7 @@ def test_request_text(spark):
     lines = got["log_lines"].split("\n")
     assert lines[0] == "  1. [2026-05-13T09:13:00] GET /admin/" + "x" * 73 + " → 404 (IP: 1.2.3.4)"
     assert len(lines) == 21 and lines[20] == "  ... (the first 20 of 25 are shown)"
-    assert got["log"]["log_id"] == 0 and "Requests: 25" in got["prompt"] and lines[19] in got["prompt"]
+    assert got["log"]["log_id"] == 0 and "user u, 25 requests:" in got["prompt"] and lines[19] in got["prompt"]
 
 
 def test_verdicts(spark):
