@@ -148,3 +148,15 @@ def test_sanitised_text(spark, documents):
     out = {r.doc_id: r.sanitised for r in sanitise(rows.withColumns({c: F.lit(0) for c in ("mark", "of_id", "of_spans", "kind", "all")})).collect()}
     assert out[1].startswith("é [] at [email] ") and out[2].startswith("[] at [email] ") and out[3] == "plain words here" and out[4] is None
     assert sanitise(documents([])).count() == 0
+
+
+def test_terms_disclose_over_whole_texts(spark, documents):
+    far = " and so on" * 40  # 400 code points, more than REACH
+    rows = [(1, f"Quagga{far} a.b@c.de"), (2, f"a.b@c.de{far} QUAGGA, then quagga"), (3, "the quagga alone"),
+            (4, "once@d.ee has a Solitaire"), (4, "once@d.ee has a Solitaire"), *[(i, "and has then alone the") for i in range(5, 200)]]
+    df = documents(rows)
+    spans = lambda **more: {(r.doc_id, r.start, r.end) for r in personal_spans(df, **more).collect() if r.kind in ("hidden", "hint")}
+    own = {(1, 0, 6), (2, 409, 415), (2, 422, 428)}
+    assert spans() == own and spans(everywhere=True) == own | {(3, 4, 10)}
+    out = {r.doc_id: r.sanitised for r in sanitise(df).collect()}
+    assert not any("quagga" in t.lower() for t in out.values()) and out[4] == "[email] has a Solitaire"
