@@ -97,10 +97,77 @@ COMMONS = {"by": "attribution", "by sa": "attribution share ?alike", "by nc": "a
            "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s"}
 VERSIONS = ("2 0", "2 5", "3 0", "4 0")
 
+# Sentences of licences themselves, notices, and names in other orders, as (label, form, keyword, pattern). A
+# keyword is part of every match and opens the text to all signatures.
+WRITTEN = (
+    ("mit", "body", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?"),
+    ("mit", "body", "the above copyright notice and this permission notice shall be included", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "notice", "mit licensed", "mit licensed"),
+    ("bsl-1.0", "body", "permission is hereby granted free of charge to any person or organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("isc", "body", "permission to use copy modify and", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("0bsd", "body", "permission to use copy modify and", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("bsd", "body", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?"),
+    ("bsd-2-clause", "body", "other materials provided with the distribution this software is provided by", "other materials provided with the distribution this software is provided by"),
+    ("bsd-3-clause", "body", "used to endorse or promote products derived from this software without", "(?:neither the names? of|the names? of)(?: [^ ]+){1,40}? used to endorse or promote products derived from this software without"),
+    ("bsd-4-clause", "body", "advertising materials mentioning features or use of this software", "all advertising materials mentioning features or use of this software"),
+    ("bsd", "notice", "bsd style licen", "bsd style licen[cs]e"),
+    ("apache-2.0", "notice", "use this file except in compliance with the license", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "body", "each contributor hereby grants to you a perpetual worldwide", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("apache-1.1", "body", "products derived from this software may not be called apache", "products derived from this software may not be called apache"),
+    ("apache-2.0", "order", "apache", "(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?apache (?:version |v )?v?2(?: 0)?"),
+    ("apache-2.0", "order", "licen", "version 2 0 of the apache licen[cs]e"),
+    ("gpl-2.0", "notice", "either version 2 of the license", "general public licen[cs]e as published by the free software foundation either version 2 of the license"),
+    ("gpl-3.0", "notice", "either version 3 of the license", "(?<!lesser )(?<!affero )general public licen[cs]e as published by the free software foundation either version 3 of the license"),
+    ("gpl-2.0", "notice", "free software foundation version 2", "(?<!library )general public licen[cs]e(?: version 2)? as published by the free software foundation version 2"),
+    ("lgpl-2.0", "notice", "library general public license as published", "library general public license as published by the free software foundation either version 2 of the license"),
+    ("lgpl-2.1", "notice", "either version 2 1 of the license", "lesser general public licen[cs]e as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3.0", "notice", "lesser general public license as published", "lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3.0", "notice", "affero general public license as published", "affero general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-3.0", "body", "general public license is a free copyleft license for software and other kinds of works", "general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2.0", "body", "general public license is intended to guarantee your freedom to share and change free software", "general public license is intended to guarantee your freedom to share and change free software"),
+    ("lgpl-2.1", "body", "this license the lesser general public license applies to some specially designated software", "this license the lesser general public license applies to some specially designated software"),
+    ("agpl-3.0", "body", "copyleft license for software and other kinds of works specifically designed to ensure cooperation", "copyleft license for software and other kinds of works specifically designed to ensure cooperation"),
+    ("gfdl-1.3", "notice", "free documentation license version 1 3 or any later version", "free documentation license version 1 3 or any later version"),
+    ("gpl-1.0", "order", "gpl", "(?:gnu )?gpl ?v?1(?: 0)?"), ("gpl-2.0", "order", "gpl", "(?:gnu )?gpl ?v?2(?: 0)?"), ("gpl-3.0", "order", "gpl", "(?:gnu )?gpl ?v?3(?: 0)?"),
+    ("lgpl-2.1", "order", "lgpl", "(?:gnu )?lgpl ?v?2 1"), ("lgpl-2.0", "order", "lgpl", "(?:gnu )?lgpl ?v?2(?: 0)?(?! 1)"), ("lgpl-3.0", "order", "lgpl", "(?:gnu )?lgpl ?v?3(?: 0)?"),
+    ("agpl-3.0", "order", "agpl", "(?:gnu )?agpl ?v?3(?: 0)?"),
+    ("gpl-2.0", "order", "of the gnu general public license", "version 2 of the gnu general public license"), ("gpl-3.0", "order", "of the gnu general public license", "version 3 of the gnu general public license"),
+    ("bsd-2-clause", "order", "bsd 2 clause", "bsd 2 clause(?: simplified)?(?: licen[cs]e)?"), ("bsd-3-clause", "order", "bsd 3 clause", "bsd 3 clause(?: new| revised| modified)?(?: or revised)?(?: licen[cs]e)?"),
+    ("bsd-4-clause", "order", "bsd 4 clause", "bsd 4 clause(?: original)?(?: licen[cs]e)?"), ("bsd-2-clause", "order", "bsd two clause", "bsd two clause licen[cs]e"),
+    ("bsd-3-clause", "order", "bsd three clause", "bsd three clause licen[cs]e"), ("0bsd", "order", "bsd 0 clause", "bsd 0 clause(?: licen[cs]e)?"),
+    ("mit", "order", "mit", "licen[cs]ed under (?:the )?(?:terms of )?(?:the )?mit(?! no)"),
+    ("mpl-2.0", "notice", "subject to the terms of the mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "notice", "subject to the mozilla public license version 1 1", "contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "order", "mpl", "mpl ?v?2(?: 0)?"), ("mpl-1.1", "order", "mpl", "mpl ?v?1 1"),
+    ("epl-2.0", "notice", "eclipse public license", "accompanying materials are made available under the terms of the eclipse public license(?: v| version)? ?v?2 0"),
+    ("epl-1.0", "notice", "eclipse public license", "accompanying materials are made available under the terms of the eclipse public license(?: v| version)? ?v?1 0"),
+    ("epl-2.0", "order", "epl", "epl ?v?2(?: 0)?"), ("epl-1.0", "order", "epl", "epl ?v?1(?: 0)?"),
+    ("cddl-1.0", "notice", "terms of the common development and distribution license", "contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl-1.0", "order", "cddl", "cddl ?v?1 0"), ("cddl-1.1", "order", "cddl", "cddl ?v?1 1"),
+    ("unlicense", "body", "this is free and unencumbered software released into the public domain", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "body", "you just do what the fuck you want to", "you just do what the fuck you want to"),
+    ("zlib", "body", "altered source versions must be plainly marked as such", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "body", "the origin of this software must not be misrepresented", "the origin of this software must not be misrepresented"),
+    ("artistic-2.0", "body", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed preamble this license establishes the terms under which a given free software package", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed preamble this license establishes the terms under which a given free software package"),
+    ("ofl-1.1", "body", "the font software may be sold as part of a larger software package", "the font software may be sold as part of a larger software package"),
+    ("ofl-1.1", "body", "fonts under this license cannot be released under any other type of license", "fonts under this license cannot be released under any other type of license"),
+    ("ncsa", "body", "to deal with the software without restriction", "to deal with the software without restriction"),
+    ("x11", "body", "the name of the x consortium shall not be used in advertising", "the name of the x consortium shall not be used in advertising"),
+    ("openssl", "body", "this product includes software developed by the openssl project", "this product includes software developed by the openssl project"),
+    ("postgresql", "body", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("php-3.01", "body", "this product includes php software", "this product includes php software"),
+    ("cc0-1.0", "body", "the person who associated a work with this deed has dedicated the work to the public domain", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("public-domain", "notice", "this work is in the public domain", "this work is in the public domain"),
+    ("proprietary", "notice", "unauthorized copying of this file", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "notice", "proprietary and confidential", "proprietary and confidential"),
+)
+#: Priority and weight of the forms of WRITTEN.
+FORMS = {"notice": (2, 0.95), "body": (3, 0.9), "order": (4, 0.7)}
+
 #: One of these is part of every signature, so a text without them is passed over at once.
 GATES = ("licen", "spdx", "creativecommons", "creative commons", "public domain", " cc by ", " cc0 ", "gpl", "wtfpl", "opensource org",
          "mozilla org", "eclipse org", "boost org", "sil org", "cecill", "latex project", "vimhelp", "curl se", "opendatacommons",
-         "xfree86 org")
+         "xfree86 org", " mpl", " epl", " cddl", *(k for _, form, k, _ in WRITTEN if form != "order" or k.startswith("bsd")))
 
 
 def commons() -> list[tuple[str, str, str, str]]:
@@ -133,10 +200,14 @@ def keyword_of(pattern: str) -> str:
 
 
 def signatures() -> list[Rule]:
-    """All rules, strongest first: identifiers, grants, addresses and names of every licence, and the base phrases."""
+    """All rules, strongest first: identifiers (the first of an SPDX expression, and its further operands), grants, addresses
+    and names of every licence, WRITTEN sentences, and the base phrases."""
     grant = "(?:licen[cs]ed|released|distributed|available|provided|published|covered)(?: [^ ]+){0,2}? under (?:the )?(?:terms of )?(?:the )?"
     out = [Rule(f"base {label}", label, 9, 0.6, phrase, f" {phrase}(?= )", True) for phrase, label in BASE]
+    for nth, (label, form, key, pattern) in enumerate(WRITTEN):
+        out.append(Rule(f"{form} {label} {nth}", label, *FORMS[form], key, f" {pattern}(?= )"))
     for label, identifier, name, address in (*LICENCES, *commons()):
+        out.append(Rule(f"operand {label}", label, 1, 1.0, "|spdx", f" \\|spdx (?:{identifier})(?= )"))
         own = f"(?:{name})"
         for form, priority, weight, pattern, key in (
                 ("identifier", 1, 1.0, f" spdx license identifier (?:{identifier})(?= )", "spdx license identifier"),
@@ -156,6 +227,13 @@ def words_between_spaces(text):
     return F.concat(F.lit(" "), F.btrim(apart), F.lit(" "))
 
 
+def marked(words):
+    """Words in which every operator of an SPDX expression is the word ``|spdx``, which no text holds: operands follow it.
+    An operand is one to eight words, and as many after ``with``; there may be any number of operands."""
+    operator = r"((?:\G(?!^)| spdx license identifier)(?: (?!and |or |with |spdx )[^ ]+(?: or later(?= ))?){1,8}?(?: with(?: (?!and |or |spdx )[^ ]+){1,8}?)?) (?:and|or)(?= )(?! later )"
+    return F.when(F.contains(words, F.lit("spdx license identifier")), F.regexp_replace(words, operator, "$1 |spdx")).otherwise(words)
+
+
 def spaces(text):
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -183,7 +261,7 @@ def licence_detections(docs: DataFrame, rules: list[Rule] | None = None) -> Data
     gate = F.lit(False)
     for g in GATES:
         gate = gate | F.contains("words", F.lit(g))
-    tried = text.filter(gate).select("doc_id", "mark", "words", F.explode(F.filter(table, lambda r: F.contains(F.col("words"), r["keyword"]))).alias("rule"))
+    tried = text.filter(gate).withColumn("words", marked(F.col("words"))).select("doc_id", "mark", "words", F.explode(F.filter(table, lambda r: F.contains(F.col("words"), r["keyword"]))).alias("rule"))
     found = (tried.select("doc_id", "mark", "rule", hits(F.col("words"), F.col("rule.pattern"), spaces).alias("hits"))
              .filter(F.col("hits").isNotNull()).select("doc_id", "mark", "rule.*", "hits").drop("keyword", "pattern"))
     keys = ["doc_id", "mark", "name", "label", "priority", "weight", "base"]

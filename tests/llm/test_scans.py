@@ -160,3 +160,33 @@ def test_terms_disclose_over_whole_texts(spark, documents):
     assert spans() == own and spans(everywhere=True) == own | {(3, 4, 10)}
     out = {r.doc_id: r.sanitised for r in sanitise(df).collect()}
     assert not any("quagga" in t.lower() for t in out.values()) and out[4] == "[email] has a Solitaire"
+
+
+#: Sentences as licences, headers and readmes have them, and the label that each must get.
+WRITTEN_TEXTS = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+    ("bsd-2-clause", "in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above"),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("apache-2.0", "you may not use this file except in compliance with the License."), ("apache-2.0", "licensed under Apache 2.0"),
+    ("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)"),
+    ("lgpl-2.1", "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("agpl-3.0", "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("bsd-3-clause", "BSD 3-Clause License"), ("bsd-2-clause", "the BSD-2-Clause"), ("gpl-3.0", "It is GPLv3+."), ("lgpl-2.1", "uses LGPLv2.1 code"), ("gpl-2.0", "GPL2"),
+    ("agpl-3.0", "AGPLv3"), ("mpl-2.0", "MPL-2.0"), ("epl-1.0", "EPLv1.0"), ("mit", "Licensed under MIT."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."), ("zlib", "The origin of this software must not be misrepresented; you must not"),
+    ("ofl-1.1", "fonts under this license cannot be released under any other type of license"), ("proprietary", "Unauthorized copying of this file, via any medium is strictly prohibited"),
+    ("cddl-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License"), ("ncsa", "to deal with the Software without restriction"),
+    ("mit,apache-2.0,bsd-3-clause", "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause"),
+    ("gpl-2.0,isc", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR ISC"),
+    ("", "The team lost; permission was granted by the bsd people and the mit campus."), ("", "Redistribution of wealth and use of sources")]
+
+
+def test_licences_are_found_without_their_names(spark, documents):
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in scan_licences(documents([(i, t) for i, (_, t) in enumerate(WRITTEN_TEXTS)])).collect()}
+    for i, (labels, text) in enumerate(WRITTEN_TEXTS):
+        want = set(filter(None, labels.split(",")))
+        assert want <= got[i] and (want or not got[i]), (labels, text, got[i])
