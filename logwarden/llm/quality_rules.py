@@ -26,6 +26,8 @@ STATISTICS = {
 }
 P = len(STATISTICS)
 FLOORS = np.array([f for _, f in STATISTICS.values()])
+#: The floors that are left in groups of very many texts, and the size of a group whose floors (squared) are half way there.
+LEAST, SMALL = np.array([0.1, 0.4, 0.2, 0.4, 0.5, 0.45]), 20
 VALUES = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 ESTIMATE = "center array<double>, precision array<double>"
@@ -120,6 +122,10 @@ def robust_estimates(points: DataFrame, share: float = 0.55, steps: int = 5) ->
     estimates = staged(_start(points), "estimates")
     for _ in range(steps):
         estimates = staged(_concentrated(points, estimates, share), "estimates")
+    return _scaled(points, estimates)
+
+
+def _scaled(points: DataFrame, estimates: DataFrame) -> DataFrame:
     middle = F.min(F.when(F.col("upto") >= 0.5 * F.col("total"), F.exp((F.col("bin") + 0.5) / LOG_BINS)))
     scaled = (_histogram(points, estimates, []).groupBy("lang", "source")
               .agg(F.first("center").alias("center"), F.first("precision").alias("precision"),
@@ -127,6 +133,27 @@ def robust_estimates(points: DataFrame, share: float = 0.55, steps: int = 5) ->
     return staged(scaled, "estimates")
 
 
+def _lowered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        made = []
+        for n, precision in zip(frame["n"], frame["precision"]):
+            cov = np.linalg.inv(np.array(precision).reshape(P, P)) - np.diag(FLOORS ** 2)
+            made.append(np.linalg.inv(cov + np.diag(LEAST ** 2 + (FLOORS ** 2 - LEAST ** 2) * SMALL / (n + SMALL))).ravel())
+        yield pd.DataFrame({"lang": frame["lang"], "source": frame["source"], "center": frame["center"], "precision": made})
+
+
+def sized_estimates(points: DataFrame) -> DataFrame:
+    """Robust estimates whose floors sink from FLOORS to LEAST as the group grows, with the scale that goes with them.
+
+    Under FLOORS repeated lines or words alone never reach the limit. Under LEAST, in a group that has few, half the lines
+    repeating or 25 percent of the words do. LEAST is not 0: in a clean group the first repeated line would reject.
+    """
+    sizes = points.groupBy(F.col("lang").alias("size_lang"), F.col("source").alias("size_source")).agg(F.count(F.lit(1)).alias("n"))
+    rows = robust_estimates(points).join(sizes, same(F.col("lang"), F.col("size_lang")) & same(F.col("source"), F.col("size_source")))
+    lowered = rows.select("lang", "source", "center", "precision", "n").mapInPandas(_lowered, f"lang string, source string, {ESTIMATE}")
+    return _scaled(points, staged(lowered, "estimates"))
+
+
 def judge(docs: DataFrame, rate: float = 1e-7, out: str = "quality", keep: list[str] | None = None) -> DataFrame:
     """Adds the struct ``out`` to each document: its counts, base_failed, distance (squared, scaled) and kept.
 
@@ -150,7 +177,7 @@ def _judged(rows: DataFrame, counts: str, rate: float, out: str, keep: list[str]
     values = [made(c).alias(x) for x, (made, _) in zip(VALUES, STATISTICS.values())]
     points = rows.filter(~base_failed(c)).select("lang", "source", *values)
     lang, source, group = (fresh(rows, x) for x in ("of_lang", "of_source", "of_group"))
-    estimates = robust_estimates(points).select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct("center", "precision", "scale").alias(group))
+    estimates = sized_estimates(points).select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct("center", "precision", "scale").alias(group))
     joined = rows.join(estimates, same(F.col("lang"), F.col(lang)) & same(F.col("source"), F.col(source)), "left")
     x = [made(c) - F.col(group)["center"][i] for i, (made, _) in enumerate(STATISTICS.values())]
     terms = [(1 if i == j else 2) * x[i] * x[j] * F.col(group)["precision"][i * P + j] for i, j in PAIRS]

@@ -114,6 +114,20 @@ def test_rules_extremes(spark, documents):
     assert Q.good_documents(documents([])).count() == 0
 
 
+def test_repeated_lines_alone_reject_in_a_large_clean_group(spark, documents):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 9)))
+    docs = [(i, "\n".join(" ".join(word() for _ in range(3)) for _ in range(40)), "en", "s0") for i in range(600)]
+    for i in range(600, 604):  # each line twice, in another order, so that no run of eight words repeats
+        lines = [" ".join(word() for _ in range(3)) for _ in range(20)]
+        docs.append((i, "\n".join(lines + rnd.sample(lines, 20)), "en", "s0"))
+    one = docs[0][1].split("\n")
+    docs.append((700, "\n".join([*one, one[0]]), "en", "s0"))  # a single repeat is no fault
+    got = {r.doc_id: r.quality for r in Q.judge(documents(docs)).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in range(600, 604))
+    assert all(got[i].kept for i in [*range(600), 700])
+
+
 # trained operators
 
 def test_logistic_fit_and_cut():
