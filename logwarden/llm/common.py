@@ -29,16 +29,20 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def unique_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path on shared storage: in the session's ``spark.checkpoint.dir``, else in its warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes a table that several steps read to shared storage and reads it back, which also cuts the lineage.
 
     The place is the session's ``spark.checkpoint.dir``; where that is unset, its warehouse, which is shared as well.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    target = f"{root.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    target = unique_folder(df.sparkSession, name)
     df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.llm import bpe
-from logwarden.llm.common import staged, table
+from logwarden.llm.collocations import collocations
+from logwarden.llm.common import staged, table, unique_folder
 from logwarden.llm.decontaminate import find_benchmark
+from logwarden.llm.exact_dedup import DigestIndex, dedupe_texts
+from logwarden.llm.fill_middle import fill_in_middle, restored
 from logwarden.llm.learning import remainder
 from logwarden.llm.licenses import scan_licences
 from logwarden.llm.line_dedup import dedupe_lines
@@ -90,9 +93,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "quality.base_failed", "quality.kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return made.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.output", 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = DigestIndex(spark, unique_folder(spark, "digest-index"))
+    return dedupe_texts(table(spark, sf_dir, "documents"), index, "documents", keep=["doc_id"]).select(
+        "doc_id", "dedup.keep_id", "dedup.group_size", "dedup.kept", F.lower(F.hex("dedup.digest")).alias("text_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_byte_bpe, op3_line_dedup, op4_simhash, op5_toxicity, op6_sharding, op7_licenses, op8_personal_data, op9_quality_classifier,
-    op10_quality_rules)}
+    op10_quality_rules, op11_fill_in_middle, op12_exact_dedup, op13_collocations)}
 
 ORACLE = {
     "op1_decontamination": r"""
@@ -123,4 +142,49 @@ ORACLE = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM d GROUP BY doc_id""",
+    "op11_fill_in_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        k AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS tok, CAST('0x' || h[1:8] AS BIGINT) AS h1,
+                CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+        c AS (SELECT *, len(tok) AS n, least(h1 % (len(tok) + 1), h2 % (len(tok) + 1)) AS lo, greatest(h1 % (len(tok) + 1), h2 % (len(tok) + 1)) AS hi,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                     WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+        p AS (SELECT *, array_to_string(tok[1:lo], '') AS pre, array_to_string(tok[lo + 1:hi], '') AS mid, array_to_string(tok[hi + 1:n], '') AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(CASE form WHEN 'plain' THEN text ELSE pre || mid || suf END) AS restored_sha256
+        FROM p""",
+    "op12_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+        FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op13_collocations": r"""
+        WITH s AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM s),
+        one AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(words) AS x FROM w) GROUP BY ALL),
+        two AS (SELECT lang, x, y, count(*) AS f FROM (SELECT lang, words[i] AS x, words[i + 1] AS y
+                FROM (SELECT lang, words, unnest(generate_series(1, len(words) - 1)) AS i FROM w)) GROUP BY ALL HAVING count(*) >= 10),
+        three AS (SELECT lang, x, y, z, count(*) AS f FROM (SELECT lang, words[i] AS x, words[i + 1] AS y, words[i + 2] AS z
+                FROM (SELECT lang, words, unnest(generate_series(1, len(words) - 2)) AS i FROM w)) GROUP BY ALL HAVING count(*) >= 10),
+        inner_ AS (SELECT lang, x, y, max(f) AS around FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL),
+        cuts AS (
+          SELECT two.lang, two.x || ' ' || two.y AS phrase, two.f AS a, p.f AS l, q.f AS r, 1 AS k
+          FROM two JOIN one p ON p.lang = two.lang AND p.x = two.x JOIN one q ON q.lang = two.lang AND q.x = two.y
+          LEFT JOIN inner_ i ON i.lang = two.lang AND i.x = two.x AND i.y = two.y
+          WHERE i.around IS NULL OR 100 * i.around < 50 * two.f
+          UNION ALL
+          SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, p.f, q.f, 1
+          FROM three t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN two q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+          UNION ALL
+          SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, p.f, q.f, 2
+          FROM three t JOIN two p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN one q ON q.lang = t.lang AND q.x = t.z),
+        scored AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM best JOIN total USING (lang)
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
