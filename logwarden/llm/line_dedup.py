@@ -45,14 +45,17 @@ def dedupe_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, out: s
     frequent = staged(frequent, "frequent-lines")
     drops = (keys.join(frequent, "hash").filter(~same(F.col("doc"), F.col("keeper")))
              .groupBy(F.col("doc").alias(doc), F.col("mark").alias(drop_mark))
-             .agg(F.collect_list("pos").alias(drop)))
+             .agg(F.collect_set("pos").alias(drop)))  # rows that repeat an id and text have the same places
 
     joined = marked.join(drops, same(F.col("doc_id"), F.col(doc)) & same(F.col(mark), F.col(drop_mark)), "left")
-    every = F.sequence(F.lit(0), F.size(lines) - 1)
-    stay = F.when(F.col(drop).isNull(), every).otherwise(F.array_except(every, F.col(drop)))
-    text = (F.when(F.col(drop).isNull(), F.coalesce("text", F.lit("")))
-            .otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")))
-    made = F.struct(text.alias("text"), F.size(lines).cast("long").alias("n_lines"),
-                    (F.size(lines) - F.size(stay)).cast("long").alias("n_dropped"))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()]
-    return joined.select(*kept, made.alias(out))
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    whole, split = fresh(docs, "whole"), fresh(docs, "lines")
+    # A one-element inline: the lines are made once, and not again for each line that is looked up.
+    apart = joined.select(*(f"`{c}`" for c in kept), drop, F.inline(F.array(F.struct(
+        F.coalesce("text", F.lit("")).alias(whole), lines.alias(split)))))
+    of, n = F.col(split), F.size(split)
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col(drop))
+    made = (F.when(F.col(drop).isNull(), F.struct(F.col(whole).alias("text"), n.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")))
+            .otherwise(F.struct(F.array_join(F.transform(stay, lambda i: F.get(of, i)), "\n").alias("text"), n.cast("long").alias("n_lines"),
+                                F.size(drop).cast("long").alias("n_dropped"))))
+    return apart.select(*(f"`{c}`" for c in kept), made.alias(out))

@@ -136,6 +136,22 @@ def test_line_dedup_equals_plain_version(spark, documents, write_tables):
     assert sorted(got, key=repr) == kept_lines(docs)
 
 
+def test_line_dedup_is_linear_in_the_lines_of_a_document(documents):
+    """One dropped line makes a document be put together anew; 16 times the lines may take about 16 times as long, not 256."""
+    import time
+    shared = "a line that three documents hold"
+    took = []
+    for n in (6_250, 100_000):
+        df = documents([(1, "\n".join([shared, *(f"own line number {i} of a long document" for i in range(n))])), (2, shared), (3, shared)])
+        start = time.perf_counter()
+        rows = {r.doc_id: (r.deduped.n_lines, r.deduped.n_dropped, len(r.deduped.text)) for r in dedupe_lines(df).select("doc_id", "deduped").collect()}
+        took.append(time.perf_counter() - start)
+        assert rows[1][:2] == (n + 1, 1) and rows[1][2] == sum(len(f"own line number {i} of a long document") + 1 for i in range(n)) - 1
+        assert rows[2] == (1, 1, 0) and rows[3] == (1, 0, len(shared))
+    assert took[1] < 60 and took[1] < 20 * took[0] + 10
+
+
+
 def test_line_dedup_keeps_columns_and_counts_ids_once(spark, documents):
     line = "this line has twenty letters or more"
     df = documents([(1, line), (1, line), (1, line), (2, line)]).withColumn("hash", F.lit(1)).withColumn("deduped", F.lit(2))
