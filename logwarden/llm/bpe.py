@@ -17,17 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
+from logwarden.llm.common import built, sliced, tidied
+
 #: A place before a single space between characters that are no white space is always an edge of a match of the
 #: pattern: no match holds a space after another character, and what looks ahead is white space only.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 #: White space beside a space, where cutting at every space would be wrong.
 RUNS = re.compile(r"\s | \s|^ | $")
 
-#: Bytes or ids handled at once, and pieces remembered, by one worker.
-GROUP, REMEMBERED = 1_000_000, 100_000
+#: Places inside long pieces that are edges too: a match that holds a letter or digit of these ranges holds no mark after it.
+MARKS = re.compile("(?<=[0-9A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])(?=[.,;:!?\u2026\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 
-#: What this worker has built, by kind and definition. Tasks of both kinds share workers, so the last few stay.
-BUILT: dict[str, object] = {}
+#: Bytes or ids handled at once. Pieces remembered by one task, and their characters at most: 8 million in all.
+GROUP, REMEMBERED, SHORT = 1_000_000, 100_000, 80
 
 
 def byte_characters() -> list[str]:
@@ -74,28 +76,54 @@ def pieces(text: str) -> list[str]:
     if not text:
         return []
     if RUNS.search(text):
-        return CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+        cut = CUT.split(text)
+    else:
+        first, *rest = text.split(" ")
+        cut = [first, *[" " + x for x in rest]]
+    if max(map(len, cut)) <= SHORT:
+        return cut
+    return [x for p in cut for x in (MARKS.split(p) if len(p) > SHORT else (p,))]
+
+
+def encoder_of(definition: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
+    made = Tokenizer.from_str(definition)
+    made.encode_special_tokens = True
+    return made
 
 
 class Encoder:
-    def __init__(self, definition: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+    """Encodes each different short piece once, as long as it remembers it. Lives as long as a task."""
+
+    def __init__(self, definition: str, tokenizer: Tokenizer | None = None):
+        self.tokenizer = tokenizer or encoder_of(definition)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [pieces(t) for t in texts]
-        new = list({p for ps in cut for p in ps if p not in self.known})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = tuple(e.ids)
-        ids = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, ps)), np.int32) for ps in cut]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        new, long, size = {p for ps in cut for p in ps if p not in self.known}, {}, 0
+        batch: list[str] = []
+        for p in new:
+            batch.append(p)
+            size += len(p)
+            if size >= GROUP // 4:  # what the library makes of a piece is many times its size
+                self.learn(batch, long)
+                batch, size = [], 0
+        self.learn(batch, long)
+        known = self.known
+        ids = [np.fromiter(chain.from_iterable(known[p] if p in known else long[p] for p in ps) if long else
+                           chain.from_iterable(map(known.__getitem__, ps)), np.int32) for ps in cut]
+        if len(known) > REMEMBERED:
+            known.clear()
         return ids
 
+    def learn(self, batch: list[str], long: dict[str, np.ndarray]) -> None:
+        for p, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
+            if len(p) <= SHORT:
+                self.known[p] = tuple(e.ids)
+            else:
+                long[p] = np.array(e.ids, np.int32)
+
 
 def token_bytes(definition: str) -> dict[int, bytes]:
     """The bytes of each id, by the byte table reversed; added tokens stand for their text."""
@@ -113,40 +141,17 @@ def offsets_of(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return point[ends - lengths] - 1, point[ends - 1]
 
 
-def grouped(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with rows of about GROUP in all, so that only so much is unpacked at a time."""
-    first, size = 0, 0
-    for i, n in enumerate(sizes.to_pylist()):
-        size += n or 0
-        if size >= GROUP:
-            yield batch.slice(first, i + 1 - first)
-            first, size = i + 1, 0
-    if first < batch.num_rows:
-        yield batch.slice(first)
-
-
 def listed(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
-def built(kind: str, digest: str, make) -> object:
-    """What ``make`` returns, once for this worker. Called by module-level functions only: nested ones are shipped with
-    copies of the globals they use."""
-    key = f"{kind} {digest}"
-    if key not in BUILT:
-        while len(BUILT) >= 4:
-            BUILT.pop(next(iter(BUILT)))
-        BUILT[key] = make()
-    return BUILT[key]
-
-
 def encode_batches(batches: Iterator[pa.RecordBatch], definition: Broadcast, digest: str, column: str, keep: list[str],
                    offsets: bool) -> Iterator[pa.RecordBatch]:
-    encoder = built("encoder", digest, lambda: Encoder(definition.value))
-    lengths = built("lengths", digest, lambda: np.array([len(b) for _, b in sorted(token_bytes(definition.value).items())])) if offsets else None
+    encoder = Encoder(definition.value, built(digest, "encoder", lambda: encoder_of(definition.value)))
+    lengths = built(digest, "lengths", lambda: np.array([len(b) for _, b in sorted(token_bytes(definition.value).items())])) if offsets else None
     for batch in batches:
-        for part in grouped(batch, pc.binary_length(batch.column(column))):
+        for part in sliced(batch, pc.binary_length(batch.column(column)), GROUP):
             texts = [t or "" for t in part.column(column).to_pylist()]
             ids = encoder.encode(texts)
             made = [listed(ids, pa.int32())]
@@ -162,8 +167,10 @@ def encode(docs: DataFrame, definition: str, column: str = "text", offsets: bool
 
     ``definition`` is the JSON of a byte-level tokenizer of the tokenizers library (see ``tokenizer_from_ranks``); it is
     broadcast, and its size is that of a vocabulary whatever the data. Whole texts are encoded, without special
-    tokens: a worker cuts them at spaces that no match of the pattern crosses and encodes each distinct piece once,
-    remembering 100,000 of them. Offsets are code points of the text; byte lengths of tokens are mapped to characters,
+    tokens: a worker cuts them at spaces that no match of the pattern crosses, and long pieces before marks too, and
+    encodes each distinct piece once, remembering those of at most 80 characters, 100,000 at most, until its task
+    ends. Texts are handled in slices of about a million bytes; a longer text, or one without any such place, is handled
+    whole, in memory that grows with its length. Offsets are code points of the text; byte lengths of tokens are mapped to characters,
     and a token that begins or ends inside a character covers it.
 
     ``keep`` names the columns to carry on (all by default); columns named as the added ones are replaced. A null text
@@ -174,13 +181,13 @@ def encode(docs: DataFrame, definition: str, column: str = "text", offsets: bool
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in added)])
     shared, digest = docs.sparkSession.sparkContext.broadcast(definition), hashlib.md5(definition.encode()).hexdigest()
     return docs.select(*dict.fromkeys([*keep, column])).mapInArrow(
-        lambda batches: encode_batches(batches, shared, digest, column, keep, offsets), schema)
+        lambda batches: tidied(encode_batches(batches, shared, digest, column, keep, offsets), keeps=True), schema)
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch], definition: Broadcast, digest: str, column: str, keep: list[str],
                    as_text: bool) -> Iterator[pa.RecordBatch]:
-    table = built("bytes", digest, lambda: token_bytes(definition.value))
-    for batch in (part for whole in batches for part in grouped(whole, whole.column(column).value_lengths())):
+    table = built(digest, "bytes", lambda: token_bytes(definition.value))
+    for batch in (part for whole in batches for part in sliced(whole, whole.column(column).value_lengths(), GROUP)):
         lists = batch.column(column)
         values, at, made = lists.flatten().to_numpy(zero_copy_only=False), 0, []
         for n in lists.value_lengths().to_pylist():
@@ -205,4 +212,4 @@ def decode(rows: DataFrame, definition: str, column: str = "ids", as_text: bool
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("decoded", T.StringType() if as_text else T.BinaryType())])
     shared, digest = rows.sparkSession.sparkContext.broadcast(definition), hashlib.md5(definition.encode()).hexdigest()
     return rows.select(*dict.fromkeys([*keep, column])).mapInArrow(
-        lambda batches: decode_batches(batches, shared, digest, column, keep, as_text), schema)
+        lambda batches: tidied(decode_batches(batches, shared, digest, column, keep, as_text), keeps=True), schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,49 @@ def ascii_lower(text: Column) -> Column:
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)
+
+
+# -- in Python workers ----------------------------------------------------------------------------------------
+
+#: What this worker has built, by kind, for one owner at a time.
+BUILT: dict[str, object] = {}
+OWNER = [""]
+
+
+def built(owner: str, kind: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once for this worker. What another owner has built is dropped first, so a worker that serves
+    one operator after another holds the tables of the last one only. Called by module-level functions only: nested ones
+    are shipped with copies of the globals they use."""
+    if OWNER[0] != owner:
+        BUILT.clear()
+        OWNER[0] = owner
+    if kind not in BUILT:
+        BUILT[kind] = make()
+    return BUILT[kind]
+
+
+def tidied(batches: Iterator[pa.RecordBatch], keeps: bool = False) -> Iterator[pa.RecordBatch]:
+    """Passes on the result of a task and gives back the memory that the worker, which Spark uses again, has no more use for.
+    Without ``keeps`` that includes what was ``built``, here or by an operator before."""
+    if not keeps:
+        BUILT.clear()
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # only the GNU C library has it
+
+
+def sliced(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with rows of about ``most`` in all, so that only so much is unpacked at a time."""
+    first, size = 0, 0
+    for i, n in enumerate(sizes.to_pylist()):
+        size += n or 0
+        if size >= most:
+            yield batch.slice(first, i + 1 - first)
+            first, size = i + 1, 0
+    if first < batch.num_rows:
+        yield batch.slice(first)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logwarden.llm.common import WORD_BYTES, staged
+from logwarden.llm.common import WORD_BYTES, built, staged, tidied
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -25,9 +25,6 @@ FOUND = T.StructType([
 RANGES = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-#: The automaton of this worker, by the scan it belongs to.
-BUILT: dict[str, tuple] = {}
-
 
 def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Pieces (item, words) of the items, in blocks of at most ``block_words`` words.
@@ -59,11 +56,11 @@ def automaton(pieces: list[tuple[str, list[bytes]]], window: int) -> tuple[dict[
         ids = [numbers.setdefault(w, len(numbers) + 1) for w in words]
         for i in range(max(1, len(ids) - window + 1)):
             items.setdefault(tuple(ids[i:i + window]), set()).add(item)
-    built = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for key, who in (items or {(1,): set()}).items():  # without items, a word that no text has
-        built.add_word(key, (len(key), frozenset(who)))
-    built.make_automaton()
-    return numbers, built
+        made.add_word(key, (len(key), frozenset(who)))
+    made.make_automaton()
+    return numbers, made
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -88,10 +85,7 @@ def spans_of(text: bytes, normal: bytes, ranges: list[tuple[int, int]]) -> list[
 
 def scan_batches(batches: Iterator[pa.RecordBatch], block: Broadcast, key: str, window: int, out: str,
                  keep: list[str]) -> Iterator[pa.RecordBatch]:
-    if key not in BUILT:
-        BUILT.clear()
-        BUILT[key] = automaton(block.value, window)
-    numbers, built = BUILT[key]
+    numbers, windows = built(key, "automaton", lambda: automaton(block.value, window))
     number = numbers.get
     for batch in batches:
         before = batch.column(out) if out in batch.schema.names else None
@@ -102,7 +96,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch], block: Broadcast, key: str,
             words = normal.split()
             own, who = [], set()
             if words:
-                for end, (length, found) in built.iter(tuple(map(number, words, repeat(0)))):
+                for end, (length, found) in windows.iter(tuple(map(number, words, repeat(0)))):
                     own.append((end + 1 - length, end + 1))
                     who |= found
             if before is not None and (old := before[i].as_py())["items"]:
@@ -121,7 +115,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch], block: Broadcast, key: str,
 
 def scanner(block: Broadcast, window: int, out: str, keep: list[str]):
     key = uuid.uuid4().hex
-    return lambda batches: scan_batches(batches, block, key, window, out, keep)
+    return lambda batches: tidied(scan_batches(batches, block, key, window, out, keep), keeps=True)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 100_000,

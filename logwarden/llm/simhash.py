@@ -7,18 +7,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logwarden.llm.common import fresh, staged
+from logwarden.llm.common import fresh, sliced, staged, tidied
 from logwarden.llm.components import connected_components
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 BYTE_PLACES = (np.arange(8) * 256).astype(np.int64)
-#: Shingles counted at once.
-CHUNK = 1 << 16
+#: Shingles counted, and bytes of text passed back, at once.
+CHUNK, SLICE = 1 << 16, 4_000_000
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -38,7 +39,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, keep: list[str], out: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in sliced(whole, pc.binary_length(whole.column("text")), SLICE)):
         prints = [fingerprint(t.as_py() or b"", shingle) for t in batch.column("text").cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(prints, pa.int64())], [*keep, out])
 
@@ -53,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, out: str = "fingerprint", ke
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.LongType())])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(
-        lambda batches: fingerprint_batches(batches, shingle, keep, out), schema)
+        lambda batches: tidied(fingerprint_batches(batches, shingle, keep, out)), schema)
 
 
 def linked(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
@@ -124,7 +125,7 @@ def similar_pairs(prints: DataFrame, radius: int = 2, tile: int = 4096) -> DataF
             .groupBy("key", F.least("me", "other").alias("low"), F.greatest("me", "other").alias("high"))
             .agg(F.min_by("fps", "me").alias("left"), F.max_by("fps", "me").alias("right"), F.count(F.lit(1)).alias("n"))
             .filter("n = 2").select("left", "right"))
-    return own.unionByName(pair).mapInArrow(lambda batches: link_batches(batches, radius), "a bigint, b bigint")
+    return own.unionByName(pair).mapInArrow(lambda batches: tidied(link_batches(batches, radius)), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, out: str = "group",

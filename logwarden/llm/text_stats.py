@@ -7,14 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from logwarden.llm.common import BLANKS
+from logwarden.llm.common import BLANKS, sliced, tidied
 
 SYMBOLS = "#*$%&|<>"
 #: Words of the windows in which repeats are looked for.
 REPEAT_WINDOW = 8
+#: Bytes of text that go back from Python at once.
+SLICE = 4_000_000
 UPPER, MARKS = string.ascii_uppercase.encode(), string.punctuation.encode()
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
 
@@ -54,7 +57,7 @@ def text_counts(text: str) -> tuple[int, ...]:
 
 
 def count_batches(batches: Iterator[pa.RecordBatch], keep: list[str], out: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in sliced(whole, pc.binary_length(whole.column("text")), SLICE)):
         made = [text_counts(t.as_py() or "") for t in batch.column("text")]
         counts = pa.StructArray.from_arrays([pa.array([m[i] for m in made], pa.int64()) for i in range(len(COUNTS))], COUNTS)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), counts], [*keep, out])
@@ -69,4 +72,5 @@ def count_texts(docs: DataFrame, out: str = "counts", keep: list[str] | None = N
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lambda batches: count_batches(batches, keep, out), schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(
+        lambda batches: tidied(count_batches(batches, keep, out)), schema)

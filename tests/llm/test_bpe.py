@@ -34,6 +34,27 @@ def test_every_character_class_splits_alike(tiktoken_50k):
         assert not wrong, wrong[:20]
 
 
+def test_long_pieces_are_cut_at_marks_alike(tiktoken_50k):
+    rnd = random.Random(4)
+    pool = ["漢字かな", "カタ", "한글", "word", "42", "²", "ñ", "_", "'", "’", "。", "、", "，", ".", ":", "!?", "…", "：", "’s", "'ll", "\u0301", "\u200b", "\U0001f600"]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randrange(60, 400))) for _ in range(400)]
+    texts += [f"{'漢' * 90}{c}{'字' * 90}。{'a' * 90}{c}." for c in map(chr, range(0x20, 0x3100))]
+    encoder = bpe.Encoder(byte_bpe())
+    got = encoder.encode(texts)
+    assert [g.tolist() for g in got] == [tiktoken_50k.encode_ordinary(t) for t in texts]
+    assert any(len(bpe.pieces(t)) > 3 for t in texts) and max(map(len, encoder.known)) <= bpe.SHORT
+
+
+def test_memory_of_pieces_is_bounded():
+    encoder = bpe.Encoder(byte_bpe())
+    for i in range(30):
+        encoder.encode([f"{chr(0x4e00 + i * 40 + j) * 3000}" for j in range(40)])
+    assert len(encoder.known) == 0
+    for i in range(3):
+        encoder.encode([" ".join(f"x{i}y{j}" for j in range(60_000))])
+        assert len(encoder.known) <= bpe.REMEMBERED
+
+
 def test_round_trip_and_digests(spark, documents, write_tables, tiktoken_50k):
     texts = AWKWARD + [noise(i, 300) for i in range(20)]
     path = write_tables(documents=documents([*enumerate(texts), (0, "again"), (None, "no id")]))
