@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import staged
+from logwarden.llm.common import staged, tidied
 
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 BREAK = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
@@ -30,21 +31,27 @@ HEAD = 1 << 16
 SIDE, DENSE = 1 << 10, 8
 #: Bits that tell tasks which words and phrases may reach the least count.
 BITS = 1 << 26
-#: Bytes of text read at once; entries that a task holds before it merges them, words it remembers.
-CHUNK, HELD, REMEMBERED = 1_000_000, 2_000_000, 200_000
+#: Bytes of text read at once; entries that a task holds before it merges them, words it remembers, languages it has open.
+CHUNK, HELD, REMEMBERED, OPEN = 2_000_000, 1_000_000, 100_000, 64
 ADDRESS = 1 << 62
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 # -- texts to words to numbers --------------------------------------------------------------------------------
 
-def word_chunks(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, an EDGE between pieces, from about CHUNK bytes at a time. No word is cut."""
+def word_chunks(text: bytes) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """The words of a text, an EDGE between pieces, from about CHUNK bytes at a time: as numbers into the list of different
+    words. No word is cut."""
     at = 0
     while at < len(text):
         cut = BREAK.search(text, at + CHUNK)
         end = cut.start() if cut else len(text)
-        yield text[at:end].translate(PIECE_BYTES).replace(b"\n", b" A ").split()
+        part = text[at:end].translate(PIECE_BYTES).replace(b"\n", b" A ")
+        words = pc.ascii_split_whitespace(pa.array([part], pa.large_binary()).cast(pa.large_string())).values.dictionary_encode()
+        numbers, different = words.indices.to_numpy(), words.dictionary.cast(pa.large_binary()).to_pylist()
+        if b"" in different:  # blanks at either end of the part
+            numbers = numbers[numbers != different.index(b"")]
+        yield numbers, different
         at = end
 
 
@@ -58,18 +65,21 @@ def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
 
 
 def count_word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = defaultdict(Counter)
+    counts: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
 
     def result() -> Iterator[pa.RecordBatch]:
         for lang, own in counts.items():
-            own.pop(EDGE, None)
+            for none in (EDGE, b""):
+                own.pop(none, None)
             words = pa.array(list(own), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), words, pa.array(own.values(), pa.int64())], ["lang", "word", "f"])
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(own)), words, pa.array(list(own.values()), pa.int64())], ["lang", "word", "f"])
 
     for batch in batches:
         for lang, text in by_language(batch):
-            for words in word_chunks(text):
-                counts[lang].update(words)
+            for numbers, words in word_chunks(text):
+                own = counts[lang]
+                for word, n in zip(words, np.bincount(numbers, minlength=len(words)).tolist()):
+                    own[word] += n
                 if sum(map(len, counts.values())) > REMEMBERED:
                     yield from result()
                     counts.clear()
@@ -79,16 +89,17 @@ def count_word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 class Numbers(dict):
     """Word to number in one language: the rank of a ranked word, the address of another that may reach the least count, else -1."""
 
-    def __init__(self, ranks: dict[bytes, int], salt: bytes, bits: np.ndarray):
+    def __init__(self, ranks: dict[bytes, int], salt: bytes, bits: bytes, room: list[int]):
         super().__init__(ranks)
         self[EDGE] = -1
-        self.salt, self.bits, self.limit = salt, bits, len(ranks) + REMEMBERED
+        self.salt, self.bits, self.room = salt, bits, room
 
     def __missing__(self, word: bytes) -> int:
         address = xxhash.xxh64_intdigest(self.salt + word, 42) % ADDRESS | ADDRESS
         bit = address % BITS
         number = address if self.bits[bit >> 3] >> (bit & 7) & 1 else -1
-        if len(self) < self.limit and len(word) <= 64:
+        if self.room[0] > 0 and len(word) <= 32:
+            self.room[0] -= 1
             self[word] = number
         return number
 
@@ -135,13 +146,10 @@ class Sorted:
         self.parts, self.size = [], 0
         return merged(columns, counts)
 
-    def full(self) -> bool:
-        """Whether even merged entries are more than half of HELD."""
-        if self.size > HELD:
-            self.parts = [self.take()]
-            self.size = len(self.parts[0][1])
-            return self.size > HELD // 2
-        return False
+    def merge(self) -> int:
+        self.parts = [self.take()]
+        self.size = len(self.parts[0][1])
+        return self.size
 
 
 class Tiles:
@@ -166,18 +174,18 @@ class Tiles:
         rest = ~self.is_dense[tile]
         self.sparse.add([left[rest] * HEAD + right[rest]])
 
-    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(left, right, counts) of all cells that are not zero; nothing is held afterwards."""
+    def take(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(left, right, counts) of the sorted coordinates, which are held no more."""
         (code,), counts = self.sparse.take()
-        lefts, rights, sums = [code // HEAD], [code % HEAD], [counts]
+        yield code // HEAD, code % HEAD, counts
+
+    def take_dense(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same of the arrays: their cells that are not zero."""
         for t, cells in self.dense.items():
             at = np.flatnonzero(cells)
-            lefts.append(t // self.across * SIDE + at // SIDE)
-            rights.append(t % self.across * SIDE + at % SIDE)
-            sums.append(cells[at])
+            yield t // self.across * SIDE + at // SIDE, t % self.across * SIDE + at % SIDE, cells[at]
         self.room[0] += len(self.dense)
         self.dense, self.is_dense = {}, np.zeros(self.across ** 2, bool)
-        return np.concatenate(lefts), np.concatenate(rights), np.concatenate(sums)
 
 
 # -- counting phrases of one length ---------------------------------------------------------------------------
@@ -189,23 +197,32 @@ def count_phrase_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast, l
     (for each language the sorted codes, their ranks and, by rank, their words) and the bits.
     """
     salt, ranks, word_bits, levels = shared.value
-    bits = [np.frombuffer(x, np.uint8) for x in (word_bits, *(b for _, b in levels))]
+    bits = [np.frombuffer(b, np.uint8) for _, b in levels]
     numbers: dict[str, Numbers] = {}
     tiles: dict[str, Tiles] = {}
     tails: dict[str, Sorted] = {}
-    room = [DENSE]
+    room, words_room = [DENSE], [REMEMBERED]
     names = ["lang", *(f"w{i + 1}" for i in range(length)), "f"]
 
     def rows(lang: str, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(counts), 100_000):
             part = [pa.array(c[at:at + 100_000], pa.int64()) for c in (*columns, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[-1]), pa.string()), *part], names)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part[-1])), *part], names)
+
+    def cells(lang: str, taken: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for left, right, counts in taken:
+            words = levels[-1][0][lang][2][left] if levels and len(left) else left[:, None]
+            yield from rows(lang, [*(words[:, i] for i in range(words.shape[1])), right], counts)
+
+    def sparse() -> Iterator[pa.RecordBatch]:
+        for lang in numbers:
+            yield from cells(lang, tiles[lang].take())
+            yield from rows(lang, *tails[lang].take())
 
-    def result(lang: str) -> Iterator[pa.RecordBatch]:
-        left, right, counts = tiles[lang].take()
-        words = levels[-1][0][lang][2][left] if levels and len(left) else left[:, None]
-        yield from rows(lang, [*(words[:, i] for i in range(words.shape[1])), right], counts)
-        yield from rows(lang, *tails[lang].take())
+    def result() -> Iterator[pa.RecordBatch]:
+        yield from sparse()
+        for lang in numbers:
+            yield from cells(lang, tiles[lang].take_dense())
 
     def add(lang: str, arr: np.ndarray) -> None:
         ranked = np.where(arr < HEAD, arr, -1)
@@ -214,7 +231,7 @@ def count_phrase_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast, l
             ok, nxt = ok[:-1] & ok[1:], ranked[m - 1:]
             at = np.flatnonzero(ok)
             bit = phrase_bits([arr[at + j] for j in range(m)])
-            ok[at] = bits[m - 1][bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+            ok[at] = bits[m - 2][bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
             found = np.full(len(ok), -1)
             if lang in heads:
                 codes, order, _words = heads[lang]
@@ -234,21 +251,22 @@ def count_phrase_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast, l
     for batch in batches:
         for lang, text in by_language(batch):
             if lang not in numbers:
-                if len(numbers) >= 64:  # many languages: begin anew with what is remembered and held
-                    for x in list(numbers):
-                        yield from result(x)
+                if len(numbers) >= OPEN:  # begin anew
+                    yield from result()
                     numbers.clear(), tiles.clear(), tails.clear()
-                numbers[lang], tiles[lang], tails[lang] = Numbers(ranks.get(lang, {}), salt, bits[0]), Tiles(room), Sorted(length)
+                    words_room[0] = REMEMBERED
+                numbers[lang], tiles[lang], tails[lang] = Numbers(ranks.get(lang, {}), salt, word_bits, words_room), Tiles(room), Sorted(length)
             carry = np.zeros(0, np.int64)
-            for words in word_chunks(text):
-                arr = np.concatenate([carry, np.fromiter(map(numbers[lang].__getitem__, words), np.int64, len(words))])
+            for places, words in word_chunks(text):
+                known = np.fromiter(map(numbers[lang].__getitem__, words), np.int64, len(words))
+                arr = np.concatenate([carry, known[places]])
                 if len(arr) >= length:
                     add(lang, arr)
                 carry = arr[-(length - 1):]
-                if tiles[lang].sparse.full() or tails[lang].full():
-                    yield from result(lang)
-    for lang in list(numbers):
-        yield from result(lang)
+                held = [*(t.sparse for t in tiles.values()), *tails.values()]
+                if sum(h.size for h in held) > HELD and sum(h.merge() for h in held) > HELD // 2:
+                    yield from sparse()
+    yield from result()
 
 
 # -- tables ---------------------------------------------------------------------------------------------------
@@ -407,7 +425,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: in
     empty table gives no rows.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    counted = texts.mapInArrow(count_word_batches, "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    counted = texts.mapInArrow(lambda batches: tidied(count_word_batches(batches)), "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f"))
     words = staged(counted, "word-counts")
     salt = clear_salt(words, least)
     table, ranks, word_bits = first_level(words, salt, least)
@@ -433,4 +451,4 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: in
 
 
 def counter(shared: Broadcast, length: int):
-    return lambda batches: count_phrase_batches(batches, shared, length)
+    return lambda batches: tidied(count_phrase_batches(batches, shared, length))

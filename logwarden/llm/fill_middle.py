@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logwarden.llm.common import fresh, tidied
+
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 MADE = T.StructType([T.StructField("n", T.LongType()), T.StructField("form", T.StringType()), T.StructField("prefix_chars", T.LongType()),
                      T.StructField("middle_chars", T.LongType()), T.StructField("output", T.StringType())])
@@ -178,12 +180,10 @@ def fill_in_middle(docs: DataFrame, seed: str = "1", plain: int = 10, spm: int =
     the columns to carry on (all by default); one named ``out`` is replaced. An empty table stays empty.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
-    name = "doc_id_text"
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = fresh(docs, "doc_id_text")
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, MADE)])
     rows = docs.select(*(f"`{c}`" for c in dict.fromkeys([*keep, "text"])), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(name))
-    return rows.mapInArrow(lambda batches: transform_batches(batches, name, keep, out, seed, plain, spm), schema)
+    return rows.mapInArrow(lambda batches: tidied(transform_batches(batches, name, keep, out, seed, plain, spm)), schema)
 
 
 def restored(output: Column, form: Column) -> Column:

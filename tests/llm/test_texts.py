@@ -231,14 +231,14 @@ def test_tiles_and_coordinates_count_alike(monkeypatch, head, side, dense, held)
     for name, value in {"HEAD": head, "SIDE": side, "DENSE": dense, "HELD": held, "CHUNK": 97}.items():
         monkeypatch.setattr(C, name, value)
     docs = [(t or "", lang) for _, t, lang, *_ in talk()[:312] if lang]
-    words = Counter((lang, w) for t, lang in docs for chunk in C.word_chunks(t.encode()) for w in chunk if w != C.EDGE)
+    words = Counter((lang, w) for t, lang in docs for at, own in C.word_chunks(t.encode()) for w in map(own.__getitem__, at) if w != C.EDGE)
     by_lang = defaultdict(list)
     for (lang, w), f in words.items():
         by_lang[lang].append((-f, w))
     ranks = {lang: {w: r for r, (_, w) in enumerate(sorted(own)[:head])} for lang, own in by_lang.items()}
     everything = np.full(C.BITS // 8, 255, np.uint8).tobytes()
     batch = pa.record_batch({"lang": [x for _, x in docs], "text": [t for t, _ in docs]})
-    names = {lang: C.Numbers(ranks[lang], b"", np.frombuffer(everything, np.uint8)) for lang in ranks}
+    names = {lang: C.Numbers(ranks[lang], b"", everything, [10_000]) for lang in ranks}
     word_of = {(lang, names[lang][w]): w for lang, w in words}
     pairs = sorted({(lang, i, j) for lang in ranks for i in range(3) for j in range(5)})
     heads = {}
