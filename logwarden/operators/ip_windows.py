@@ -43,33 +43,46 @@ def subject_grain(logs: DataFrame, keys: list[str]) -> DataFrame:
         F.bool_and(F.coalesce("baseline_eligible", F.lit(True))).alias("is_baseline_eligible")))
 
 
-def _sums() -> list[Column]:
+def sums() -> list[Column]:
     return [*[F.sum(c).alias(c) for c in ("request_count", "error_count", "suspicious_uri_count", "response_bytes_total")],
             F.bool_and("is_baseline_eligible").alias("is_baseline_eligible")]
 
 
-def ip_measures(logs: DataFrame) -> DataFrame:
-    small = subject_grain(_smallest(keyed(logs)), ["client_ip", "win"])
-    rows = small.withColumn("w", _lenses(F.col("win"))).drop("win").select("*", "w.*").drop("w")
-    return (rows.groupBy(*KEYS, "subject").agg(*_sums()).groupBy(*KEYS)
-            .agg(*_sums(), F.count("subject").alias("unique_subs_count")))
+def subject_rows(logs: DataFrame) -> DataFrame:
+    """Measures per (address, 5 minutes, subject): what windows of every length add up from, also over batches."""
+    return subject_grain(_smallest(keyed(logs)), ["client_ip", "win"])
 
 
-def ip_heads(logs: DataFrame) -> DataFrame:
-    """Address metadata of the first log of each window, nulls included.
+def head_rows(logs: DataFrame) -> DataFrame:
+    """The first position of each set of metadata per (address, 5 minutes). An address rarely has two sets, so this leaves
+    about one row each; only those few go through ``min_by``, whose struct buffer needs a sort."""
+    return _smallest(keyed(logs)).groupBy("client_ip", "win", *META).agg(F.min(X.log_position()).alias("position"))
 
-    An address rarely has two sets of metadata, so grouping by the metadata itself leaves about one row per
-    (address, 5 min); only those few rows go through ``min_by``, whose struct buffer needs a sort.
-    """
-    small = _smallest(keyed(logs)).groupBy("client_ip", "win", *META).agg(F.min(X.log_position()).alias("position"))
-    rows = small.select("client_ip", _lenses(F.col("win")).alias("w"), "position", F.struct(*META).alias("meta"))
-    return (rows.groupBy("client_ip", F.col("w.window_size"), F.col("w.win"))
+
+def all_lengths(rows: DataFrame) -> DataFrame:
+    """Rows of 5 minutes as rows of each window they fall into (``window_size``, ``win``)."""
+    return rows.withColumn("w", _lenses(F.col("win"))).drop("win").select("*", "w.*").drop("w")
+
+
+def measures_of(rows: DataFrame) -> DataFrame:
+    """Window measures from subject rows with ``window_size``; rows of several batches may repeat a subject."""
+    return (rows.groupBy(*KEYS, "subject").agg(*sums()).groupBy(*KEYS)
+            .agg(*sums(), F.count("subject").alias("unique_subs_count")))
+
+
+def heads_of(rows: DataFrame) -> DataFrame:
+    """Address metadata of the first log of each window, nulls included, from head rows with ``window_size``."""
+    return (rows.select(*KEYS, "position", F.struct(*META).alias("meta")).groupBy(*KEYS)
             .agg(F.min_by("meta", "position").alias("meta")).select(*KEYS, "meta.*"))
 
 
 def ip_windows(logs: DataFrame) -> DataFrame:
-    joined = ip_measures(logs).join(ip_heads(logs), KEYS)
-    return joined.select(
+    return windows_of_rows(all_lengths(subject_rows(logs)), all_lengths(head_rows(logs)))
+
+
+def windows_of_rows(subjects: DataFrame, heads: DataFrame) -> DataFrame:
+    """The windows that subject and head rows add up to."""
+    return measures_of(subjects).join(heads_of(heads), KEYS).select(
         F.col("client_ip").alias("target_id"), "win", X.epoch_to_iso(F.col("win")).alias("window_start"),
         "window_size", "request_count", "error_count", "suspicious_uri_count", "unique_subs_count",
         "response_bytes_total", *META, "is_baseline_eligible")

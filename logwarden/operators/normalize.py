@@ -18,22 +18,32 @@ def token_fields(iat: Column, exp: Column, now: Column) -> dict[str, Column]:
     }
 
 
-def identity(raw: DataFrame) -> Column:
+def identity(raw: DataFrame, numbered: bool = False) -> Column:
     """The store's document number; where there is none, a number derived from the whole document.
 
-    The derived one is the same wherever and whenever the document is read, so equal documents count as one delivery.
+    The derived one is the same wherever and whenever the document is read, so equal documents count as one delivery. It has
+    63 bits, so logs are told apart by it and ``receive_epoch`` together (IDENTITY): only logs of one second can collide.
     """
+    if numbered:
+        return F.col("log_id")
     derived = F.xxhash64(*(f"`{c}`" for c in raw.columns if c != "log_id")).bitwiseAND(F.lit(2**63 - 1))
     return F.coalesce("log_id", derived) if "log_id" in raw.columns else derived
 
 
-def normalize_logs(raw: DataFrame, provenance: str = "provenance") -> DataFrame:
+#: What two deliveries of one log share and no other log has.
+IDENTITY = ["log_id", "receive_epoch"]
+
+
+def normalize_logs(raw: DataFrame, provenance: str = "provenance", numbered: bool = False) -> DataFrame:
+    """``numbered`` says that every document has its ``log_id``. Otherwise a query that uses ids reads whole documents, to derive
+    those that are missing; ingest jobs do that once and store the result."""
     text, jwt = F.col, lambda name: F.col(f"jwt.{name}")
     empty = F.array().cast("array<string>")
     # A one-element inline: Spark copies a projected expression into every filter and constraint pushed below it, and
-    # would parse the timestamp and hash the document many times per row. It never copies through a generator.
-    once = F.struct(identity(raw).alias("log_id"), X.iso_to_epoch(text("@timestamp")).alias("receive_epoch"))
-    stamped = raw.select(*(f"`{c}`" for c in raw.columns if c != "log_id"), F.inline(F.array(once)))
+    # would parse the timestamp many times per row. It never copies through a generator. The id stays outside, since a
+    # generator's columns are computed for every query: only one that uses the id reads what it is made of.
+    once = F.struct(X.iso_to_epoch(text("@timestamp")).alias("receive_epoch"))
+    stamped = raw.withColumn("log_id", identity(raw, numbered)).select("*", F.inline(F.array(once)))
     now = F.coalesce("receive_epoch", F.lit(0).cast("bigint"))
     derived = token_fields(jwt("iat"), jwt("exp"), now)
     return stamped.select(

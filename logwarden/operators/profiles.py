@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from logwarden.config import Config
 from logwarden.functions import scalar as X
 from logwarden.operators import user_windows as UW
+from logwarden.operators.normalize import IDENTITY
 
 CLAIMS = ["audiences", "issuer", "client_id", "acr", "amr", "scopes", "token_lifetime"]
 TOKEN_KINDS = {"jti": "jwt_id", "kid": "kid", "session": "session_id"}
@@ -162,7 +163,7 @@ def partials(logs: DataFrame) -> dict[str, DataFrame]:
 
     return {"windows": dated(window_rows(logs)), "heads": dated(head_rows(logs)), "tokens": token_rows(logs),
             "endpoints": endpoint_rows(logs), "ips": ip_rows(logs),
-            "seen": keyed(logs).select("log_id", X.day_of(F.col("win")).alias("day")).distinct()}
+            "seen": keyed(logs).select(*IDENTITY, X.day_of(F.col("win")).alias("day")).distinct()}
 
 
 def _latest_alerts(df: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def compacted(parts: State) -> dict[str, DataFrame]:
     return {"windows": _merge_windows(parts["windows"]).withColumn("day", day),
             "heads": _merge_heads(parts["heads"]).withColumn("day", day),
             "tokens": _merge_tokens(parts["tokens"], "day"), "endpoints": _merge_endpoints(parts["endpoints"], "day"),
-            "ips": _merge_ips(parts["ips"], "day"), "seen": parts["seen"].select("log_id", "day").distinct(),
+            "ips": _merge_ips(parts["ips"], "day"), "seen": parts["seen"].select(*IDENTITY, "day").distinct(),
             "alerts": _latest_alerts(parts["alerts"])}
 
 
@@ -206,11 +207,11 @@ def profile_state(logs: DataFrame) -> dict[str, DataFrame]:
 
 
 def unseen(logs: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """Logs of users that are not in ``seen`` (log_id, day), each once: what makes repeats and overlaps change nothing."""
-    rows = keyed(logs).dropDuplicates(["log_id"]).withColumn("day", X.day_of(F.col("win")))
+    """Logs of users that are not in ``seen`` (IDENTITY), each once: what makes repeats and overlaps change nothing."""
+    rows = keyed(logs).dropDuplicates(IDENTITY)
     if seen is not None:
-        rows = rows.join(seen.select("log_id", "day"), ["log_id", "day"], "left_anti")
-    return rows.drop("win", "day")
+        rows = rows.join(seen.select(*IDENTITY), IDENTITY, "left_anti")
+    return rows.drop("win")
 
 
 def upsert_counts(logs: DataFrame, fresh: State, old: State | None) -> DataFrame:

@@ -7,7 +7,7 @@ over one scan. ``user_events`` is the document: exact counts and the first viola
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logwarden.config import USER_WINDOW, Config
@@ -24,8 +24,8 @@ def keyed(logs: DataFrame) -> DataFrame:
             .withColumn("win", X.window_start(F.col("receive_epoch"), USER_WINDOW[1])))
 
 
-def token_grain(logs: DataFrame, cfg: Config = Config(), keys: list[str] | None = None) -> DataFrame:
-    """Measures per (window, jti).
+def token_measures(logs: DataFrame, cfg: Config = Config(), keys: list[str] | None = None) -> DataFrame:
+    """Measures per (window, jti). They merge: see ``merged_tokens``.
 
     Everything the window needs is additive over jti, so the token-replay test costs no extra pass, and a hot
     user's rows spread over its tokens. A jti crosses a class (or country) border when its smallest and
@@ -49,11 +49,33 @@ def token_grain(logs: DataFrame, cfg: Config = Config(), keys: list[str] | None
         F.bool_or(F.coalesce(F.col("client_ip") != "", F.lit(False))).alias("has_ip"),
         F.min(code("ip_class")).alias("class_lo"), F.max(code("ip_class")).alias("class_hi"),
         F.min(code("ip_country")).alias("country_lo"), F.max(code("ip_country")).alias("country_hi"),
-        *[F.bool_or(hit(r, cfg, now)).alias(r.name) for r in TOKEN_RULES],
-    ).withColumn("crossed_class", F.coalesce(
-        F.col("jti").isNotNull() & F.col("has_ip") & (F.col("class_lo") != F.col("class_hi")), F.lit(False)))
-     .withColumn("crossed_country", F.coalesce(
-        F.col("jti").isNotNull() & F.col("has_ip") & (F.col("country_lo") != F.col("country_hi")), F.lit(False))))
+        *[F.bool_or(hit(r, cfg, now)).alias(r.name) for r in TOKEN_RULES]))
+
+
+def crossings(tokens: DataFrame) -> DataFrame:
+    """Whether a token was seen on both sides of a class or country border in the window."""
+    def differ(name: str) -> Column:
+        return F.coalesce(F.col("jti").isNotNull() & F.col("has_ip") & (F.col(f"{name}_lo") != F.col(f"{name}_hi")), F.lit(False))
+
+    return tokens.withColumns({f"crossed_{name}": differ(name) for name in ("class", "country")})
+
+
+def token_grain(logs: DataFrame, cfg: Config = Config(), keys: list[str] | None = None) -> DataFrame:
+    return crossings(token_measures(logs, cfg, keys))
+
+
+def merged_tokens(rows: DataFrame) -> DataFrame:
+    """Partial measures of several batches as those of one."""
+    return rows.groupBy(*KEYS, "jti").agg(
+        *[F.sum(c).alias(c) for c in ("request_count", "success_count", "error_count", "suspicious_uri_count", "response_bytes_total")],
+        F.max("response_bytes_max").alias("response_bytes_max"), F.bool_and("is_baseline_eligible").alias("is_baseline_eligible"),
+        F.bool_or("has_ip").alias("has_ip"), *[f(f"{name}_{end}").alias(f"{name}_{end}") for name in ("class", "country") for end, f in (("lo", F.min), ("hi", F.max))],
+        *[F.bool_or(r.name).alias(r.name) for r in TOKEN_RULES])
+
+
+def windows_of_tokens(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """The windows that partial token rows add up to."""
+    return finish(window_measures(crossings(merged_tokens(rows))), cfg)
 
 
 def window_measures(tokens: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -410,6 +410,14 @@ SPREAD = """
  CASE WHEN r >= 1 THEN 0.0 WHEN r < 1e-9 THEN 12.0 ELSE sqrt(-2 * ln(r)) * 24 / (2 * pi()) END AS spread"""
 
 
+PROFILE_COLUMNS = """prof.user_id, prof.first_seen, prof.last_seen, requests_total, error_ratio,
+ (SELECT count(*) FROM pe WHERE pe.user_id = prof.user_id AND rank <= 30) AS unique_uri_count, known_jtis, client_id,
+ (SELECT count(*) FROM pi WHERE pi.user_id = prof.user_id AND rank <= 20) AS known_ip_count,
+ (SELECT client_ip FROM pi WHERE pi.user_id = prof.user_id AND rank = 1) AS primary_ip, data_points_count"""
+PROFILE_TABLES = "prof JOIN ptok USING (user_id) JOIN pclaims USING (user_id)"
+LATE = f"(log_id % 100 = 7 AND receive_epoch < {SPLIT})"
+
+
 def oracle_statements() -> dict[str, str]:
     instructions = INSTRUCTIONS.replace("'", "''")
     return {
@@ -597,4 +605,30 @@ def oracle_statements() -> dict[str, str]:
             SELECT receive_epoch - receive_epoch % 86400 AS win, regexp_replace(client_ip, '\\.[^.]*$', '.0/24') AS subnet,
              count(DISTINCT client_ip) AS ip_count FROM logs GROUP BY ALL)
             SELECT * FROM s WHERE ip_count >= 5 AND win + 86400 <= {CLOSED}""",
+        "filed_events": _with(LOGS, VIOL, USERW, IPW) + """
+            SELECT 'user-run' AS run, '2024-02-02' AS ingest_date, window_size, count(*) AS windows, count(DISTINCT target_id) AS targets,
+             CAST(sum(request_count) AS BIGINT) AS requests FROM uw GROUP BY window_size UNION ALL
+            SELECT 'ip-run', '2024-02-02', window_size, count(*), count(DISTINCT target_id), CAST(sum(request_count) AS BIGINT)
+            FROM ipw GROUP BY window_size""",
+        "filed_risk": _with(*ALL_RISK) + """SELECT target_type, target_id, win, window_size, total_score, dominant_factor, attacker_level,
+            target_id IN (SELECT target_id FROM risk WHERE total_score >= 70) AS excluded_next FROM risk""",
+        "filed_alerts": _with(*REVIEW, REQUESTS, VERDICTS, CLUSTERS, RULE_DOCS) + """
+            SELECT 'rules' AS run, alert_type, layer, rule, severity, user_id, ip, uri, alert_epoch, evidence, reason FROM docs UNION ALL
+            SELECT 'verdicts', 'llm', 2, rule, severity, user_id, client_ip, uri, receive_epoch, evidence, reason FROM verdicts""",
+        "profile_store": _with(LOGS, PROFILE) + f"SELECT {PROFILE_COLUMNS} FROM {PROFILE_TABLES}",
+        "profile_lookup": _with(LOGS, PROFILE) + f"""SELECT {PROFILE_COLUMNS}, true AS known, false AS stranger FROM {PROFILE_TABLES}
+            WHERE prof.user_id = '{SOME_USER}'""",
+        "streamed_risk": _with(*ALL_RISK) + """SELECT target_type, target_id, win, window_size, total_score, dominant_factor, attacker_level,
+            data_exfiltration_detected, triggered_rules, ip_class, ip_country FROM risk""",
+        "streamed_profiles": _with(*ALL_RISK, HISTORY, PROFILE) + f"""SELECT {PROFILE_COLUMNS}, coalesce(total_alerts, 0) AS total_alerts,
+            last_alert_epoch, last_alert_dominant_factor, last_alert_rule, max_score_seen,
+            CASE lv WHEN 4 THEN 'L4' WHEN 3 THEN 'L4(Slow & Low)' WHEN 2 THEN 'L2' WHEN 1 THEN 'L0' END AS max_attacker_level_seen,
+            coalesce(data_exfiltration_ever, false) AS data_exfiltration_ever, coalesce(alerts_last_7d, 0) AS alerts_last_7d,
+            CASE WHEN total_alerts > 0 THEN 'suspicious' WHEN {DAY_END} - prof.first_seen < 7 * 86400 THEN 'new'
+             WHEN {DAY_END} - prof.first_seen < 14 * 86400 THEN 'learning' ELSE 'established' END AS trust_level
+            FROM {PROFILE_TABLES} LEFT JOIN hist USING (user_id)""",
+        "streamed_late": _with(LOGS) + f"""
+            SELECT strftime(make_timestamp(receive_epoch * 1000000), '%Y-%m-%d') AS day, count(*) AS logs, count(DISTINCT user_id) AS users,
+             max((SELECT max(receive_epoch) - 60 FROM logs WHERE NOT {LATE}) - receive_epoch) AS most_seconds_late
+            FROM logs WHERE {LATE} GROUP BY 1""",
     }

@@ -3,6 +3,7 @@ engine can be compared column by column."""
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -20,13 +21,16 @@ from logwarden.operators import review as R
 from logwarden.operators import rules as TR
 from logwarden.operators import scoring as S
 from logwarden.operators import user_windows as U
+from logwarden.operators.normalize import IDENTITY
 from logwarden.operators.normalize import normalize_logs as normalized
 from logwarden.operators.normalize import token_fields
-from logwarden.plans.rule_batch import review_batch, rule_documents
+from logwarden.plans import scoring as SC
+from logwarden.plans.rule_batch import review_batch, rule_documents, run_rules, save_verdicts
 from logwarden.plans.scoring import score_logs, score_with_feedback, staged_windows
 from logwarden.sources import events as E
 from logwarden.sources import logs as scans
-from logwarden.sources.sinks import stage
+from logwarden.sources.sinks import stage, write_daily
+from logwarden.streaming import scored as SS
 from logwarden.streaming import windows as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,20 +90,20 @@ def token_derivation(spark, d):
 @query
 def time_range_scan(spark, d):
     raw = E.raw_documents(E.events_between(E.read_events(spark, d), *RANGE))
-    return scans.in_range(normalized(raw), *RANGE).select("log_id", "timestamp", "user_id", "uri", "status")
+    return scans.in_range(normalized(raw, numbered=True), *RANGE).select("log_id", "timestamp", "user_id", "uri", "status")
 
 
 @query
 def time_range_first(spark, d):
     raw = E.raw_documents(E.events_between(E.read_events(spark, d), *RANGE))
-    return scans.in_range(normalized(raw), *RANGE, limit=500).select("log_id", "timestamp", "user_id", "uri")
+    return scans.in_range(normalized(raw, numbered=True), *RANGE, limit=500).select("log_id", "timestamp", "user_id", "uri")
 
 
 @query
 def recent_logs(spark, d):
     minutes = 1440
     events = E.events_between(E.read_events(spark, d), DAY_END - minutes * 60, DAY_END)
-    return scans.recent(normalized(E.raw_documents(events)), DAY_END, minutes).select(
+    return scans.recent(normalized(E.raw_documents(events), numbered=True), DAY_END, minutes).select(
         "log_id", "timestamp", "method", "uri")
 
 
@@ -215,7 +219,7 @@ def token_replay(spark, d):
 def user_windows_without_log_id(spark, d):
     """Documents without an id, delivered twice: the derived id tells deliveries from documents."""
     twice = E.raw_documents(E.read_events(spark, d)).drop("log_id").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    windows = U.user_windows(normalized(twice).dropDuplicates(["log_id"]), CFG)
+    windows = U.user_windows(normalized(twice).dropDuplicates(IDENTITY), CFG)
     return windows.select("target_id", "win", "request_count", "success_count", "error_count", "suspicious_uri_count",
                           "response_bytes_total", "jti_count", "class_crossings", "country_crossings", "violation_score",
                           joined("triggered_rules").alias("triggered_rules"))
@@ -415,8 +419,10 @@ def trust_levels(spark, d):
 def _halves(spark, d):
     """Partials of a first range that ends inside a window, the logs of a second that overlaps it, and what is new there."""
     events = E.read_events(spark, d)
-    old = P.partials(normalized(E.raw_documents(events.filter(E.before(SPLIT)))))
-    later = normalized(E.raw_documents(events.filter(~E.before(SPLIT - 3 * 86400))))
+    # parsed once, since each part reads them
+    first = stage(normalized(E.raw_documents(events.filter(E.before(SPLIT))), numbered=True), work_of(spark), "profile-first")
+    later = stage(normalized(E.raw_documents(events.filter(~E.before(SPLIT - 3 * 86400))), numbered=True), work_of(spark), "profile-later")
+    old = P.partials(first)
     return old, later, stage(P.unseen(later, old["seen"]), work_of(spark), "profile-delta")
 
 
@@ -447,7 +453,7 @@ def profile_upsert_counts(spark, d):
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return normalized(E.raw_documents(events))
+    return normalized(E.raw_documents(events), numbered=True)
 
 
 def drained(df: DataFrame) -> DataFrame:
@@ -498,3 +504,123 @@ def streaming_rule_alerts(spark, d):
 @query
 def streaming_subnet_clusters(spark, d):
     return drained(ST.stream_subnet_clusters(_event_stream(spark, d), CFG, seconds=86400))
+
+
+# -- sinks and stores, read back ------------------------------------------------------------------------------
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{work_of(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def filed_events(spark, d):
+    """Window documents as daily runs; a retry on the next day replaces its run."""
+    logs, root, day = logs_of(spark, d), _place(spark, "filed"), dt.date(2024, 2, 1)
+    users, ips = U.user_windows(logs, CFG), I.ip_windows(logs)
+    for name, df in (("user", users), ("ip", ips)):
+        for later in (0, 1):
+            write_daily(df.select("target_id", "window_size", "request_count"), f"{root}/events", f"{name}-run", day + dt.timedelta(days=later))
+    return (spark.read.parquet(f"{root}/events").groupBy("run", F.col("ingest_date").cast("string").alias("ingest_date"), "window_size")
+            .agg(F.count(F.lit(1)).alias("windows"), F.count_distinct("target_id").alias("targets"), F.sum("request_count").alias("requests")))
+
+
+@query
+def filed_risk(spark, d):
+    """Risk rows as the sink has them, and what the next round leaves out: targets of the last run that scored high."""
+    root = _place(spark, "filed")
+    risk = stage(_risk(spark, d), work_of(spark), "risk")
+    write_daily(risk.filter("total_score > 90"), f"{root}/risk_scores", "2024-01-30", dt.date(2024, 1, 30))
+    write_daily(risk, f"{root}/risk_scores", "2024-01-31", dt.date(2024, 1, 31))
+    hot = SC.previous_high_risk(spark, root, CFG).withColumn("excluded_next", F.lit(True))
+    filed = spark.read.parquet(f"{root}/risk_scores").filter(F.col("run").cast("string") == "2024-01-31")
+    return filed.join(hot, "target_id", "left").select(
+        "target_type", "target_id", "win", "window_size", "total_score", "dominant_factor", "attacker_level",
+        F.coalesce("excluded_next", F.lit(False)).alias("excluded_next"))
+
+
+@query
+def filed_alerts(spark, d):
+    """Rule, cluster and reviewer alerts as their sink has them."""
+    logs, root = logs_of(spark, d), _place(spark, "filed")
+    run_rules(logs, root, "rules", CFG, day=dt.date(2024, 2, 1))
+    requests = review_batch(logs, CFG)
+    save_verdicts(requests, _answers(requests), root, "verdicts", CFG, day=dt.date(2024, 2, 1))
+    return spark.read.parquet(f"{root}/alerts").select(
+        "run", "alert_type", "layer", "rule", "severity", "user_id", "ip", "uri", "alert_epoch", "evidence", "detection.reason")
+
+
+def _store(spark, d) -> str:
+    """A profile store of two overlapping batches, the second of which comes again, compacted up to the split."""
+    path, work = _place(spark, "profiles"), work_of(spark)
+    events = E.read_events(spark, d)
+    first = normalized(E.raw_documents(events.filter(E.before(SPLIT))), numbered=True)
+    later = normalized(E.raw_documents(events.filter(~E.before(SPLIT - 3 * 86400))), numbered=True)
+    for name, logs in (("first", first), ("later", later), ("later again", later)):
+        SC.update_profiles(spark, logs, path, name, work)
+    SC.compact_profiles(spark, path, dt.date(2024, 1, 14))
+    return path
+
+
+def _profile_columns(doc: DataFrame) -> DataFrame:
+    return doc.select(
+        "user_id", "first_seen", "last_seen", "behavior.requests_total", "behavior.error_ratio", "behavior.unique_uri_count",
+        joined("jwt_pattern.known_jtis").alias("known_jtis"), F.col("jwt_pattern.typical_client_id").alias("client_id"),
+        "location.known_ip_count", "location.primary_ip", "ingest_meta.data_points_count")
+
+
+@query
+def profile_store(spark, d):
+    """Profiles read back from a store that has had repeats, an overlap and a compaction."""
+    return _profile_columns(P.user_profiles(P.merged(SC.read_parts(spark, _store(spark, d))), DAY_END, cfg=CFG))
+
+
+@query
+def profile_lookup(spark, d):
+    """One user's stored profile, and whether that user and an unknown one exist."""
+    path = _store(spark, d)
+    return _profile_columns(SC.profile_of(spark, path, SOME_USER, DAY_END, CFG)).withColumns({
+        "known": F.lit(SC.profile_exists(spark, path, SOME_USER)), "stranger": F.lit(SC.profile_exists(spark, path, "no such user"))})
+
+
+#: Stores that queries of this application have streamed into, by table folder. Filing there again would change nothing.
+STREAMED: dict[tuple[str, str], str] = {}
+
+
+def _streamed(spark, d) -> str:
+    """Three deliveries through one checkpoint: logs before the split, an overlapping second half, and late ones of the first."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in STREAMED:
+        base = _place(spark, "streamed")
+        events, late = E.read_events(spark, d), (F.col("event_id") % 100 == 7) & E.before(SPLIT)
+        baseline = stage(B.compute_baseline(*staged_windows(logs_of(spark, d), work_of(spark), CFG), CFG), work_of(spark), "baseline")
+        pii = stage(_pii(spark, d), work_of(spark), "pii")
+        for part in (E.before(SPLIT) & ~late, ~E.before(SPLIT - 3 * 86400) & ~late, late):
+            E.raw_documents(events.filter(part)).write.mode("append").parquet(f"{base}/raw")
+            logs = ST.stream_logs(spark, f"{base}/raw", "parquet", numbered=True)
+            SS.risk_stream(logs, f"{base}/store", f"{base}/checkpoint", work_of(spark), baseline, pii, CFG).awaitTermination()
+        SS.close_windows(spark, f"{base}/store", work_of(spark), baseline, pii, CFG)
+        STREAMED[key] = f"{base}/store"
+    return STREAMED[key]
+
+
+@query
+def streamed_risk(spark, d):
+    """Risk of all windows from the stream, with PII, late logs included."""
+    return SS.stored_risk(spark, _streamed(spark, d), CFG).select(
+        "target_type", "target_id", "win", "window_size", "total_score", "dominant_factor", "attacker_level", "data_exfiltration_detected",
+        joined("triggered_rules").alias("triggered_rules"), "ip_class", "ip_country")
+
+
+@query
+def streamed_profiles(spark, d):
+    """Profiles from the stream, with their alert history."""
+    doc = SS.stored_profiles(spark, _streamed(spark, d), DAY_END, CFG)
+    return _profile_columns(doc).join(doc.select(
+        "user_id", "risk.total_alerts", "risk.last_alert_epoch", "risk.last_alert_dominant_factor", "risk.last_alert_rule", "risk.max_score_seen",
+        "risk.max_attacker_level_seen", "risk.data_exfiltration_ever", "risk.alerts_last_7d", "risk.trust_level"), "user_id")
+
+
+@query
+def streamed_late(spark, d):
+    """Late logs of each day."""
+    return SS.late_counts(spark, _streamed(spark, d), CFG).withColumn("day", F.col("day").cast("string"))

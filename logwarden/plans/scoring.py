@@ -14,15 +14,22 @@ from pyspark.sql import types as T
 from logwarden.config import Config
 from logwarden.operators import profiles as P
 from logwarden.operators.baseline import compute_baseline, high_risk_targets
-from logwarden.operators.ip_windows import ip_events, ip_members, ip_windows
+from logwarden.operators.ip_windows import META, ip_events, ip_members, ip_windows
 from logwarden.operators.scoring import risk_scores, risk_summary
 from logwarden.operators.user_windows import replay_samples, user_events, user_members, user_windows, windows_of
 from logwarden.schema import raw_schema
-from logwarden.sources.sinks import committed, read_part, read_run, stage, write_commit, write_daily
+from logwarden.sources.sinks import Snapshot, committed, read_run, stage, store_version, write_commit, write_daily
+
+
+#: The columns of a log that windows are made of.
+WINDOW_COLUMNS = ["log_id", "receive_epoch", "user_id", "jwt_id", "status", "uri", "bytes_sent", "baseline_eligible", "client_ip", *META,
+                  "jwt_issued_at", "jwt_expires_at", "auth_time", "audiences"]
 
 
 def staged_windows(logs: DataFrame, work: str, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """User and IP windows, written once because the baseline and the scores both read them."""
+    """User and IP windows, written once because the baseline and the scores both read them. Of the logs, which three
+    aggregations read, the columns that these use are written first, so documents are parsed once."""
+    logs = stage(logs.select(*WINDOW_COLUMNS), work, "window-logs")
     return stage(user_windows(logs, cfg), work, "user-windows"), stage(ip_windows(logs), work, "ip-windows")
 
 
@@ -99,7 +106,8 @@ def part_schemas(spark: SparkSession) -> dict[str, T.StructType]:
 
 def read_parts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All partial rows of the store that count; empty tables for a new store."""
-    return {name: read_part(spark, path, name, schema) for name, schema in part_schemas(spark).items()}
+    snapshot = Snapshot(spark, path)
+    return {name: snapshot.part(name, schema) for name, schema in part_schemas(spark).items()}
 
 
 def only_users(parts: P.State, users: DataFrame) -> dict[str, DataFrame]:
@@ -115,7 +123,7 @@ def update_profiles(spark: SparkSession, logs: DataFrame, path: str, run: str, w
     rows are added to the days they belong to; nothing else is rewritten. Returns the commit's version, users created,
     windows updated, windows without a user (failed), and risk rows recorded and skipped.
     """
-    old = read_parts(spark, path)
+    before, old = store_version(spark, path), read_parts(spark, path)
     span = P.keyed(logs).agg(F.min("win"), F.max("win")).first()
     seen = None
     if span[0] is not None:
@@ -127,14 +135,15 @@ def update_profiles(spark: SparkSession, logs: DataFrame, path: str, run: str, w
     if risk is not None:
         parts["alerts"] = P.alert_rows(risk, cfg)
         counts |= P.recording_counts(risk, cfg).first().asDict()
-    return {"version": write_commit(spark, path, parts, run), **counts}
+    return {"version": write_commit(spark, path, parts, run, after=before), **counts}
 
 
 def compact_profiles(spark: SparkSession, path: str, through: dt.date) -> int:
     """Merges the partial rows of all commits for event days up to ``through`` into one commit. Later days, and logs that
     come late for these, go on as before."""
+    before = store_version(spark, path)
     closed = {name: rows.filter(F.col("day") <= F.lit(through)) for name, rows in read_parts(spark, path).items()}
-    return write_commit(spark, path, P.compacted(closed), f"compaction through {through}", through)
+    return write_commit(spark, path, P.compacted(closed), f"compaction through {through}", through, before)
 
 
 def profile_of(spark: SparkSession, path: str, user_id: str, as_of: int, cfg: Config = Config()) -> DataFrame:
@@ -149,9 +158,10 @@ def profile_exists(spark: SparkSession, path: str, user_id: str) -> bool:
     return any(not parts[name].filter(F.col("user_id") == user_id).isEmpty() for name in ("windows", "alerts"))
 
 
-def store_version(spark: SparkSession, path: str) -> int:
-    return committed(spark, path).agg(F.max("version")).first()[0] or 0
-
-
-def previous_high_risk(spark: SparkSession, root: str, cfg: Config = Config()) -> DataFrame:
-    return high_risk_targets(spark.read.parquet(f"{root}/risk_scores"), cfg)
+def previous_high_risk(spark: SparkSession, root: str, cfg: Config = Config(), run: str | None = None) -> DataFrame:
+    """Targets that the last round scored high: those of ``run``, or of the run filed last (by write day, then name)."""
+    risk = spark.read.parquet(f"{root}/risk_scores")
+    if run is None:
+        last = risk.agg(F.max(F.struct("ingest_date", F.col("run").cast("string").alias("run"))).alias("last")).first()["last"]
+        run = last["run"] if last is not None else ""
+    return high_risk_targets(risk.filter(F.col("run").cast("string") == run), cfg)

@@ -75,7 +75,7 @@ def raw_documents(events: DataFrame) -> DataFrame:
 
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised logs of the test table."""
-    return normalize_logs(raw_documents(read_events(spark, sf_dir)))
+    return normalize_logs(raw_documents(read_events(spark, sf_dir)), numbered=True)
 
 
 def events_between(events: DataFrame, start: int, end: int) -> DataFrame:

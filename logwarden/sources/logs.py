@@ -53,6 +53,6 @@ def of_user(logs: DataFrame, user_id: str, as_of: int | None = None, minutes: in
 
 
 def read_logs(spark: SparkSession, path: str, start: int, end: int, fmt: str = "parquet",
-              provenance: str = "provenance") -> DataFrame:
-    """Normalised logs of a closed range."""
-    return in_range(normalize_logs(read_raw(spark, path, fmt, provenance, start, end), provenance), start, end)
+              provenance: str = "provenance", numbered: bool = False) -> DataFrame:
+    """Normalised logs of a closed range. ``numbered`` as in ``normalize_logs``."""
+    return in_range(normalize_logs(read_raw(spark, path, fmt, provenance, start, end), provenance, numbered), start, end)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -53,40 +55,104 @@ def stage(df: DataFrame, work: str, name: str) -> DataFrame:
 # Every commit adds files of its own under <part>/commit=<id>/day=<event day> and never touches others. A commit counts
 # once its row is in the commit log, so a failed write leaves nothing behind that is read.
 
+# A store has one writer at a time. Each version is a folder that only one writer can make; one whose reads are older than
+# the newest version is refused, and its batch does not count.
+
+class StoreConflict(RuntimeError):
+    """Another writer has committed since this one read the store."""
+
+
+def _has(error: AnalysisException, condition: str) -> bool:
+    return (error.getCondition() or "").startswith(condition)
+
+
 def committed(spark: SparkSession, path: str) -> DataFrame:
     """The commit log, empty for a new store."""
     try:
         return spark.read.schema(COMMITS).parquet(f"{path}/commits")
-    except AnalysisException:
+    except AnalysisException as error:
+        if not _has(error, "PATH_NOT_FOUND"):
+            raise
         return spark.createDataFrame([], COMMITS)
 
 
-def read_part(spark: SparkSession, path: str, part: str, schema: T.StructType) -> DataFrame:
-    """The rows of a part that count, with their event ``day`` and the ``version`` of their commit.
+def store_version(spark: SparkSession, path: str) -> int:
+    return committed(spark, path).agg(F.max("version")).first()[0] or 0
+
 
-    After a compaction its own rows stand for the days it covers in place of those of earlier commits.
+class Snapshot:
+    """What of a store counts at one moment. The commit log, a short row for each commit, is read once.
+
+    ``pending`` names a commit whose rows are written but not yet committed; they are read as of the next version.
     """
-    log = committed(spark, path)
-    stored = T.StructType([*(f for f in schema if f.name != "day"), T.StructField("commit", T.StringType()), T.StructField("day", T.DateType())])
+
+    def __init__(self, spark: SparkSession, path: str, pending: str | None = None, log: list | None = None):
+        self.spark, self.path = spark, path
+        self.log = committed(spark, path).select("commit", "run", "version", "through").collect() if log is None else log
+        self.version = max((r[2] for r in self.log), default=0)
+        self.runs = {r[1] for r in self.log}
+        known = [(r[0], r[2]) for r in self.log] + ([(pending, self.version + 1)] if pending else [])
+        self.commits = spark.createDataFrame(known, "commit string, version bigint")
+        merged = [(r[2], r[3]) for r in self.log if r[3] is not None]
+        self.compaction = max(merged) if merged else None
+
+    def with_pending(self, commit: str) -> Snapshot:
+        return Snapshot(self.spark, self.path, commit, self.log)
+
+    def part(self, name: str, schema: T.StructType) -> DataFrame:
+        """The rows of a part that count, with their event ``day`` and the ``version`` of their commit.
+
+        After a compaction its own rows stand for the days it covers in place of those of earlier commits.
+        """
+        stored = T.StructType([*(f for f in schema if f.name != "day"), T.StructField("commit", T.StringType()), T.StructField("day", T.DateType())])
+        try:
+            rows = self.spark.read.schema(stored).parquet(f"{self.path}/{name}")
+        except AnalysisException as error:
+            if not _has(error, "PATH_NOT_FOUND"):
+                raise
+            return self.spark.createDataFrame([], stored).withColumn("version", F.lit(0).cast("bigint")).drop("commit")
+        rows = rows.join(self.commits, "commit")
+        if self.compaction is not None:
+            version, through = self.compaction
+            rows = rows.filter((F.col("version") >= version) | (F.col("day") > F.lit(through)))
+        return rows.drop("commit")
+
+
+def read_part(spark: SparkSession, path: str, part: str, schema: T.StructType) -> DataFrame:
+    return Snapshot(spark, path).part(part, schema)
+
+
+def write_parts(path: str, commit: str, parts: Mapping[str, DataFrame]) -> None:
+    """Writes rows (each with its event ``day``) of a commit that does not count yet. Rows of a day lie together in files of a
+    good size, those of a user or target together within a file. Parts don't depend on each other and are written side by
+    side."""
+    def write(part: str, rows: DataFrame) -> None:
+        keys = [c for c in ("day", "user_id", "target_id", "client_ip") if c in rows.columns]
+        rows.hint("rebalance", "day").sortWithinPartitions(*keys).write.partitionBy("day").parquet(f"{path}/{part}/commit={commit}")
+
+    with ThreadPoolExecutor(4) as pool:
+        for done in [pool.submit(inheritable_thread_target(rows.sparkSession)(write), part, rows) for part, rows in parts.items()]:
+            done.result()
+
+
+def finish_commit(spark: SparkSession, path: str, commit: str, run: str, after: int, through: dt.date | None = None) -> int:
+    """Makes a commit count, if ``after`` is still the newest version. Returns its own."""
+    row = spark.range(1).select(F.lit(commit).alias("commit"), F.lit(run).alias("run"), F.lit(through).cast("date").alias("through"))
+    if store_version(spark, path) != after:
+        raise StoreConflict(f"{path} has a newer version than {after}, which {run!r} has read")
     try:
-        rows = spark.read.schema(stored).parquet(f"{path}/{part}")
-    except AnalysisException:
-        return spark.createDataFrame([], stored).withColumn("version", F.lit(0).cast("bigint")).drop("commit")
-    rows = rows.join(log.select("commit", "version"), "commit")
-    last = log.filter("through IS NOT NULL").orderBy(F.desc("version")).select("version", "through").first()
-    if last is not None:
-        rows = rows.filter((F.col("version") >= last["version"]) | (F.col("day") > F.lit(last["through"])))
-    return rows.drop("commit")
-
-
-def write_commit(spark: SparkSession, path: str, parts: Mapping[str, DataFrame], run: str, through: dt.date | None = None) -> int:
-    """Adds rows (each with its event ``day``) to parts of the store. Rows of a user lie together within a file."""
+        row.write.mode("errorifexists").parquet(f"{path}/commits/version={after + 1}")
+    except AnalysisException as error:
+        if not _has(error, "PATH_ALREADY_EXISTS"):
+            raise
+        raise StoreConflict(f"{path} has been given version {after + 1} by another writer while {run!r} was written") from error
+    return after + 1
+
+
+def write_commit(spark: SparkSession, path: str, parts: Mapping[str, DataFrame], run: str, through: dt.date | None = None,
+                 after: int | None = None) -> int:
+    """Adds rows to parts of the store as one commit. ``after`` is the version that the rows were made from."""
+    after = store_version(spark, path) if after is None else after
     commit = uuid.uuid4().hex
-    for part, rows in parts.items():
-        keys = [c for c in ("day", "user_id", "target_id") if c in rows.columns]
-        rows.sortWithinPartitions(*keys).write.partitionBy("day").parquet(f"{path}/{part}/commit={commit}")
-    version = (committed(spark, path).agg(F.max("version")).first()[0] or 0) + 1
-    row = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(commit).alias("commit"),
-                                F.lit(run).alias("run"), F.lit(through).cast("date").alias("through"))
-    row.write.mode("append").parquet(f"{path}/commits")
-    return version
+    write_parts(path, commit, parts)
+    return finish_commit(spark, path, commit, run, after, through)

@@ -12,7 +12,7 @@ from logwarden.sources.sinks import stage, write_daily
 from logwarden.streaming.windows import LATENESS, dedup, stream_ip_windows, stream_user_windows
 
 
-def _start(df: DataFrame, each, checkpoint: str, once: bool, every: str) -> StreamingQuery:
+def start(df: DataFrame, each, checkpoint: str, once: bool, every: str) -> StreamingQuery:
     writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
@@ -35,8 +35,8 @@ def score_streams(logs: DataFrame, baseline: DataFrame, root: str, checkpoint: s
     def addresses(batch: DataFrame, number: int) -> None:
         write_daily(score_ips(batch, baseline, cfg), f"{root}/risk_scores", batch_name(batch, number))
 
-    return [_start(stream_user_windows(logs, cfg, lateness), users, f"{checkpoint}/user", once, every),
-            *(_start(stream_ip_windows(logs, label, lateness), addresses, f"{checkpoint}/ip-{label}", once, every)
+    return [start(stream_user_windows(logs, cfg, lateness), users, f"{checkpoint}/user", once, every),
+            *(start(stream_ip_windows(logs, label, lateness), addresses, f"{checkpoint}/ip-{label}", once, every)
               for label, _ in IP_WINDOWS)]
 
 
@@ -48,4 +48,4 @@ def profile_stream(logs: DataFrame, path: str, checkpoint: str, work: str, once:
         spark = batch.sparkSession
         update_profiles(spark, stage(batch, work, "profile-batch"), path, batch_name(batch, number), work)
 
-    return _start(dedup(logs, lateness), each, checkpoint, once, every)
+    return start(dedup(logs, lateness), each, checkpoint, once, every)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logwarden.config import IP_WINDOWS, USER_WINDOW, Config
 from logwarden.functions import scalar as X
 from logwarden.operators.ip_windows import META
-from logwarden.operators.normalize import normalize_logs
+from logwarden.operators.normalize import IDENTITY, normalize_logs
 from logwarden.operators.rules import rule_alerts
 from logwarden.operators.user_windows import finish, token_grain, window_measures
 from logwarden.schema import raw_schema
@@ -22,17 +22,17 @@ LATENESS = "1 minute"
 
 
 def stream_logs(spark: SparkSession, path: str, fmt: str = "json", provenance: str = "provenance",
-                files_per_trigger: int = 1000) -> DataFrame:
+                files_per_trigger: int = 1000, numbered: bool = False) -> DataFrame:
     """Normalised logs from a folder that receives raw documents."""
     raw = (spark.readStream.format(fmt).schema(raw_schema(provenance))
            .option("maxFilesPerTrigger", files_per_trigger).load(path))
-    return normalize_logs(raw, provenance)
+    return normalize_logs(raw, provenance, numbered)
 
 
 def dedup(logs: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Drops logs delivered again, as overlapping polls do; state lives as long as the watermark allows."""
     return (logs.filter(F.col("receive_ts").isNotNull()).withWatermark("receive_ts", lateness)
-            .dropDuplicatesWithinWatermark(["log_id"]))
+            .dropDuplicatesWithinWatermark(IDENTITY))
 
 
 def _window(seconds: int):
