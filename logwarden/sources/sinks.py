@@ -40,15 +40,15 @@ def read_run(spark: SparkSession, path: str, run: str, schema: T.StructType) ->
     return spark.read.schema(T.StructType([*schema, T.StructField(DAY, T.DateType())])).parquet(run_folder(path, run)).drop(DAY)
 
 
-def stage(df: DataFrame, work: str, name: str) -> DataFrame:
-    """Writes a table that several later steps read to the folder ``work`` and reads it back.
+def stage(df: DataFrame, work: str, name: str, reader: SparkSession | None = None) -> DataFrame:
+    """Writes a table that several later steps read to the folder ``work`` and reads it back, with ``reader`` if given.
 
     ``work`` is shared storage, so the table outlives executors, and readers get column pruning and filters. Staged
     tables are not deleted here.
     """
     target = f"{work.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
-    return df.sparkSession.read.schema(df.schema).parquet(target)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(target)
 
 
 # -- profile store --------------------------------------------------------------------------------------------

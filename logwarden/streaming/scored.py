@@ -124,7 +124,8 @@ def file_batch(spark: SparkSession, logs: DataFrame, name: str, path: str, work:
     if name in snapshot.runs:
         return {"version": None, "logs": 0, "late": 0}
     before = store_clock(spark, path, cfg, snapshot)
-    timed = stage(logs.filter(F.col("receive_epoch").isNotNull()), work, "stream-batch")
+    # Spark turns adaptive execution off in the session of a micro-batch; what is read with ``spark`` has it.
+    timed = stage(logs.filter(F.col("receive_epoch").isNotNull()), work, "stream-batch", spark)
     days = [r[0] for r in timed.select(X.day_of(F.col("receive_epoch"))).distinct().collect()]
     seen = read_store(spark, path, ["seen"], cfg, snapshot)["seen"].filter(F.col("day").isin(days) if days else F.lit(False))
     new = stage(timed.dropDuplicates(IDENTITY).join(seen.select(*IDENTITY), IDENTITY, "left_anti"), work, "stream-new")
@@ -160,8 +161,10 @@ def risk_stream(logs: DataFrame, path: str, checkpoint: str, work: str, baseline
                 once: bool = True, every: str = "5 minutes", lateness: int = 60) -> StreamingQuery:
     """Scores and profiles the logs of a stream (``stream_logs``) by ``file_batch``. A micro-batch that Spark runs again after a
     failure replaces what did not count, or finds its commit and does nothing."""
+    spark = logs.sparkSession
+
     def each(batch: DataFrame, number: int) -> None:
-        file_batch(batch.sparkSession, batch, batch_name(batch, number), path, work, baseline, pii, cfg, lateness)
+        file_batch(spark, batch, batch_name(batch, number), path, work, baseline, pii, cfg, lateness)
 
     return start(logs, each, checkpoint, once, every)
 
