@@ -167,7 +167,7 @@ FORMS = {"notice": (2, 0.95), "body": (3, 0.9), "order": (4, 0.7)}
 #: One of these is part of every signature, so a text without them is passed over at once.
 GATES = ("licen", "spdx", "creativecommons", "creative commons", "public domain", " cc by ", " cc0 ", "gpl", "wtfpl", "opensource org",
          "mozilla org", "eclipse org", "boost org", "sil org", "cecill", "latex project", "vimhelp", "curl se", "opendatacommons",
-         "xfree86 org", " mpl", " epl", " cddl", *(k for _, form, k, _ in WRITTEN if form != "order" or k.startswith("bsd")))
+         "xfree86 org", " mpl", " epl", " cddl", " apache ", " mit no attribution", *(k for _, form, k, _ in WRITTEN if form != "order" or k.startswith("bsd")))
 
 
 def commons() -> list[tuple[str, str, str, str]]:

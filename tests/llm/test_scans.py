@@ -190,3 +190,48 @@ def test_licences_are_found_without_their_names(spark, documents):
     for i, (labels, text) in enumerate(WRITTEN_TEXTS):
         want = set(filter(None, labels.split(",")))
         assert want <= got[i] and (want or not got[i]), (labels, text, got[i])
+
+
+def shortest(parsed):
+    """A match of each choice of alternatives of a parsed pattern, with as few repeats as may be."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "NOT_LITERAL":
+            more = ["q"]
+        elif name == "IN":
+            more = [chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else "q"]
+        elif name == "BRANCH":
+            more = [m for choice in arg[1] for m in shortest(choice)]
+        elif name == "SUBPATTERN":
+            more = shortest(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [m * arg[0] for m in shortest(arg[2])] if arg[0] else [""]
+        else:
+            more = [""]  # what looks around takes no room
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+def test_every_match_of_every_rule_opens_the_gate_and_holds_its_keyword():
+    import re
+    from logwarden.llm.licenses import GATES, signatures
+    seen = 0
+    for rule in signatures():
+        for match in shortest(re._parser.parse(rule.pattern)):
+            text = f"{match} "
+            assert re.search(rule.pattern, text), (rule.name, match)
+            assert rule.keyword in text or rule.keyword.startswith("|"), (rule.name, match)
+            # an operand stands after an identifier of an expression, which is a gate itself
+            assert any(g in text for g in GATES), (rule.name, match)
+            seen += 1
+    assert seen > 484
+
+
+def test_names_without_the_word_licence_are_found(documents):
+    from logwarden.llm.licenses import scan_licences
+    docs = documents([(1, "Released under the Apache 2.0"), (2, "published under the terms of the Apache v2"), (3, "it is MIT No Attribution, all of it"), (4, "an apache in 2.0 parts")])
+    got = {r.doc_id: r.labels for r in scan_licences(docs).collect()}
+    assert got == {1: "apache-2.0", 2: "apache-2.0", 3: "mit-0", 4: ""}
