@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import staged, tidied
+from logwarden.llm.common import sliced, staged, tidied
 
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 BREAK = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
@@ -28,11 +28,11 @@ EDGE = b"A"
 HEAD = 1 << 16
 #: A tile has SIDE x SIDE cells. A task holds at most DENSE tiles as arrays; one becomes such an array when a chunk has a
 #: pair for every 64 of its cells.
-SIDE, DENSE = 1 << 10, 8
+SIDE, DENSE = 1 << 10, 4
 #: Bits that tell tasks which words and phrases may reach the least count.
 BITS = 1 << 26
-#: Bytes of text read at once; entries that a task holds before it merges them, words it remembers, languages it has open.
-CHUNK, HELD, REMEMBERED, OPEN = 2_000_000, 1_000_000, 100_000, 64
+#: Bytes of text cut into words and taken from a batch at once; entries that a task holds before it merges them, words it remembers, languages it has open.
+CHUNK, SLICE, HELD, REMEMBERED, OPEN = 1_000_000, 4_000_000, 500_000, 60_000, 64
 ADDRESS = 1 << 62
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,12 +56,14 @@ def word_chunks(text: bytes) -> Iterator[tuple[np.ndarray, list[bytes]]]:
 
 
 def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
-    """The texts of a batch, those of a language as one with new lines between."""
-    texts = defaultdict(list)
-    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
-        texts[lang].append(text.as_py() or b"")
-    for lang, own in texts.items():
-        yield lang, b"\n".join(own)
+    """The texts of a batch, in slices; those of a slice and language as one with new lines between."""
+    for part in sliced(batch, pc.binary_length(batch.column("text")), SLICE):
+        texts = defaultdict(list)
+        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary())):
+            texts[lang].append(text.as_py() or b"")
+        while texts:
+            lang, own = texts.popitem()
+            yield lang, b"\n".join(own)
 
 
 def count_word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
