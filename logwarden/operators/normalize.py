@@ -35,15 +35,15 @@ IDENTITY = ["log_id", "receive_epoch"]
 
 
 def normalize_logs(raw: DataFrame, provenance: str = "provenance", numbered: bool = False) -> DataFrame:
-    """``numbered`` says that every document has its ``log_id``. Otherwise a query that uses ids reads whole documents, to derive
-    those that are missing; ingest jobs do that once and store the result."""
+    """``numbered`` says that every document has its ``log_id``. Otherwise whole documents are read, to derive ids that are
+    missing; ingest jobs do that once and store the result."""
     text, jwt = F.col, lambda name: F.col(f"jwt.{name}")
     empty = F.array().cast("array<string>")
     # A one-element inline: Spark copies a projected expression into every filter and constraint pushed below it, and
-    # would parse the timestamp many times per row. It never copies through a generator. The id stays outside, since a
-    # generator's columns are computed for every query: only one that uses the id reads what it is made of.
-    once = F.struct(X.iso_to_epoch(text("@timestamp")).alias("receive_epoch"))
-    stamped = raw.withColumn("log_id", identity(raw, numbered)).select("*", F.inline(F.array(once)))
+    # would parse the timestamp and hash the document many times per row. It never copies through a generator, whose
+    # columns are computed for every query; so an id that is there stays outside.
+    once = F.struct(*([] if numbered else [identity(raw).alias("log_id")]), X.iso_to_epoch(text("@timestamp")).alias("receive_epoch"))
+    stamped = raw.select(*(f"`{c}`" for c in raw.columns if numbered or c != "log_id"), F.inline(F.array(once)))
     now = F.coalesce("receive_epoch", F.lit(0).cast("bigint"))
     derived = token_fields(jwt("iat"), jwt("exp"), now)
     return stamped.select(

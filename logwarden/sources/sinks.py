@@ -5,10 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote
 
-from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -123,16 +121,11 @@ def read_part(spark: SparkSession, path: str, part: str, schema: T.StructType) -
 
 
 def write_parts(path: str, commit: str, parts: Mapping[str, DataFrame]) -> None:
-    """Writes rows (each with its event ``day``) of a commit that does not count yet. Rows of a day lie together in files of a
-    good size, those of a user or target together within a file. Parts don't depend on each other and are written side by
-    side."""
-    def write(part: str, rows: DataFrame) -> None:
+    """Writes rows (each with its event ``day``) of a commit that does not count yet. Rows of a user or target lie together
+    within a file."""
+    for part, rows in parts.items():
         keys = [c for c in ("day", "user_id", "target_id", "client_ip") if c in rows.columns]
-        rows.hint("rebalance", "day").sortWithinPartitions(*keys).write.partitionBy("day").parquet(f"{path}/{part}/commit={commit}")
-
-    with ThreadPoolExecutor(4) as pool:
-        for done in [pool.submit(inheritable_thread_target(rows.sparkSession)(write), part, rows) for part, rows in parts.items()]:
-            done.result()
+        rows.sortWithinPartitions(*keys).write.partitionBy("day").parquet(f"{path}/{part}/commit={commit}")
 
 
 def finish_commit(spark: SparkSession, path: str, commit: str, run: str, after: int, through: dt.date | None = None) -> int:
