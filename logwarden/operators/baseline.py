@@ -12,8 +12,8 @@ QUANTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 BUCKET_BITS = 12
 
 
-def metric_values(users: DataFrame, ips: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """(metric, value) over eligible windows; ``excluded`` lists target_id that must not shape the baseline."""
+def metric_values(users: DataFrame, ips: DataFrame, excluded: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, value) over eligible windows, with the columns ``keep``; ``excluded`` lists target_id that must not shape the baseline."""
     def eligible(df: DataFrame) -> DataFrame:
         kept = df.filter(~F.col("is_baseline_eligible").eqNullSafe(False))  # pushed to the scan
         return kept if excluded is None else kept.join(excluded.select("target_id").distinct(), "target_id",
@@ -23,10 +23,10 @@ def metric_values(users: DataFrame, ips: DataFrame, excluded: DataFrame | None =
         return F.struct(metric.alias("metric"), F.col(value).cast("bigint").alias("value"))
 
     day = F.when(F.col("window_size") == "24h", F.lit("cumulative_exfil"))
-    user_part = eligible(users).select(F.inline(F.array(
+    user_part = eligible(users).select(*keep, F.inline(F.array(
         entry(F.lit("request_burst"), "request_count"),
         entry(F.lit("response_size_burst"), "response_bytes_total"))))
-    ip_part = eligible(ips).select(F.inline(F.array(
+    ip_part = eligible(ips).select(*keep, F.inline(F.array(
         entry(F.concat(F.lit("ip_user_diversity_"), "window_size"), "unique_subs_count"),
         entry(day, "response_bytes_total"))))
     return user_part.unionByName(ip_part).filter("metric IS NOT NULL AND value IS NOT NULL")
@@ -38,14 +38,13 @@ def _bucket(value: Column) -> Column:
     return value - F.pmod(value, F.call_function("shiftleft", F.lit(1).cast("bigint"), bits))
 
 
-def percentiles(values: DataFrame) -> DataFrame:
+def percentiles(counts: DataFrame) -> DataFrame:
     """sorted[min(n - 1, floor(q * n))] per metric, without sorting a metric in one task.
 
-    A histogram of exact values is counted in parallel. Its buckets (a bounded number whatever the data) give
-    the running rank; only the buckets that hold a wanted rank are then opened value by value.
+    ``counts`` is a histogram of exact values, (metric, value, c), counted in parallel. Its buckets (a bounded number whatever
+    the data) give the running rank; only the buckets that hold a wanted rank are then opened value by value.
     """
-    histogram = (values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("c"))
-                 .withColumn("bucket", _bucket(F.col("value")))
+    histogram = (counts.withColumn("bucket", _bucket(F.col("value")))
                  .filter("metric IS NOT NULL AND bucket IS NOT NULL"))  # same plan in both uses: shuffled once
     whole, upto = Window.partitionBy("metric"), Window.partitionBy("metric").orderBy("bucket")
     coarse = (histogram.groupBy("metric", "bucket").agg(F.sum("c").alias("c"))
@@ -69,17 +68,34 @@ def percentiles(values: DataFrame) -> DataFrame:
 def distributions(values: DataFrame) -> DataFrame:
     moments = values.groupBy("metric").agg(
         F.count(F.lit(1)).alias("sample_count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return (moments.join(percentiles(values), "metric")
-            .withColumn("mean", round_half_even(F.col("mean"), 3))
-            .withColumn("std", round_half_even(F.col("std"), 3)))
+    return rounded(moments.join(percentiles(values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("c"))), "metric"))
+
+
+def rounded(dist: DataFrame) -> DataFrame:
+    return dist.withColumns({c: round_half_even(F.col(c), 3) for c in ("mean", "std")})
+
+
+def histogram_distributions(counts: DataFrame) -> DataFrame:
+    """The distributions that (metric, value, c) rows stand for. Sums are exact decimals; the deviation is taken around the mean
+    in a second step over the counts, so large values lose nothing to cancellation."""
+    total = F.sum(F.col("value").cast("decimal(19,0)") * F.col("c").cast("decimal(19,0)")).cast("double")
+    means = counts.groupBy("metric").agg(F.sum("c").alias("sample_count"), total.alias("total"))
+    means = means.select("metric", "sample_count", (F.col("total") / F.col("sample_count")).alias("mean"))
+    off = F.col("value") - F.col("mean")
+    spread = counts.join(F.broadcast(means), "metric").groupBy("metric").agg(F.sum(off * off * F.col("c")).alias("spread"))  # 6 metrics
+    moments = means.join(spread, "metric").withColumn("std", F.sqrt(F.col("spread") / F.col("sample_count"))).drop("spread")
+    return rounded(moments.join(percentiles(counts), "metric"))
 
 
 def compute_baseline(users: DataFrame, ips: DataFrame, cfg: Config = Config(),
                      excluded: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
     """Six rows, one per metric, also for metrics without samples."""
-    names = users.sparkSession.range(1).select(
+    return all_metrics(distributions(metric_values(users, ips, excluded)), cfg, as_of)
+
+
+def all_metrics(dist: DataFrame, cfg: Config = Config(), as_of: str | None = None) -> DataFrame:
+    names = dist.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(m) for m in BASELINE_METRICS])).alias("metric"))
-    dist = distributions(metric_values(users, ips, excluded))
     count = F.coalesce("sample_count", F.lit(0).cast("bigint"))
     return names.join(dist, "metric", "left").select(
         "metric", count.alias("sample_count"),

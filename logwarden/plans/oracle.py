@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from logwarden.config import SUSPICIOUS_MARKERS
 from logwarden.operators.review import INSTRUCTIONS
-from logwarden.plans.queries import DAY_END, RANGE, SOME_USER, SPLIT, TRUST_AS_OF
+from logwarden.plans.queries import BASE_DAYS, DAY_END, RANGE, SOME_USER, SPLIT, TRUST_AS_OF
 
 
 def _r(x: str, digits: int) -> str:
@@ -192,8 +194,10 @@ ipw AS (
  FROM il GROUP BY client_ip, win, window_size)"""
 
 
-def _base(name: str = "base", excluded: str | None = None) -> str:
+def _base(name: str = "base", excluded: str | None = None, days: tuple[dt.date, dt.date] | None = None) -> str:
     keep = "is_baseline_eligible" + (f" AND target_id NOT IN (SELECT target_id FROM {excluded})" if excluded else "")
+    if days:
+        keep += f" AND CAST(make_timestamp(win * 1000000) AS DATE) BETWEEN DATE '{days[0]}' AND DATE '{days[1]}'"
     return f"""
 {name}_vals AS (
  SELECT 'request_burst' AS metric, request_count AS v FROM uw WHERE {keep} UNION ALL
@@ -498,6 +502,10 @@ def oracle_statements() -> dict[str, str]:
         "baseline_excluding_high_risk": _with(
             *BARE_RISK, "hot AS (SELECT DISTINCT target_id FROM risk WHERE total_score >= 70)",
             _base("base2", "hot")) + f"SELECT {BASE_COLUMNS} FROM base2",
+        "baseline_of_days": _with(LOGS, VIOL, USERW, IPW, _base(days=BASE_DAYS)) + f"SELECT {BASE_COLUMNS} FROM base",
+        "baseline_of_days_excluding": _with(
+            *BARE_RISK, "hot AS (SELECT DISTINCT target_id FROM risk WHERE total_score >= 70)",
+            _base("base2", "hot", BASE_DAYS)) + f"SELECT {BASE_COLUMNS} FROM base2",
         "factor_scores": _with(*ALL_RISK) + """SELECT target_type, target_id, window_start, window_size, token_violation,
             request_burst, token_replay, response_size_burst, ip_user_diversity, response_sensitivity, cumulative_exfil
             FROM risk""",

@@ -24,6 +24,7 @@ from logwarden.operators import user_windows as U
 from logwarden.operators.normalize import IDENTITY
 from logwarden.operators.normalize import normalize_logs as normalized
 from logwarden.operators.normalize import token_fields
+from logwarden.plans import baseline_days as BD
 from logwarden.plans import scoring as SC
 from logwarden.plans.rule_batch import review_batch, rule_documents, run_rules, save_verdicts
 from logwarden.plans.scoring import score_logs, score_with_feedback, staged_windows
@@ -42,6 +43,7 @@ DAY_END = 1706659200  # 2024-01-31
 TRUST_AS_OF = 1705363200  # 2024-01-16
 SPLIT = 1705276937  # 2024-01-15, inside a window
 SOME_USER = "8"
+BASE_DAYS = (dt.date(2024, 1, 9), dt.date(2024, 1, 22))  # two weeks
 
 REGISTRY: dict[str, Query] = {}
 
@@ -261,6 +263,31 @@ def baseline_excluding_high_risk(spark, d):
     return B.compute_baseline(users, ips, CFG, hot).drop("computed_at")
 
 
+def _filed_baseline(spark, d) -> tuple[str, DataFrame, DataFrame]:
+    """A store of days in three commits, the second of which files days of the first again with their late logs, and the windows."""
+    users, ips = staged_windows(logs_of(spark, d), work_of(spark), CFG)
+    path, middle = f"{work_of(spark)}/baseline-{uuid.uuid4().hex}", dt.date(2024, 1, 15)
+    BD.file_days(spark, users.filter(F.col("request_count") > 1), ips, path, "incomplete", dt.date(2024, 1, 1), middle)
+    BD.file_days(spark, users, ips, path, "with late logs", dt.date(2024, 1, 1), middle)
+    BD.file_days(spark, users, ips, path, "later", middle + dt.timedelta(days=1), dt.date(2024, 1, 31))
+    return path, users, ips
+
+
+@query
+def baseline_of_days(spark, d):
+    """Two weeks' baseline from the store of days, reading no window."""
+    return BD.baseline_of_days(spark, _filed_baseline(spark, d)[0], *BASE_DAYS, CFG).drop("computed_at")
+
+
+@query
+def baseline_of_days_excluding(spark, d):
+    """The same without the targets that later scored high: their share is taken out of the days filed."""
+    path, users, ips = _filed_baseline(spark, d)
+    risk = S.risk_scores(users, ips, B.compute_baseline(users, ips, CFG), CFG)
+    hot = stage(B.high_risk_targets(risk, CFG), work_of(spark), "high-risk")
+    return BD.baseline_of_days(spark, path, *BASE_DAYS, CFG, hot).drop("computed_at")
+
+
 @query
 def factor_scores(spark, d):
     return _risk(spark, d).select("target_type", "target_id", "window_start", "window_size", "factor_breakdown.*")

@@ -124,7 +124,7 @@ def write_parts(path: str, commit: str, parts: Mapping[str, DataFrame]) -> None:
     """Writes rows (each with its event ``day``) of a commit that does not count yet. Rows of a user or target lie together
     within a file."""
     for part, rows in parts.items():
-        keys = [c for c in ("day", "user_id", "target_id", "client_ip") if c in rows.columns]
+        keys = [c for c in ("day", "slot", "user_id", "target_id", "client_ip") if c in rows.columns]
         rows.sortWithinPartitions(*keys).write.partitionBy("day").parquet(f"{path}/{part}/commit={commit}")
 
 
