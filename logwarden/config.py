@@ -62,6 +62,10 @@ class Config:
     alert_stale_auth: int = 86400 * 30
     cluster_min_ips: int = 5
     cluster_samples: int = 10
+    network_min_errors: int = 20
+    network_error_percent: int = 10
+    network_min_sensitive: int = 20
+    session_min_networks: int = 3
 
     # baseline and scoring
     min_samples: int = 100

@@ -27,16 +27,6 @@ def subnet_clusters(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
     return counted.join(sample, "subnet")
 
 
-def cluster_alerts(clusters: DataFrame) -> DataFrame:
-    null = F.lit(None).cast("string")
-    alert = F.struct(
-        F.lit("C001").alias("rule"), F.lit("high").alias("severity"),
-        F.format_string("%d addresses active in one /24 network (%s)", "ip_count", "subnet").alias("reason"),
-        null.alias("rfc"), F.lit("T1071").alias("mitre"), null.alias("cve"),
-        F.to_json(F.struct("subnet", "ip_count", "sample_ips")).alias("evidence"))
-    return clusters.select(F.col("last_epoch").alias("receive_epoch"), alert.alias("alert"))
-
-
 # Log fields an alert carries.
 LOG_FIELDS = {"user_id": "string", "session_id": "string", "jwt_id": "string", "client_ip": "string",
               "method": "string", "uri": "string", "status": "bigint", "timestamp": "string"}
@@ -59,10 +49,10 @@ def alert_documents(alerts: DataFrame, alert_type: str, layer: int, as_of: int |
         F.col("alert.evidence").alias("evidence"))
 
 
-def run_summary(logs: DataFrame, clusters: DataFrame, cfg: Config = Config(), as_of: int | None = None) -> DataFrame:
-    """One row: logs, matched logs, global alerts, logs left for review."""
+def run_summary(logs: DataFrame, found: DataFrame, cfg: Config = Config(), as_of: int | None = None) -> DataFrame:
+    """One row: logs, matched logs, global alerts (the rows of ``found``), logs left for review."""
     hit = matched(cfg, as_of)
-    alerts = clusters.agg(F.count(F.lit(1)).alias("n")).scalar()
+    alerts = found.agg(F.count(F.lit(1)).alias("n")).scalar()
     return logs.agg(
         F.count(F.lit(1)).alias("total_logs"), F.count_if(hit).alias("rule_matched"),
         F.count_if(~hit).alias("passed_to_review"),

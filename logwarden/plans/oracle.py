@@ -144,6 +144,35 @@ clusters AS (
  FROM (SELECT *, regexp_replace(client_ip, '\\.[^.]*$', '.0/24') AS subnet FROM logs) GROUP BY subnet
  HAVING count(DISTINCT client_ip) >= 5)"""
 
+def _global(win: str, closed: str = "true") -> str:
+    """Alerts of the four global rules, networks by ``win``."""
+    return f"""
+gl AS (SELECT *, regexp_replace(client_ip, '\\.[^.]*$', '.0/24') AS subnet, receive_epoch - receive_epoch % 86400 AS today FROM logs),
+nets AS (
+ SELECT subnet, {win} AS win, count(DISTINCT client_ip) AS n, count(*) AS reqs, count(*) FILTER (status >= 400) AS errs,
+  count(*) FILTER (regexp_matches(uri, '/(addresses|orders)/[0-9]+')) AS sens, max(receive_epoch) AS receive_epoch,
+  list_sort(list(DISTINCT client_ip))[1:10] AS sample FROM gl GROUP BY ALL HAVING count(DISTINCT client_ip) >= 5),
+sess AS (
+ SELECT session_id, today AS win, count(DISTINCT subnet) AS n, max(receive_epoch) AS receive_epoch,
+  list_sort(list(DISTINCT subnet))[1:10] AS sample FROM gl WHERE session_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT subnet) >= 3),
+globals AS (
+ SELECT receive_epoch, win, 'C001' AS rule, 'high' AS severity, 'T1071' AS mitre,
+  printf('%d addresses active in one /24 network (%s)', n, subnet) AS reason,
+  printf('{{"subnet":"%s","ip_count":%d', subnet, n) AS head, 'sample_ips' AS sampled, sample, '' AS tail FROM nets
+ UNION ALL SELECT receive_epoch, win, 'C002', 'medium', 'T1595',
+  printf('%d of %d requests failed over %d addresses of one /24 network (%s)', errs, reqs, n, subnet),
+  printf('{{"subnet":"%s","ip_count":%d,"error_count":%d,"request_count":%d', subnet, n, errs, reqs), NULL, NULL, '' FROM nets
+  WHERE errs >= 20 AND errs * 100 >= reqs * 10
+ UNION ALL SELECT receive_epoch, win, 'C003', 'high', 'T1119',
+  printf('%d sensitive records read from %d addresses of one /24 network (%s)', sens, n, subnet),
+  printf('{{"subnet":"%s","ip_count":%d,"sensitive_count":%d', subnet, n, sens), NULL, NULL, '' FROM nets WHERE sens >= 20
+ UNION ALL SELECT receive_epoch, win, 'S001', 'high', 'T1539', printf('session %s used from %d networks in a day', session_id, n),
+  printf('{{"session_id":"%s","networks":%d', session_id, n), 'sample_networks', sample, printf(',"win":%d', win) FROM sess),
+found AS (SELECT * FROM globals WHERE {closed})"""
+
+
+SAMPLED = """head || CASE WHEN sampled IS NULL THEN '' ELSE printf(',"%s":["%s"]', sampled, array_to_string(sample, '","')) END || tail || '}'"""
+
 USERW = f"""
 ul AS (SELECT *, receive_epoch - receive_epoch % 300 AS win FROM logs WHERE user_id IS NOT NULL),
 tok AS (
@@ -456,6 +485,13 @@ def oracle_statements() -> dict[str, str]:
             (SELECT count(*) FROM residual) AS passed_to_review, (SELECT count(*) FROM clusters) AS global_alerts""",
         "subnet_cluster": _with(LOGS, CLUSTERS) + "SELECT subnet, ip_count, last_epoch, "
             "array_to_string(sample_ips, ',') AS sample_ips FROM clusters",
+        "global_rule_alerts": _with(LOGS, _global("CAST(NULL AS BIGINT)")) + f"""SELECT receive_epoch, win, rule, severity, reason,
+            CAST(NULL AS STRING) AS rfc, mitre, CAST(NULL AS STRING) AS cve, {SAMPLED} AS evidence FROM found""",
+        "global_rule_summary": _with(LOGS, HITS, RESIDUAL, _global("CAST(NULL AS BIGINT)")) + """SELECT (SELECT count(*) FROM logs) AS total_logs,
+            (SELECT count(DISTINCT log_id) FROM hits) AS rule_matched,
+            (SELECT count(*) FROM residual) AS passed_to_review, (SELECT count(*) FROM found) AS global_alerts""",
+        "streaming_global_alerts": _with(LOGS, _global("today", f"win + 86400 <= {CLOSED}")) + """SELECT win, receive_epoch, rule, severity, reason,
+            head || tail || '}' AS evidence FROM found""",
         "alert_documents": _with(*REVIEW, REQUESTS, VERDICTS, CLUSTERS, RULE_DOCS) + f"""
             SELECT * FROM docs UNION ALL
             SELECT {_iso('receive_epoch')}, receive_epoch, 'llm', 2, rule, severity, user_id, session_id, jwt_id, client_ip,

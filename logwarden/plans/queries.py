@@ -15,6 +15,7 @@ from logwarden.functions import scalar as X
 from logwarden.functions.labels import factor_label
 from logwarden.operators import alerts as A
 from logwarden.operators import baseline as B
+from logwarden.operators import global_rules as GR
 from logwarden.operators import ip_windows as I
 from logwarden.operators import profiles as P
 from logwarden.operators import review as R
@@ -177,6 +178,18 @@ def subnet_cluster(spark, d):
     return A.subnet_clusters(logs_of(spark, d), CFG).withColumn("sample_ips", joined("sample_ips"))
 
 
+@query
+def global_rule_alerts(spark, d):
+    """Three rules over networks in one grouping and one over sessions, per day."""
+    return GR.global_alerts(logs_of(spark, d), CFG, GR.NETWORK_RULES).select("receive_epoch", "win", "alert.*")
+
+
+@query
+def global_rule_summary(spark, d):
+    logs = logs_of(spark, d)
+    return A.run_summary(logs, GR.global_alerts(logs, CFG, GR.NETWORK_RULES), CFG)
+
+
 @query
 def alert_documents(spark, d):
     """Rule, cluster and reviewer alerts in one table."""
@@ -533,6 +546,13 @@ def streaming_subnet_clusters(spark, d):
     return drained(ST.stream_subnet_clusters(_event_stream(spark, d), CFG, seconds=86400))
 
 
+@query
+def streaming_global_alerts(spark, d):
+    """The same rules by day, as the stream closes days."""
+    found = ST.stream_global_alerts(_event_stream(spark, d), CFG, GR.NETWORK_RULES, seconds=86400)
+    return drained(found.select("win", "receive_epoch", "alert.rule", "alert.severity", "alert.reason", "alert.evidence"))
+
+
 # -- sinks and stores, read back ------------------------------------------------------------------------------
 
 def _place(spark: SparkSession, name: str) -> str:

@@ -6,12 +6,15 @@ user or address is many small rows and never one large set.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logwarden.config import IP_WINDOWS, USER_WINDOW, Config
 from logwarden.functions import scalar as X
+from logwarden.operators.global_rules import GLOBAL_RULES, GlobalRule, stream_groups
 from logwarden.operators.ip_windows import META
 from logwarden.operators.normalize import IDENTITY, normalize_logs
 from logwarden.operators.rules import rule_alerts
@@ -77,6 +80,12 @@ def stream_rule_alerts(logs: DataFrame, cfg: Config = Config(), lateness: str =
     return rule_alerts(dedup(logs, lateness), cfg)
 
 
+def stream_global_alerts(logs: DataFrame, cfg: Config = Config(), rules: Sequence[GlobalRule] = GLOBAL_RULES, seconds: int = 300,
+                         lateness: str = LATENESS) -> DataFrame:
+    """(receive_epoch, win, alert) of the global rules per window, ``seconds`` long where a rule has no length of its own."""
+    return stream_groups(dedup(logs, lateness), "receive_ts", cfg, rules, seconds)
+
+
 def stream_subnet_clusters(logs: DataFrame, cfg: Config = Config(), seconds: int = 300,
                            lateness: str = LATENESS) -> DataFrame:
     """Networks with many active addresses per window."""
