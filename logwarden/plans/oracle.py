@@ -137,6 +137,9 @@ def _hits(now: str = "receive_epoch") -> str:
 HITS = _hits()
 RESIDUAL = "residual AS (SELECT * FROM logs WHERE log_id NOT IN (SELECT log_id FROM hits))"
 
+REJECTED = ("(CASE WHEN log_id % 59 = 0 THEN 'empty' WHEN log_id % 61 = 0 THEN 'not json' WHEN log_id % 71 = 0 THEN 'not an object' "
+            "WHEN log_id % 73 = 0 AND jwt_issued_at IS NOT NULL THEN 'unreadable: jwt.iat' END)")
+
 CLUSTERS = """
 clusters AS (
  SELECT subnet, count(DISTINCT client_ip) AS ip_count, max(receive_epoch) AS last_epoch,
@@ -473,6 +476,13 @@ def oracle_statements() -> dict[str, str]:
              CASE WHEN status // 100 BETWEEN 2 AND 5 THEN concat('s', status // 100, 'xx') END AS status_class,
              {_iso('receive_epoch - receive_epoch % 300')} AS window_start, {_r('bytes_sent / 32', 1)} AS units
             FROM logs""",
+        "ingested_logs": _with(LOGS) + f"""SELECT log_id, "timestamp", receive_epoch, method, uri, status, bytes_sent, client_ip, user_id,
+             jwt_id, jwt_issued_at, jwt_expires_at, auth_time, audiences, baseline_eligible,
+             is_nat_whitelisted FROM logs WHERE {REJECTED} IS NULL""",
+        "rejected_lines": _with(LOGS) + f"""SELECT {REJECTED} AS reason, count(*) AS lines,
+             CASE {REJECTED} WHEN 'empty' THEN ' ' WHEN 'not an object' THEN '[{{"log_id":' || left(CAST(min(CAST(log_id AS STRING)) AS STRING), 1)
+              ELSE '{{"log_id":' || left(min(CAST(log_id AS STRING) || ','), 2) END AS starts
+            FROM logs WHERE {REJECTED} IS NOT NULL GROUP BY {REJECTED}""",
         "token_rules_per_log": _with(LOGS, VIOL) + "SELECT * FROM viol",
         "token_violation_window": _with(LOGS, VIOL, USERW) + "SELECT target_id, window_start, violation_score, "
             "triggered_rules, samples FROM uw",

@@ -29,6 +29,7 @@ from logwarden.plans import baseline_days as BD
 from logwarden.plans import scoring as SC
 from logwarden.plans.rule_batch import review_batch, rule_documents, run_rules, save_verdicts
 from logwarden.plans.scoring import score_logs, score_with_feedback, staged_windows
+from logwarden.sources import documents as D
 from logwarden.sources import events as E
 from logwarden.sources import logs as scans
 from logwarden.sources.sinks import stage, write_daily
@@ -131,6 +132,32 @@ def derived_fields(spark, d):
         X.round_half_even(F.col("bytes_sent") / 32, 1).alias("units"))
 
 
+def _ingested(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The events' documents as lines of JSON, some of them broken or with numbers where text is usual, filed and read back."""
+    id_, line = F.col("log_id"), F.to_json(F.struct("*"))
+    lines = E.raw_documents(E.read_events(spark, d)).select(
+        F.when(id_ % 59 == 0, " ").when(id_ % 61 == 0, F.substring(line, 1, 40)).when(id_ % 71 == 0, F.concat(F.lit("["), line, F.lit("]")))
+        .when(id_ % 73 == 0, F.regexp_replace(line, '"iat":[0-9]+', '"iat":"never"'))
+        .when(id_ % 67 == 0, F.regexp_replace(line, '"status":"([0-9]+)"', '"status":$1.7')).otherwise(line).alias("value"))
+    root = f"{work_of(spark)}/ingested-{uuid.uuid4().hex}"
+    D.ingest_lines(lines, root, "lines", work_of(spark), dt.date(2024, 2, 1))
+    return D.ingested(spark, root, "lines")
+
+
+@query
+def ingested_logs(spark, d):
+    """Logs of the lines that are documents; a status of 200.7 is 200."""
+    return normalized(_ingested(spark, d)[0]).select(
+        "log_id", "timestamp", "receive_epoch", "method", "uri", "status", "bytes_sent", "client_ip", "user_id", "jwt_id", "jwt_issued_at",
+        "jwt_expires_at", "auth_time", joined("audiences").alias("audiences"), "baseline_eligible", "is_nat_whitelisted")
+
+
+@query
+def rejected_lines(spark, d):
+    """Lines that are no documents, by reason."""
+    return _ingested(spark, d)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("lines"), F.min("line").alias("first_line"))        .select("reason", "lines", F.substring("first_line", 1, 12).alias("starts"))
+
+
 # -- rules ----------------------------------------------------------------------------------------------------
 
 @query
