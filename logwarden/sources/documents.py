@@ -11,77 +11,69 @@ from pyspark.sql import types as T
 from logwarden.schema import raw_schema
 from logwarden.sources.sinks import read_run, stage, write_daily
 
-#: Request fields that count or measure; they come as text or as JSON numbers.
-NUMBERS = ("status", "bytes_sent", "response_time")
+#: Request fields that count; they come as text or as JSON numbers.
+COUNTS = (("status",), ("bytes_sent",))
 REJECT = T.StructType([T.StructField("line", T.StringType()), T.StructField("reason", T.StringType())])
 
 
-def _at(path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get("v", path, kind)
-
-
-def _kind(path: str) -> Column:
-    """The JSON type at a path: BIGINT, DECIMAL(..), DOUBLE, STRING, BOOLEAN, VOID (null), ARRAY<..>, OBJECT<..>; null where absent."""
-    return F.schema_of_variant(_at(path))
-
-
-def _is(path: str, *kinds: str) -> Column:
-    """Whether the value at a path has one of the JSON types; false where it is absent."""
-    return F.coalesce(_kind(path).rlike("^(" + "|".join(kinds) + r")\b"), F.lit(False))
-
-
-def _path(*names: str) -> str:
-    return "$" + "".join(f"['{n}']" for n in names)
+def _fields(schema: T.StructType, parents: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
+    """Paths and types of all fields, objects before what is in them."""
+    out = []
+    for f in schema:
+        out.append(((*parents, f.name), f.dataType))
+        if isinstance(f.dataType, T.StructType):
+            out += _fields(f.dataType, (*parents, f.name))
+    return out
 
 
-def _text(path: str) -> Column:
-    """Text, or a number or truth value as text; an object or a list is none."""
-    return F.when(~_is(path, "OBJECT", "ARRAY"), _at(path, "string"))
+def _named(mark: str, path: tuple[str, ...]) -> str:
+    return f"{mark} {' '.join(path)}"
 
 
-def _integer(path: str) -> Column:
-    """A JSON number without its fraction (true is 1), as text; text stays as it is and is judged by ``normalize_logs``."""
-    number = _at(path, "double").try_cast("bigint").cast("string")
-    return F.when(_is(path, "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"), number).otherwise(_text(path))
+def _x(path: tuple[str, ...]) -> Column:
+    """The JSON value at a path."""
+    return F.col(f"`{_named('x', path)}`")
 
 
-def _real(path: str) -> Column:
-    return F.when(_is(path, "BOOLEAN"), _at(path, "double").cast("string")).otherwise(_text(path))
+def _is(path: tuple[str, ...], *kinds: str) -> Column:
+    """Whether the value at a path has one of the JSON types; false where it is absent."""
+    return F.coalesce(F.col(f"`{_named('kind', path)}`").rlike("^(" + "|".join(kinds) + r")\b"), F.lit(False))
 
 
-def _names(path: str) -> Column:
-    """A list of texts; a single text is a list of one, as token claims allow."""
-    return F.when(_is(path, "STRING"), F.array(_at(path, "string"))).otherwise(_at(path, "array<string>"))
+def _cast(path: tuple[str, ...], kind: str) -> Column:
+    return F.try_variant_get(_x(path), "$", kind)
 
 
-def _value(field: T.StructField, *parents: str) -> Column:
-    path = _path(*parents, field.name)
-    if isinstance(field.dataType, T.StructType):
-        inner = F.struct(*[_value(f, *parents, field.name).alias(f.name) for f in field.dataType])
-        return F.when(_is(path, "OBJECT"), inner)
-    if isinstance(field.dataType, T.ArrayType):
-        return _names(path)
-    if not parents and field.name in NUMBERS:
-        return _real(path) if field.name == "response_time" else _integer(path)
-    return _text(path) if field.dataType == T.StringType() else _at(path, field.dataType.simpleString())
+def _value(path: tuple[str, ...], kind: T.DataType) -> Column:
+    """The field's value, null if it can't be read. A JSON number of the request loses its fraction where it counts, and true is
+    1; its text stays as it is and is judged by ``normalize_logs``. A single text is a list of one, as token claims allow."""
+    text = F.when(~_is(path, "OBJECT", "ARRAY"), _cast(path, "string"))
+    if isinstance(kind, T.ArrayType):
+        return F.when(_is(path, "STRING"), F.array(_cast(path, "string"))).otherwise(_cast(path, "array<string>"))
+    if path == ("response_time",):
+        return F.when(_is(path, "BOOLEAN"), _cast(path, "double").cast("string")).otherwise(text)
+    if path in COUNTS:
+        whole = _cast(path, "double").try_cast("bigint").cast("string")
+        return F.when(_is(path, "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"), whole).otherwise(text)
+    return text if kind == T.StringType() else _cast(path, kind.simpleString())
 
 
 #: JSON values that stand for a missing object.
 _NOTHING = ("false", "0", '""', "[]")
 
 
-def _faults(fields: T.StructType, *parents: str) -> list[Column]:
-    """Names of fields that hold something their type cannot be read from."""
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns through a generator, so that Spark computes each once for a row, see normalize_logs."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))) if columns else df
+
+
+def _document(schema: T.StructType, parents: tuple[str, ...] = ()) -> list[Column]:
     out = []
-    for f in fields:
-        path = _path(*parents, f.name)
-        present, name = F.coalesce(_kind(path) != "VOID", F.lit(False)), F.lit(".".join((*parents, f.name)))
-        if isinstance(f.dataType, T.StructType):
-            empty = F.to_json(_at(path)).isin(*_NOTHING)
-            out.append(F.when(present & ~_is(path, "OBJECT") & ~empty, name))
-            out += _faults(f.dataType, *parents, f.name)
-        else:
-            out.append(F.when(present & _value(f, *parents).isNull(), name))
+    for f in schema:
+        path = (*parents, f.name)
+        held = F.when(_is(path, "OBJECT"), F.struct(*_document(f.dataType, path))) if isinstance(f.dataType, T.StructType) else (
+            F.col(f"`{_named('value', path)}`"))
+        out.append(held.alias(f.name))
     return out
 
 
@@ -94,12 +86,22 @@ def parse_lines(lines: DataFrame, column: str = "value", provenance: str = "prov
     Fields outside the schema are passed over. Other columns of ``lines`` are not kept.
     """
     schema = raw_schema(provenance)
-    # through a generator, so each line is parsed once, see normalize_logs
-    parsed = lines.select(F.col(f"`{column}`").alias("line"), F.inline(F.array(F.struct(F.try_parse_json(f"`{column}`").alias("v")))))
-    wrong = F.concat_ws(", ", F.array_compact(F.array(*_faults(schema))))
-    reason = (F.when(F.coalesce(F.trim("line"), F.lit("")) == "", "empty").when(F.col("v").isNull(), "not json")
-              .when(~_is("$", "OBJECT"), "not an object").when(wrong != "", F.concat(F.lit("unreadable: "), wrong)))
-    return parsed.select(*[_value(f).alias(f.name) for f in schema], "line", reason.alias("reason"))
+    fields = _fields(schema)
+    rows = _once(lines.select(F.col(f"`{column}`").alias("line")), {"x ": F.try_parse_json("line")})
+    for depth in sorted({len(path) for path, _ in fields}):
+        rows = _once(rows, {_named("x", p): F.try_variant_get(_x(p[:-1]), f"$['{p[-1]}']", "variant") for p, _ in fields if len(p) == depth})
+    rows = _once(rows, {_named("kind", p): F.schema_of_variant(_x(p)) for p, _ in fields})
+    rows = _once(rows, {_named("value", p): _value(p, t) for p, t in fields if not isinstance(t, T.StructType)})
+    faults = []
+    for p, t in fields:
+        odd = (~_is(p, "OBJECT") & ~F.to_json(_x(p)).isin(*_NOTHING) if isinstance(t, T.StructType)
+               else F.col(f"`{_named('value', p)}`").isNull())
+        faults.append(F.when(F.col(f"`{_named('kind', p)}`").isNotNull() & ~_is(p, "VOID") & odd, F.lit(".".join(p))))
+    rows = _once(rows, {"wrong": F.concat_ws(", ", F.array_compact(F.array(*faults)))})
+    blank = F.coalesce(F.trim("line"), F.lit("")) == ""
+    reason = (F.when(blank, "empty").when(_x(()).isNull(), "not json")
+              .when(~F.col("line").rlike(r"^\s*\{"), "not an object").when(F.col("wrong") != "", F.concat(F.lit("unreadable: "), "wrong")))
+    return rows.select(*_document(schema), "line", reason.alias("reason"))
 
 
 def ingest_lines(lines: DataFrame, root: str, run: str, work: str, day: dt.date | None = None, column: str = "value",
