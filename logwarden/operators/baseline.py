@@ -38,7 +38,11 @@ def _bucket(value: Column) -> Column:
     return value - F.pmod(value, F.call_function("shiftleft", F.lit(1).cast("bigint"), bits))
 
 
-def percentiles(counts: DataFrame) -> DataFrame:
+def percentiles(values: DataFrame) -> DataFrame:
+    return percentiles_of_counts(values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("c")))
+
+
+def percentiles_of_counts(counts: DataFrame) -> DataFrame:
     """sorted[min(n - 1, floor(q * n))] per metric, without sorting a metric in one task.
 
     ``counts`` is a histogram of exact values, (metric, value, c), counted in parallel. Its buckets (a bounded number whatever
@@ -68,7 +72,7 @@ def percentiles(counts: DataFrame) -> DataFrame:
 def distributions(values: DataFrame) -> DataFrame:
     moments = values.groupBy("metric").agg(
         F.count(F.lit(1)).alias("sample_count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return rounded(moments.join(percentiles(values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("c"))), "metric"))
+    return rounded(moments.join(percentiles(values), "metric"))
 
 
 def rounded(dist: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def histogram_distributions(counts: DataFrame) -> DataFrame:
     off = F.col("value") - F.col("mean")
     spread = counts.join(F.broadcast(means), "metric").groupBy("metric").agg(F.sum(off * off * F.col("c")).alias("spread"))  # 6 metrics
     moments = means.join(spread, "metric").withColumn("std", F.sqrt(F.col("spread") / F.col("sample_count"))).drop("spread")
-    return rounded(moments.join(percentiles(counts), "metric"))
+    return rounded(moments.join(percentiles_of_counts(counts), "metric"))
 
 
 def compute_baseline(users: DataFrame, ips: DataFrame, cfg: Config = Config(),
