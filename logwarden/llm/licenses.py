@@ -249,9 +249,10 @@ def licence_detections(docs: DataFrame, rules: list[Rule] | None = None) -> Data
     Texts become words, so punctuation, case and line breaks don't matter and places are word numbers [start, end).
     Texts without any of GATES are passed over; of a text's rules only those whose keyword it holds are tried. Base
     phrases are always kept. Other detections are resolved within a text: one whose words lie within another's goes (of
-    equal ones the one with the lower priority number stays, then by rule name); of those left, one that overlaps the one
-    before or after goes if that has a lower priority number, or, with equal numbers, if it comes second. This is
-    done by running maxima over sorted detections, linear in them.
+    equal ones the one with the lower priority number stays, then by rule name). Those left are taken in order of priority
+    number, then of place, and one goes if it overlaps one that has been kept, so a detection falls only to one that stays.
+    Containment is found by running maxima over sorted detections, linear in them. Overlaps are settled within chains
+    of detections that overlap their neighbours, with work in the square of a chain; a chain hardly ever has more than a few.
 
     Documents are told apart by id and text; repeated rows give one set of rows. Null texts have no words. Returns
     doc_id, mark (hash of the text), name, label, priority, weight, base, start, end, kept.
@@ -272,9 +273,28 @@ def licence_detections(docs: DataFrame, rules: list[Rule] | None = None) -> Data
     inside = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("end"), F.lit(False))
     outer = places.withColumn("inside", ~F.col("base") & inside)
     near = Window.partitionBy("doc_id", "mark", "base", "inside").orderBy("start", "end")
-    beaten = ((F.lag("end").over(near) > F.col("start")) & (F.lag("priority").over(near) <= F.col("priority"))
-              | (F.lead("start").over(near) < F.col("end")) & (F.lead("priority").over(near) < F.col("priority")))
-    return (outer.withColumn("kept", F.col("base") | ~F.col("inside") & ~F.coalesce(beaten, F.lit(False))).drop("inside"))
+    begins = F.coalesce(F.max("end").over(near.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
+    chained = outer.withColumn("begins", begins.cast("int")).withColumn("chain", F.sum("begins").over(near))
+    chains = chained.groupBy("doc_id", "mark", "base", "inside", "chain").agg(F.array_sort(F.collect_list(F.struct(*CHAINED))).alias("rows"))
+    settled = F.when(F.col("base") | F.col("inside"), F.transform("rows", lambda r: with_kept(r, F.col("base"))))
+    settled = settled.otherwise(F.aggregate("rows", F.array().cast(SETTLED), settle))
+    return (chains.select("doc_id", "mark", "base", F.explode(settled).alias("row"))
+            .select("doc_id", "mark", "row.name", "row.label", "row.priority", "row.weight", "base", "row.start", "row.end", "row.kept"))
+
+
+#: Fields of a detection in the order in which a chain is settled, and their type with the verdict.
+CHAINED = ("priority", "start", "end", "name", "label", "weight")
+SETTLED = "array<struct<priority:int,start:bigint,end:bigint,name:string,label:string,weight:double,kept:boolean>>"
+
+
+def with_kept(row, kept):
+    return F.struct(*(row[c].alias(c) for c in CHAINED), kept.alias("kept"))
+
+
+def settle(done, row):
+    """``done`` and the next detection of a chain, which is kept unless it overlaps one that is."""
+    falls = F.exists(done, lambda d: d["kept"] & (d["start"] < row["end"]) & (d["end"] > row["start"]))
+    return F.concat(done, F.array(with_kept(row, ~falls)))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:

@@ -235,3 +235,54 @@ def test_names_without_the_word_licence_are_found(documents):
     docs = documents([(1, "Released under the Apache 2.0"), (2, "published under the terms of the Apache v2"), (3, "it is MIT No Attribution, all of it"), (4, "an apache in 2.0 parts")])
     got = {r.doc_id: r.labels for r in scan_licences(docs).collect()}
     assert got == {1: "apache-2.0", 2: "apache-2.0", 3: "mit-0", 4: ""}
+
+
+def plain_detections(text, rules):
+    """Detections of a text as licence_detections describes them, by Python's own regular expressions."""
+    import re
+
+    lowered = "".join(c.lower() if c.isascii() else c for c in text)
+    words = " " + re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", lowered).strip(" ") + " "
+    found = [(words[:m.end()].count(" ") - m.group().count(" "), words[:m.end()].count(" "), r) for r in rules for m in re.finditer(r.pattern, words)]
+    free = sorted(((s, -e, r.priority, r.name, r) for s, e, r in found if not r.base), key=lambda d: d[:4])
+    outer = [d for i, d in enumerate(free) if not any(-b[1] >= -d[1] for b in free[:i])]
+    kept = [(s, e, r) for s, e, r in found if r.base]
+    chosen = []
+    for s, e, _, _, r in sorted(outer, key=lambda d: (d[2], d[0], -d[1], d[3])):
+        if not any(a < -e and b > s for a, b, _ in chosen):
+            chosen.append((s, -e, r))
+    return {(r.name, s, e) for s, e, r in found}, {(r.name, s, e) for s, e, r in kept + chosen}
+
+
+def test_an_overlap_is_lost_only_to_a_detection_that_stays(documents):
+    from logwarden.llm.licenses import Rule
+    rules = [Rule("a", "a", 1, 1.0, "one", " license one two(?= )"), Rule("b", "b", 2, 1.0, "two", " two three(?= )"),
+             Rule("c", "c", 3, 1.0, "three", " three four(?= )"), Rule("d", "d", 3, 1.0, "four", " four five(?= )")]
+    text = "license one two three four five"
+    got = {(r.name, r.start, r.end) for r in licence_detections(documents([(1, text), (2, " ".join([text] * 40))]), rules).filter("doc_id = 1 and kept").collect()}
+    assert got == plain_detections(text, rules)[1] == {("a", 0, 3), ("c", 3, 5)}
+    long = {(r.name, r.start, r.end) for r in licence_detections(documents([(2, " ".join([text] * 40))]), rules).filter("kept").collect()}
+    assert long == plain_detections(" ".join([text] * 40), rules)[1] and len(long) == 80
+
+
+def test_all_signatures_against_a_plain_scan(documents):
+    """Detections, labels and scores of mixed licence texts, every rule tried on every text."""
+    import random
+
+    rules, draw = signatures(), random.Random(7)
+    parts = [t for _, t in WRITTEN_TEXTS] + [t for _, t in LICENSED if t and len(t) < 200] + [
+        "licensed under the terms of the GNU General Public License version 2", "Apache License 2.0", "the MIT", "license", "BSD", "under", "v2", "2.0"]
+    texts = [(i, " ".join(draw.choice(parts) for _ in range(draw.randint(1, 9)))) for i in range(60)]
+    texts = [(i, t) for i, t in texts if "SPDX" not in t.upper()]
+    docs = documents(texts)
+    found, kept = {}, {}
+    for r in licence_detections(docs).collect():
+        found.setdefault(r.doc_id, set()).add((r.name, r.start, r.end))
+        if r.kept:
+            kept.setdefault(r.doc_id, set()).add((r.name, r.start, r.end))
+    by_name = {r.name: r for r in rules}
+    scanned = {r.doc_id: (r.labels, r.score) for r in scan_licences(docs).collect()}
+    for i, text in texts:
+        all_found, all_kept = plain_detections(text, rules)
+        assert (found.get(i, set()), kept.get(i, set())) == (all_found, all_kept), text
+        assert scanned[i] == (",".join(sorted({by_name[n].label for n, _, _ in all_kept})), max((by_name[n].weight for n, _, _ in all_kept), default=0.0))
