@@ -467,6 +467,8 @@ def oracle_statements() -> dict[str, str]:
             f"WHERE receive_epoch BETWEEN {DAY_END} - 1440 * 60 AND {DAY_END}",
         "user_logs": _with(LOGS) + 'SELECT log_id, "timestamp", method, uri, status FROM logs '
             f"WHERE user_id = '{SOME_USER}'",
+        "stored_user_logs": _with(LOGS) + 'SELECT log_id, "timestamp", method, uri, status FROM logs '
+            f"WHERE user_id = '{SOME_USER}' AND receive_epoch BETWEEN {RANGE[0]} AND {DAY_END}",
         "sensitive_uri": _with(LOGS) + "SELECT log_id, method, uri, client_ip FROM logs "
             "WHERE regexp_matches(uri, '/(addresses|orders)/[0-9]+')",
         "derived_fields": _with(LOGS) + f"""

@@ -33,6 +33,7 @@ from logwarden.sources import documents as D
 from logwarden.sources import events as E
 from logwarden.sources import logs as scans
 from logwarden.sources.sinks import stage, write_daily
+from logwarden.sources.user_layout import store_by_user, stored_logs_of
 from logwarden.streaming import scored as SS
 from logwarden.streaming import windows as ST
 
@@ -656,6 +657,16 @@ def profile_lookup(spark, d):
         "known": F.lit(SC.profile_exists(spark, path, SOME_USER)), "stranger": F.lit(SC.profile_exists(spark, path, "no such user"))})
 
 
+@query
+def stored_user_logs(spark, d):
+    """One user's logs of a range, from logs filed by user in two runs, the second of which comes again."""
+    path, events = _place(spark, "by-user"), E.read_events(spark, d)
+    first, later = (normalized(E.raw_documents(events.filter(part)), numbered=True) for part in (E.before(SPLIT), ~E.before(SPLIT)))
+    for run, logs in (("first", first), ("later", later), ("later", later)):
+        store_by_user(logs, path, run)
+    return stored_logs_of(spark, path, SOME_USER, RANGE[0], DAY_END).select("log_id", "timestamp", "method", "uri", "status")
+
+
 #: Stores that queries of this application have streamed into, by table folder. Filing there again would change nothing.
 STREAMED: dict[tuple[str, str], str] = {}
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DAY = "ingest_date"
+#: Bloom filters on users, as small as a file's users allow.
+BY_USER = {"parquet.bloom.filter.enabled#user_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 COMMITS = "version bigint, commit string, run string, through date"
 
 
@@ -122,10 +124,10 @@ def read_part(spark: SparkSession, path: str, part: str, schema: T.StructType) -
 
 def write_parts(path: str, commit: str, parts: Mapping[str, DataFrame]) -> None:
     """Writes rows (each with its event ``day``) of a commit that does not count yet. Rows of a user or target lie together
-    within a file."""
+    within a file, and files without a user are told by their Bloom filters."""
     for part, rows in parts.items():
         keys = [c for c in ("day", "slot", "user_id", "target_id", "client_ip") if c in rows.columns]
-        rows.sortWithinPartitions(*keys).write.partitionBy("day").parquet(f"{path}/{part}/commit={commit}")
+        rows.sortWithinPartitions(*keys).write.partitionBy("day").options(**BY_USER).parquet(f"{path}/{part}/commit={commit}")
 
 
 def finish_commit(spark: SparkSession, path: str, commit: str, run: str, after: int, through: dt.date | None = None) -> int:
