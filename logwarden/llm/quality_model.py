@@ -43,13 +43,18 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def add_contexts(total: np.ndarray, slots: np.ndarray, ends: np.ndarray, places: np.ndarray, signs: np.ndarray) -> None:
-    """Adds to each word's row the index vectors of its neighbours in the same text. ``ends`` numbers the text of a word."""
-    for far in range(1, REACH + 1):
-        near = ends[far:] == ends[:-far]
-        a, b = slots[:-far][near], slots[far:][near]
-        for word, other in ((a, b), (b, a)):
-            for k in range(NONZERO):
-                total += np.bincount(word * DIMENSIONS + places[other, k], weights=signs[other, k], minlength=SLOTS * DIMENSIONS)
+    """Adds to each word's row the index vectors of its neighbours in the same text. ``ends`` numbers the text of a word.
+
+    Texts may be of any length: CHUNK bounds only what is added at once.
+    """
+    for at in range(0, len(slots), CHUNK):  # each pair belongs to the chunk of its first word
+        for far in range(1, REACH + 1):
+            b = slots[at + far:at + far + CHUNK]
+            near = ends[at:at + len(b)] == ends[at + far:at + far + CHUNK]
+            a, b = slots[at:at + len(b)][near], b[near]
+            for word, other in ((a, b), (b, a)):
+                for k in range(NONZERO):
+                    total += np.bincount(word * DIMENSIONS + places[other, k], weights=signs[other, k], minlength=SLOTS * DIMENSIONS)
 
 
 def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,10 +67,8 @@ def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         for text in batch.column("text").cast(pa.binary()):
-            slots = slots_of(text.as_py() or b"")
-            for at in range(0, len(slots), CHUNK):  # pieces of a long text share REACH words, counted with the first only
-                waiting.append(slots[at:at + CHUNK])
-                size += len(waiting[-1])
+            waiting.append(slots_of(text.as_py() or b""))
+            size += len(waiting[-1])
             if size >= CHUNK:
                 flush()
                 waiting, size = [], 0
@@ -178,9 +181,10 @@ def train_quality(pooled_rows: DataFrame, labels: DataFrame, per_class: int = 10
     """Trains on a bounded sample of pooled vectors, ``per_class`` labels of each value at most; None without both values.
 
     Learns only from ids whose remainder modulo 5 is not 0, and sets those with remainder 1 aside for the temperature.
+    Of ``pooled_rows`` only doc_id and pooled are read, so no other column's name can clash.
     """
     learn = remainder(F.col("doc_id"), 5)
-    rows = labelled_sample(pooled_rows, labels, "quality", learn != 0, per_class).withColumn("aside", learn == 1)
+    rows = labelled_sample(pooled_rows.select("doc_id", "pooled"), labels, "quality", learn != 0, per_class).withColumn("aside", learn == 1)
     rows = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     y = rows["y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:

@@ -243,3 +243,66 @@ def test_pipeline_of_an_empty_table(spark, documents, write_tables):
 
     path = write_tables(documents=documents([]), benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert P.run(spark, path).count() == 0
+
+
+def plain_contexts(texts):
+    """Context sums by slot, pair by pair."""
+    from logwarden.llm import quality_model as Q
+    places, signs = Q.index_vectors()
+    total = np.zeros((Q.SLOTS, Q.DIMENSIONS))
+    for text in texts:
+        slots = Q.slots_of((text or "").encode())
+        for far in range(1, Q.REACH + 1):
+            for a, b in ((slots[:-far], slots[far:]), (slots[far:], slots[:-far])):
+                for k in range(Q.NONZERO):
+                    np.add.at(total, (a, places[b, k]), signs[b, k])
+    return total
+
+
+def test_contexts_cross_the_edges_of_chunks(monkeypatch):
+    """A text of 300,000 words and many short ones, in chunks of several sizes, against the plain sum."""
+    import pyarrow as pa
+    from logwarden.llm import quality_model as Q
+    rnd = np.random.default_rng(5)
+    long = " ".join(f"w{i}" for i in rnd.integers(0, 5000, 300_000))
+    texts = ["one", None, "", "a b", long, "été x y z z z", " ".join(["same"] * 40), *(f"t{i} u{i} v" for i in range(300))]
+    want = plain_contexts(texts)
+    for chunk in (Q.CHUNK, 1 << 12, 1001):
+        monkeypatch.setattr(Q, "CHUNK", chunk)
+        batches = [pa.RecordBatch.from_pydict({"text": pa.array(part, pa.string())}) for part in (texts[:3], texts[3:6], texts[6:])]
+        got = np.zeros_like(want)
+        for batch in Q.context_batches(iter(batches)):
+            got[batch["slot"].to_numpy()] += np.column_stack([batch[f"d{i}"].to_numpy() for i in range(Q.DIMENSIONS)])
+        assert np.array_equal(got, want), chunk
+
+
+def test_pooled_vectors_of_long_texts(monkeypatch):
+    """Mean, deviation and likeness of neighbours of a long text against plain numpy, whatever the chunk."""
+    from logwarden.llm import quality_model as Q
+    rnd = np.random.default_rng(6)
+    vectors = rnd.normal(size=(Q.SLOTS, Q.DIMENSIONS)).astype(np.float32)
+    slots = rnd.integers(0, 900, 300_000)
+    rows = vectors[slots].astype(np.float64)
+    want = np.concatenate([rows.mean(0), rows.std(0), [(rows[1:] * rows[:-1]).sum(1).mean(), (slots[1:] == slots[:-1]).mean()]])
+    for chunk in (Q.CHUNK, 4096):
+        monkeypatch.setattr(Q, "CHUNK", chunk)
+        assert np.allclose(Q.pooled(slots, vectors), want, atol=2e-3)
+    assert not Q.pooled(slots[:0], vectors).any() and Q.pooled(slots[:1], vectors).shape == (Q.POOLED,)
+
+
+def test_quality_model_ignores_clashing_columns(spark):
+    """Columns named like those that training and scoring make, null, empty and very long texts, repeated rows."""
+    from logwarden.llm import quality_model as Q
+    good, bad = "the river ran past old stone houses and people walked slowly home", "buy now !!! $$$ 777 click click ### win win"
+    texts = [(i, (good if i % 2 else bad) + f" {i}") for i in range(80)] + [(900, None), (901, ""), (902, good * 20_000), (903, bad), (903, bad)]
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    clashing = plain.withColumns({c: F.lit("x") for c in ("y", "weight", "labelled", "score", "predicted", "pooled", "aside", "quality")})
+    results = []
+    for docs in (plain, clashing):
+        rows = Q.pool_documents(docs, Q.word_vectors(docs), docs.columns)
+        model = Q.train_quality(rows, labels)
+        scored = Q.score_quality(rows, model, ["doc_id", *(c for c in docs.columns if c in ("y", "weight", "labelled", "score"))])
+        assert scored.columns.count("score") == 1 and scored.schema["score"].dataType.typeName() == "double"
+        results.append(sorted((r.doc_id, r.score, r.predicted) for r in scored.collect()))
+    assert results[0] == results[1] and len(results[0]) == len(texts) and all(0 <= s <= 1 for _, s, _ in results[0])
