@@ -206,9 +206,19 @@ def profile_state(logs: DataFrame) -> dict[str, DataFrame]:
     return merged(partials(logs))
 
 
+def once_each(logs: DataFrame) -> DataFrame:
+    """Logs once each by IDENTITY. Whether any comes twice is asked first, on identities alone (``logs`` is read for it: pass a
+    staged table); only those that do are put through ``dropDuplicates``, which sorts whole rows."""
+    again = logs.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*(F.col(c).alias(f"again_{c}") for c in IDENTITY))
+    if again.isEmpty():
+        return logs
+    same = [F.col(c).eqNullSafe(F.col(f"again_{c}")) for c in IDENTITY]
+    return logs.join(again, same, "left_anti").unionByName(logs.join(again, same, "left_semi").dropDuplicates(IDENTITY))
+
+
 def unseen(logs: DataFrame, seen: DataFrame | None) -> DataFrame:
     """Logs of users that are not in ``seen`` (IDENTITY), each once: what makes repeats and overlaps change nothing."""
-    rows = keyed(logs).dropDuplicates(IDENTITY)
+    rows = once_each(keyed(logs))
     if seen is not None:
         rows = rows.join(seen.select(*IDENTITY), IDENTITY, "left_anti")
     return rows.drop("win")

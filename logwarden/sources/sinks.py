@@ -111,7 +111,7 @@ class Snapshot:
             if not _has(error, "PATH_NOT_FOUND"):
                 raise
             return self.spark.createDataFrame([], stored).withColumn("version", F.lit(0).cast("bigint")).drop("commit")
-        rows = rows.join(self.commits, "commit")
+        rows = rows.join(F.broadcast(self.commits), "commit")  # Spark can't tell its size and would deal all rows by their few commits
         if self.compaction is not None:
             version, through = self.compaction
             rows = rows.filter((F.col("version") >= version) | (F.col("day") > F.lit(through)))
@@ -124,10 +124,11 @@ def read_part(spark: SparkSession, path: str, part: str, schema: T.StructType) -
 
 def write_parts(path: str, commit: str, parts: Mapping[str, DataFrame]) -> None:
     """Writes rows (each with its event ``day``) of a commit that does not count yet. Rows of a user or target lie together
-    within a file, and files without a user are told by their Bloom filters."""
+    within a file, and files without a user are told by their Bloom filters. A day's rows are brought together first, so there
+    are about as many files as days, and more only where a day is large; adaptive execution splits such a day."""
     for part, rows in parts.items():
         keys = [c for c in ("day", "slot", "user_id", "target_id", "client_ip") if c in rows.columns]
-        rows.sortWithinPartitions(*keys).write.partitionBy("day").options(**BY_USER).parquet(f"{path}/{part}/commit={commit}")
+        rows.hint("rebalance", "day").sortWithinPartitions(*keys).write.partitionBy("day").options(**BY_USER).parquet(f"{path}/{part}/commit={commit}")
 
 
 def finish_commit(spark: SparkSession, path: str, commit: str, run: str, after: int, through: dt.date | None = None) -> int:

@@ -128,7 +128,7 @@ def file_batch(spark: SparkSession, logs: DataFrame, name: str, path: str, work:
     timed = stage(logs.filter(F.col("receive_epoch").isNotNull()), work, "stream-batch", spark)
     days = [r[0] for r in timed.select(X.day_of(F.col("receive_epoch"))).distinct().collect()]
     seen = read_store(spark, path, ["seen"], cfg, snapshot)["seen"].filter(F.col("day").isin(days) if days else F.lit(False))
-    new = stage(timed.dropDuplicates(IDENTITY).join(seen.select(*IDENTITY), IDENTITY, "left_anti"), work, "stream-new")
+    new = stage(P.once_each(timed).join(seen.select(*IDENTITY), IDENTITY, "left_anti"), work, "stream-new")
     newest, count = new.agg(F.max("receive_epoch"), F.count(F.lit(1))).first()
     if count == 0 and clock is None:
         return {"version": None, "logs": 0, "late": 0}
@@ -172,10 +172,15 @@ def risk_stream(logs: DataFrame, path: str, checkpoint: str, work: str, baseline
 # -- reading --------------------------------------------------------------------------------------------------
 
 def newest_risk(risk: DataFrame) -> DataFrame:
-    """One row for each window: that of the newest commit, which withdraws earlier ones."""
+    """One row for each window: that of the newest commit, which withdraws earlier ones.
+
+    A commit has a window once, and most windows have one commit. Those with several are found on their keys; the rows themselves
+    are neither grouped nor sorted, and columns that a query does not use are not read.
+    """
+    again = (risk.groupBy(*TARGET).agg(F.max("version").alias("newest"), F.min("version").alias("oldest"))
+             .filter("newest <> oldest").select(*TARGET, "newest"))
     fields = [c for c in risk.columns if c not in (*TARGET, "version", "day")]
-    return (risk.groupBy(*TARGET).agg(F.max_by(F.struct(*fields), "version").alias("r"))
-            .select(*TARGET, "r.*"))
+    return (risk.join(again, TARGET, "left").filter("newest IS NULL OR version = newest").select(*TARGET, *fields))
 
 
 def stored_risk(spark: SparkSession, path: str, cfg: Config = Config()) -> DataFrame:
