@@ -628,8 +628,9 @@ def _store(spark, d) -> str:
     """A profile store of two overlapping batches, the second of which comes again, compacted up to the split."""
     path, work = _place(spark, "profiles"), work_of(spark)
     events = E.read_events(spark, d)
-    first = normalized(E.raw_documents(events.filter(E.before(SPLIT))), numbered=True)
-    later = normalized(E.raw_documents(events.filter(~E.before(SPLIT - 3 * 86400))), numbered=True)
+    # parsed once, since each commit reads its logs several times
+    first = stage(normalized(E.raw_documents(events.filter(E.before(SPLIT))), numbered=True), work, "store-first")
+    later = stage(normalized(E.raw_documents(events.filter(~E.before(SPLIT - 3 * 86400))), numbered=True), work, "store-later")
     for name, logs in (("first", first), ("later", later), ("later again", later)):
         SC.update_profiles(spark, logs, path, name, work)
     SC.compact_profiles(spark, path, dt.date(2024, 1, 14))
