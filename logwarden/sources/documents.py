@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +79,26 @@ def _document(schema: T.StructType, parents: tuple[str, ...] = ()) -> list[Colum
     return out
 
 
+#: Kinds of the JSON values that need no conversion and can't be unreadable.
+_PLAIN = {T.StringType: "STRING", T.LongType: "BIGINT", T.IntegerType: "BIGINT", T.BooleanType: "BOOLEAN", T.ArrayType: "ARRAY<(?:STRING|VOID)>"}
+
+
+def _plain_kinds(kind: T.DataType) -> str:
+    """Pattern of what ``schema_of_variant`` says of a value that has the schema's own types throughout, and no other fields."""
+    if not isinstance(kind, T.StructType):
+        return f"(?:{_PLAIN[type(kind)]}|VOID)"
+    fields = sorted(kind, key=lambda f: f.name)
+    names = {f.name: f.name if re.fullmatch("[A-Za-z0-9_]+", f.name) else f"`{f.name}`" for f in fields}
+    return "(?:OBJECT<" + "".join(f"(?:{names[f.name]}: {_plain_kinds(f.dataType)}(?:, |(?=>)))?" for f in fields) + ">|VOID)"
+
+
+def _wide(kind: T.DataType) -> str:
+    """The type in SQL, int as bigint."""
+    if isinstance(kind, T.StructType):
+        return "struct<" + ", ".join(f"`{f.name}`: {_wide(f.dataType)}" for f in kind) + ">"
+    return "bigint" if kind == T.IntegerType() else kind.simpleString()
+
+
 def parse_lines(lines: DataFrame, column: str = "value", provenance: str = "provenance") -> DataFrame:
     """A row for each line: the fields of a raw document, the ``line`` and the ``reason`` it is no document, else null.
 
@@ -84,10 +106,17 @@ def parse_lines(lines: DataFrame, column: str = "value", provenance: str = "prov
     another type (all of them). Numbers of a request may be JSON numbers: 200.7 is 200, true is 1. A claim that should be a
     list may be one text. A claim that is a number may be digits in text. An object that is false, 0, "" or [] is missing.
     Fields outside the schema are passed over. Other columns of ``lines`` are not kept.
+
+    Lines whose fields all have the schema's own types, which one look at the document's kinds tells, are read in one step; only
+    the others are read field by field.
     """
     schema = raw_schema(provenance)
     fields = _fields(schema)
-    rows = _once(lines.select(F.col(f"`{column}`").alias("line")), {"x ": F.try_parse_json("line")})
+    rows = _once(lines.select(F.col(f"`{column}`").alias("line")), {"json": F.try_parse_json("line")})
+    rows = _once(rows, {"plain": F.when(F.schema_of_variant("json").rlike(f"^{_plain_kinds(schema)}$"), F.try_variant_get("json", "$", _wide(schema)))})
+    fits = [F.coalesce(F.col("plain." + ".".join(f"`{n}`" for n in p)).between(-2**31, 2**31 - 1), F.lit(True)) for p, t in fields if t == T.IntegerType()]
+    rows = _once(rows, {"is plain": reduce(Column.__and__, fits, F.col("plain").isNotNull())})
+    rows = _once(rows, {"x ": F.when(~F.col("is plain"), F.col("json"))})
     for depth in sorted({len(path) for path, _ in fields}):
         rows = _once(rows, {_named("x", p): F.try_variant_get(_x(p[:-1]), f"$['{p[-1]}']", "variant") for p, _ in fields if len(p) == depth})
     rows = _once(rows, {_named("kind", p): F.schema_of_variant(_x(p)) for p, _ in fields})
@@ -101,14 +130,16 @@ def parse_lines(lines: DataFrame, column: str = "value", provenance: str = "prov
     blank = F.coalesce(F.trim("line"), F.lit("")) == ""
     reason = (F.when(blank, "empty").when(_x(()).isNull(), "not json")
               .when(~F.col("line").rlike(r"^\s*\{"), "not an object").when(F.col("wrong") != "", F.concat(F.lit("unreadable: "), "wrong")))
-    return rows.select(*_document(schema), "line", reason.alias("reason"))
+    document = [F.when(F.col("is plain"), F.col(f"plain.`{f.name}`").cast(f.dataType)).otherwise(c).alias(f.name) for f, c in zip(schema, _document(schema))]
+    return rows.select(*document, "line", F.when(~F.col("is plain"), reason).alias("reason"))
 
 
 def ingest_lines(lines: DataFrame, root: str, run: str, work: str, day: dt.date | None = None, column: str = "value",
                  provenance: str = "provenance") -> dict:
     """Files documents under ``raw`` and rejects, whole lines with their reasons, under ``rejected``. The rows of both add up to
     the lines read. Running it again replaces its own output."""
-    parsed = stage(parse_lines(lines, column, provenance), work, "parsed-lines")
+    kept = F.when(F.col("reason").isNotNull(), F.col("line"))  # a document's line is not read again
+    parsed = stage(parse_lines(lines, column, provenance).withColumn("line", kept), work, "parsed-lines")
     names = [f"`{f.name}`" for f in raw_schema(provenance)]
     return {"raw": write_daily(parsed.filter("reason IS NULL").select(*names), f"{root}/raw", run, day),
             "rejected": write_daily(parsed.filter("reason IS NOT NULL").select("line", "reason"), f"{root}/rejected", run, day)}
