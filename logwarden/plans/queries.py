@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.config import FACTORS, IP_WINDOWS, Config
+from logwarden.config import FACTORS, Config
 from logwarden.functions import scalar as X
 from logwarden.functions.labels import factor_label
 from logwarden.operators import alerts as A
@@ -34,6 +34,7 @@ from logwarden.sources import events as E
 from logwarden.sources import logs as scans
 from logwarden.sources.sinks import stage, write_daily
 from logwarden.sources.user_layout import store_by_user, stored_logs_of
+from logwarden.streaming import closed as CL
 from logwarden.streaming import scored as SS
 from logwarden.streaming import windows as ST
 
@@ -520,7 +521,8 @@ def profile_upsert_counts(spark, d):
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # a stream takes no path of a file, but a pattern of one; it also finds a table that is a folder of files
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
     return normalized(E.raw_documents(events), numbered=True)
 
 
@@ -545,15 +547,14 @@ def streaming_ip_events(spark, d):
 
 @query
 def streaming_risk_scores(spark, d):
-    """Windows of users and of all address lengths as streams close them, scored against the baseline of the batch."""
-    baseline = B.compute_baseline(*staged_windows(logs_of(spark, d), work_of(spark), CFG), CFG)
-    users = S.score_users(drained(ST.stream_user_windows(_event_stream(spark, d), CFG)), baseline)
-    ips = [S.score_ips(drained(ST.stream_ip_windows(_event_stream(spark, d), label)), baseline, CFG) for label, _ in IP_WINDOWS]
-    columns = ["target_type", "target_id", "win", "window_size", "total_score", "dominant_factor", "attacker_level"]
-    out = users.select(*columns)
-    for df in ips:
-        out = out.unionByName(df.select(*columns))
-    return out
+    """Windows of users and of all address lengths as one stream closes them, scored against the baseline of all windows, also of
+    those left open."""
+    work, path = work_of(spark), _place(spark, "closing")
+    CL.closing_stream(_event_stream(spark, d), path, f"{path}/checkpoint", work, CFG).awaitTermination()
+    closed, left = CL.closed_windows(spark, path, CFG), CL.open_windows(spark, path, CFG)
+    baseline = stage(B.compute_baseline(*(a.unionByName(b) for a, b in zip(closed, left)), CFG), work, "baseline")
+    return S.risk_scores(*closed, baseline, CFG).select(
+        "target_type", "target_id", "win", "window_size", "total_score", "dominant_factor", "attacker_level")
 
 
 @query
