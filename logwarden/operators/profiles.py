@@ -216,12 +216,21 @@ def once_each(logs: DataFrame) -> DataFrame:
     return logs.join(again, same, "left_anti").unionByName(logs.join(again, same, "left_semi").dropDuplicates(IDENTITY))
 
 
+def not_in(logs: DataFrame, seen: DataFrame) -> DataFrame:
+    """Logs whose IDENTITY is not in ``seen``; all have a time. Those newer than any that is seen pass as they are. The others and the
+    ids are dealt by IDENTITY, and a task holds the ids of its share: Spark takes two columns of a wide table for small and would
+    send all ids to every executor, or else sort whole logs."""
+    newest, at = seen.agg(F.max("receive_epoch")).first()[0], F.col("receive_epoch")
+    if newest is None:
+        return logs
+    ids = seen.select(*IDENTITY).hint("shuffle_hash")
+    return logs.filter(at > newest).unionByName(logs.filter(at <= newest).join(ids, IDENTITY, "left_anti").select(*logs.columns))
+
+
 def unseen(logs: DataFrame, seen: DataFrame | None) -> DataFrame:
     """Logs of users that are not in ``seen`` (IDENTITY), each once: what makes repeats and overlaps change nothing."""
     rows = once_each(keyed(logs))
-    if seen is not None:
-        rows = rows.join(seen.select(*IDENTITY), IDENTITY, "left_anti")
-    return rows.drop("win")
+    return (rows if seen is None else not_in(rows, seen)).drop("win")
 
 
 def upsert_counts(logs: DataFrame, fresh: State, old: State | None) -> DataFrame:

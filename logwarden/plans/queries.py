@@ -485,20 +485,20 @@ def trust_levels(spark, d):
         level.alias("trust_level"))
 
 
-def _halves(spark, d):
-    """Partials of a first range that ends inside a window, the logs of a second that overlaps it, and what is new there."""
+def _halves(spark, d, *columns) -> tuple[DataFrame, DataFrame]:
+    """Logs of a first range that ends inside a window, and of a second that overlaps it; written once, since several steps read them."""
     events = E.read_events(spark, d)
-    # parsed once, since each part reads them
-    first = stage(normalized(E.raw_documents(events.filter(E.before(SPLIT))), numbered=True), work_of(spark), "profile-first")
-    later = stage(normalized(E.raw_documents(events.filter(~E.before(SPLIT - 3 * 86400))), numbered=True), work_of(spark), "profile-later")
-    old = P.partials(first)
-    return old, later, stage(P.unseen(later, old["seen"]), work_of(spark), "profile-delta")
+    first, later = (normalized(E.raw_documents(events.filter(part)), numbered=True).select(*columns or "*")
+                    for part in (E.before(SPLIT), ~E.before(SPLIT - 3 * 86400)))
+    return stage(first, work_of(spark), "profile-first"), stage(later, work_of(spark), "profile-later")
 
 
 @query
 def profile_merge(spark, d):
     """A second, overlapping range merges into the first one's partials and gives the profile of the whole."""
-    old, _, fresh = _halves(spark, d)
+    first, later = _halves(spark, d)
+    old = P.partials(first)
+    fresh = stage(P.unseen(later, old["seen"]), work_of(spark), "profile-delta")
     state = P.merged(P.together(old, P.partials(fresh)))
     doc = P.user_profiles(state, DAY_END, cfg=CFG)
     return doc.select(
@@ -513,8 +513,10 @@ def profile_merge(spark, d):
 
 @query
 def profile_upsert_counts(spark, d):
-    old, later, fresh = _halves(spark, d)
-    return P.upsert_counts(later, P.partials(fresh), old)
+    """Counts of a second, overlapping range; they need users and windows of logs and no other column."""
+    first, later = _halves(spark, d, *IDENTITY, "user_id")
+    fresh = stage(P.unseen(later, P.keyed(first)), work_of(spark), "profile-delta")
+    return P.upsert_counts(later, {"windows": P.keyed(fresh)}, {"windows": P.keyed(first)})
 
 
 # -- streaming ------------------------------------------------------------------------------------------------

@@ -128,7 +128,7 @@ def file_batch(spark: SparkSession, logs: DataFrame, name: str, path: str, work:
     timed = stage(logs.filter(F.col("receive_epoch").isNotNull()), work, "stream-batch", spark)
     days = [r[0] for r in timed.select(X.day_of(F.col("receive_epoch"))).distinct().collect()]
     seen = read_store(spark, path, ["seen"], cfg, snapshot)["seen"].filter(F.col("day").isin(days) if days else F.lit(False))
-    new = stage(P.once_each(timed).join(seen.select(*IDENTITY), IDENTITY, "left_anti"), work, "stream-new")
+    new = stage(P.not_in(P.once_each(timed), seen), work, "stream-new")
     newest, count = new.agg(F.max("receive_epoch"), F.count(F.lit(1))).first()
     if count == 0 and clock is None:
         return {"version": None, "logs": 0, "late": 0}
